@@ -2,8 +2,8 @@
 
 Records are brought to comparable attributes (kind, core of the name, street, house number,
 position). Candidates share a MinHash value of name or street together with the kind and a grid
-cell; where either side has no usable position, two MinHash values of the name, or one of the
-street with the house number, take the cell's place. Candidate pairs get similarity features, a
+cell; where either side has no usable position, MinHash values of name and street together, or
+of the street with the house number, take the cell's place. Candidate pairs get similarity features, a
 logistic model fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly
 labelled pairs turns the score into a probability.
 """
@@ -48,6 +48,11 @@ KINDS = {
 NOISE = ("staedt", "staedtische", "staedtischer", "staedtisches", "einrichtung", "hauptgebaeude", "standort", "e", "v", "ev")
 # How street endings are shortened (folded), and in full.
 ENDINGS = (("str", "strasse"), ("pl", "platz"), ("al", "allee"), ("g", "gasse"), ("w", "weg"), ("rg", "ring"))
+# The map tags that say what an element is.
+TAGS = ("amenity", "leisure", "shop", "office", "tourism")
+# Words and street endings that so many names share that they say nothing (folded).
+COMMON_WORDS = ("am", "im", "an", "der", "die", "das", "dem", "den", "auf", "in", "zum", "zur", "bei", "beim", "hinter", "hinterm", "haus", "neue", "neuer", "neues", "alte", "alter", "altes")
+COMMON_ENDINGS = ("erstrasse", "strasse", "erstieg", "stieg", "platz", "allee", "gasse", "weg", "ring", "damm", "ufer")
 GROUPS = tuple(sorted({g for _, g in KINDS.values()}))
 
 
@@ -72,12 +77,16 @@ WORDS = {w: k for k, (more, _) in KINDS.items() for w in (k, *more)}
 GROUP_OF = {k: g for k, (_, g) in KINDS.items()}
 
 
+def _misspells(t: Column, k: Column) -> Column:
+    return (F.abs(F.length(t) - F.length(k)) <= 2) & (F.levenshtein(t, k, 2) >= 0)
+
+
 def kind_in(tokens: Column) -> Column:
     """The kind named first among the tokens; else the kind that one long token is a misspelling of; else null."""
     words = _literal_map(WORDS)
     exact = F.filter(F.transform(tokens, lambda t: F.try_element_at(words, t)), lambda k: k.isNotNull())
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    near = F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= 8), lambda t: F.filter(kinds, lambda k: F.levenshtein(t, k) <= 2)))
+    near = F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= 8), lambda t: F.filter(kinds, lambda k: _misspells(t, k))))
     return F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)))
 
 
@@ -85,7 +94,7 @@ def core_of(tokens: Column, street: Column) -> Column:
     """The name without kind words, misspelt ones too, and noise words; empty if what is left is the street's name."""
     drop = F.array(*[F.lit(w) for w in (*WORDS, *NOISE)])
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    misspelt = lambda t: (F.length(t) >= 8) & F.exists(kinds, lambda k: F.levenshtein(t, k) <= 2)
+    misspelt = lambda t: (F.length(t) >= 8) & F.exists(kinds, lambda k: _misspells(t, k))
     core = F.array_join(F.filter(tokens, lambda t: ~F.array_contains(drop, t) & ~misspelt(t)), " ")
     joined = F.replace(F.regexp_replace(core, r" \d+ ?[a-z]?$", ""), F.lit(" "), F.lit(""))
     return F.when((street != "") & (F.levenshtein(joined, street) <= F.length(street) / 6), F.lit("")).otherwise(core)
@@ -131,8 +140,11 @@ def _in_cell(what: int, value: Column):
 
 
 def _finish(x: DataFrame) -> DataFrame:
-    grams = x.withColumns({"core_grams": trigrams(F.col("core")), "street_grams": trigrams(F.col("street"))})
-    return grams.select("id", F.xxhash64("id").alias("h"), "kind", "groups", "core", "full", "street", "number", "pos.lat", "pos.lon", minhash(F.col("core_grams"), max(NAME_BANDS, 6)).alias("mh_name"), minhash(F.col("street_grams"), STREET_BANDS).alias("mh_street"))
+    # MinHash values come from what tells names apart; a name of nothing but common words stands as it is.
+    rare = F.trim(F.regexp_replace("core", rf"\b({'|'.join(COMMON_WORDS)})\b", ""))
+    stem = F.regexp_replace("street", rf"({'|'.join(COMMON_ENDINGS)})$", "")
+    grams = x.withColumns({"core_grams": trigrams(F.when(rare == "", F.col("core")).otherwise(rare)), "street_grams": trigrams(F.when(stem == "", F.col("street")).otherwise(stem))})
+    return grams.select("id", F.xxhash64("id").alias("h"), "kind", "groups", "core", "full", "street", "number", "pos.lat", "pos.lon", minhash(F.col("core_grams"), NAME_BANDS).alias("mh_name"), minhash(F.col("street_grams"), STREET_BANDS).alias("mh_street"))
 
 
 def city_places(ods: DataFrame) -> DataFrame:
@@ -154,14 +166,13 @@ def city_places(ods: DataFrame) -> DataFrame:
 
 def map_places(osm: DataFrame) -> DataFrame:
     """Comparable attributes of map elements of a civic or unknown kind, their latest fetch; others can't be such a place."""
-    latest = F.max(F.struct("fetched_at", "label", "addr_street", "addr_housenumber", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"),
-                            F.array_join(F.transform(F.array(*[F.lit(k) for k in ("amenity", "leisure", "shop", "office", "tourism")]), lambda k: F.try_element_at("tags", k)), " ").alias("tag"),
-                            F.try_element_at("tags", F.lit("name")).alias("tag_name")))
-    tag = F.concat_ws(" ", *[F.try_element_at("tags", F.lit(k)) for k in ("amenity", "leisure", "shop", "office", "tourism")])
-    civic = (tag == "") | functools.reduce(operator.or_, [tag.contains(g) for g in GROUPS])
+    keys, groups = F.array(*[F.lit(k) for k in TAGS]), F.array(*[F.lit(g) for g in GROUPS])
+    civic = F.col("tags").isNull() | F.arrays_overlap(F.map_values("tags"), groups) | ~F.arrays_overlap(F.map_keys("tags"), keys)
+    tag = F.get(F.array_intersect(F.map_values("tags"), groups), F.lit(0))
+    latest = F.max(F.struct("fetched_at", "label", "addr_street", "addr_housenumber", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), tag.alias("group"), F.try_element_at("tags", F.lit("name")).alias("tag_name")))
     one = osm.filter("source_id is not null").filter(F.coalesce(civic, F.lit(True))).groupBy("source_id").agg(latest.alias("r")).select("source_id", "r.*")
     folded = name_tokens(F.coalesce("tag_name", F.when(~F.col("label").rlike(r"^OSM (node|way|relation) \d+$"), F.col("label"))))
-    x = one.withColumn("name", folded).withColumn("street", _street(fold(F.col("addr_street")))).withColumn("group", F.coalesce(*[F.when(F.col("tag").contains(g), F.lit(g)) for g in GROUPS]))
+    x = one.withColumn("name", folded).withColumn("street", _street(fold(F.col("addr_street"))))
     x = x.withColumn("kind", F.coalesce(kind_in(F.col("name")), F.when(F.col("group") == "school", F.lit("school")), F.element_at(_literal_map({g: k for k, g in GROUP_OF.items() if g != "school"}), F.coalesce("group", F.lit("")))))
     group = F.coalesce(F.try_element_at(_literal_map(GROUP_OF), F.col("kind")), F.col("group"))
     return _finish(x.select(
@@ -185,9 +196,10 @@ def _keys(x: DataFrame, portal: bool) -> DataFrame:
     near = [F.when(F.col("cells").isNotNull() & v.isNotNull(), F.transform("cells", _in_cell(tag + i, v[i]))).otherwise(none) for v, tag, n in ((name, 0, NAME_BANDS), (street, 10, STREET_BANDS)) for i in range(n)]
 
     def anywhere(tag: int) -> Column:
-        names = [F.xxhash64(F.lit(tag + i), name[2 * i], name[2 * i + 1]) for i in range(3)]
+        # A name alone stands for too many places far apart.
+        names = [F.xxhash64(F.lit(tag + 20 + 4 * i + j), name[i], street[j]) for i in range(3) for j in range(STREET_BANDS)]
         streets = [F.xxhash64(F.lit(tag + 10 + i), street[i], F.col("number")) for i in range(STREET_BANDS)]
-        return F.concat(F.when(name.isNotNull(), F.array(*names)).otherwise(none), F.when(street.isNotNull() & F.col("number").isNotNull(), F.array(*streets)).otherwise(none))
+        return F.concat(F.when(name.isNotNull() & street.isNotNull(), F.array(*names)).otherwise(none), F.when(street.isNotNull() & F.col("number").isNotNull(), F.array(*streets)).otherwise(none))
 
     # 100: portal records without position against all elements; 200: elements without position against portal records with one.
     lost = F.col("lat").isNull()
@@ -238,6 +250,7 @@ def features(pairs: DataFrame) -> DataFrame:
         .when(bad_name & ~good_addr, 0)
         .when(F.coalesce(~F.col("same_number"), F.lit(False)) & ~good_name & F.col("s_name").isNotNull(), 0)
         .when(F.col("s_name").isNull() & F.coalesce(~F.col("same_number") | (F.col("s_street") < 0.6), F.lit(False)), 0)
+        .when(~good_name & ~good_street & ~good_addr & F.coalesce(F.col("dist") > 150, F.lit(False)), 0)
         .when(good_name & ~other & (close | good_addr | good_street), 1)
         .when(F.col("s_name").isNull() & good_addr & (same | F.col("same_kind").isNull()) & ~far, 1)
     )
