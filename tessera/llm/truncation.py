@@ -43,6 +43,7 @@ STOPS = frozenset(".!?")
 OPEN_END = frozenset(",:;-–/(„&+")
 START = "^"
 SEP = "\x1f"
+REACH = 1000  # characters at a text's end that hold LINE tokens and more
 LINE = 14  # lines of at most this many tokens are contexts themselves
 ORDERS = (5, 3, 2, 1)  # tokens of the other contexts, longest first
 
@@ -191,7 +192,8 @@ def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
             rows = []
             for doc_id, source, text in zip(b["doc_id"], b["source"], b["text"], strict=True):
                 cleaned, mark, torn = clean_tail(text)
-                cleaned = plain(cleaned)
+                # The contexts reach back at most one line or LINE tokens: what lies before can't change them.
+                cleaned = plain(cleaned[max(0, len(cleaned) - REACH) :])
                 tokens = TOKEN.findall(cleaned)
                 ends = tokens[-1] if tokens else ""
                 number = len(tokens) > 1 and ends == "." and tokens[-2][0].isdigit()
