@@ -130,7 +130,7 @@ def _minutes(text: str | None) -> list[dict]:
         return []
     flat, votes = " ".join(text.split()), {}
     at = [(m.group(1), m.start(), m.end()) for m in PAPER.finditer(flat)]
-    for (nr, _, end), following in zip(at, [*(s for _, s, _ in at[1:]), len(flat)], strict=True):
+    for (nr, _, end), following in zip(at, [*(s for _, s, _ in at[1:]), len(flat)], strict=False):
         sentence = flat[end : min(end + 250, following)].split(". ", 1)[0]
         said = OUTCOME.search(sentence)
         votes[nr] = votes.get(nr) or (said.group(1).lower() if said else None)

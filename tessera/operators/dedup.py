@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.timestamps import trimmed
-from tessera.storage import load, materialise
+from tessera.storage import filesystem, load, materialise
 
 KEYS_PER_WORD = 4
 BITS_PER_KEY = 4
@@ -79,33 +79,27 @@ def unique_messages(deliveries: DataFrame, keys: list[str], id_col: str, receive
     return deliveries.join(surplus(deliveries, keys, id_col, received).select(id_col), id_col, "left_anti")
 
 
-def ingest(batch: DataFrame, store_path: str, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
-    """One batch against the storage of earlier batches: returns the rows that are new and appends them.
+def ingest(batch: DataFrame, store_path: str, number: int, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """Batch ``number`` against the storage of the batches below it: returns the rows that are new and stores them.
 
     The filters of the stored buckets screen the batch; only possible repeats are looked up in the
-    storage, in the buckets their filters name. For ``foreachBatch``: a replayed batch finds its own
-    rows stored and returns nothing.
+    storage, in the buckets their filters name. A batch that is run again replaces what it stored and
+    returns the same rows. Rows without a complete identifier are always new.
     """
     spark = batch.sparkSession
     fresh = materialise(in_storage(batch, keys, id_col, received, bucket_days), "batch")
-    try:
-        stored = spark.read.parquet(store_path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = fresh.limit(0)
+    fs, p = filesystem(spark, store_path)
+    stored = spark.read.parquet(store_path).filter(F.col("batch") < number) if fs.exists(p) else fresh.limit(0)
     sizes = stored.groupBy("__tb").count().agg(F.max("count")).first()[0] or 1
     words = max(1, sizes // KEYS_PER_WORD)
-    filters = bloom_filters(stored, keys, words)
-    probe = with_bits(fresh, keys, words).join(filters, "__word", "left")
+    probe = with_bits(fresh, keys, words).join(bloom_filters(stored, keys, words), "__word", "left")
     buckets = F.transform(F.filter("__filters", lambda f: f["bits"].bitwiseAND(F.col("__mask")) == F.col("__mask")), lambda f: f["__tb"])
     maybe = probe.select(*keys, F.explode(buckets).alias("__tb"))
     known = stored.select("__tb", *keys).join(maybe, ["__tb", *keys], "left_semi").select(*keys).distinct()
     new = fresh.join(known, keys, "left_anti").groupBy(*keys).agg(F.min("__first").alias("__first"), F.sum("__n").alias("__n"), F.min("__tb").alias("__tb"))
-    new = materialise(new, "new")
-    new.select("__tb", *keys, "__n", "__first").write.mode("append").partitionBy("__tb").parquet(store_path)
-    firsts = new.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
-    kept = batch.join(firsts, [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(id_col) == F.col("__first_id")], "left_semi")
+    new.select("__tb", *keys, "__n", "__first").write.mode("overwrite").partitionBy("__tb").parquet(f"{store_path}/batch={number}")
+    firsts = spark.read.schema(new.schema).parquet(f"{store_path}/batch={number}").select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
+    kept = batch.join(firsts, [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(id_col) == F.col("__first_id")], "left_semi").dropDuplicates([*keys, id_col])
     without = batch.filter(" or ".join(f"`{k}` is null" for k in keys))
     return materialise(kept.unionByName(without), "ingested")
 

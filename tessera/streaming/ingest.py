@@ -35,11 +35,8 @@ def exactly_once(stream: DataFrame, store: str, out: str, keys: list[str], id_co
     """Appends the first copy of each message to ``out``, whatever the time between copies."""
 
     def each(batch: DataFrame, number: int) -> None:
-        # A batch that is run again replaces its own output; the store already holds its keys then.
-        target = f"{out}/batch={number}"
-        fs, p = filesystem(batch.sparkSession, f"{target}/_SUCCESS")
-        if not fs.exists(p):
-            dedup.ingest(batch, f"{store}", keys, id_col, received).write.mode("overwrite").parquet(target)
+        # A batch that is run again replaces what it stored and wrote.
+        dedup.ingest(batch, store, number, keys, id_col, received).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _run(stream, checkpoint, each)
 
