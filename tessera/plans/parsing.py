@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text
@@ -13,7 +13,9 @@ from tessera.storage import load
 QUERIES: dict = {}
 SQL: dict = {}
 C = F.col
-NOW = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+def now() -> Column:
+    return F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+
 
 
 def query(name: str, sql: str | None = None):
@@ -39,12 +41,12 @@ def autobahn_nodes(s: SparkSession, d: str) -> DataFrame:
 
 @query("meeting_nodes", r"""SELECT DISTINCT substr(sha256(coalesce(datum, '') || '|' || g || '|' || coalesce(beginn, '00:00:00')), 1, 20) AS source_id, substr(g || ' ' || coalesce(datum, ''), 1, 200) AS label FROM (SELECT *, coalesce(nullif(gremium, ''), 'Unbekanntes Gremium') AS g FROM gremientermine)""")
 def meeting_nodes(s: SparkSession, d: str) -> DataFrame:
-    return council.gremientermine(load(s, d, "gremientermine"), NOW).select("source_id", "label").distinct()
+    return council.gremientermine(load(s, d, "gremientermine"), now()).select("source_id", "label").distinct()
 
 
 @query("weather_nodes", """SELECT DISTINCT coalesce(_source.dwd_station_id, '') || '|' || coalesce("timestamp", '') AS source_id, substr('Weather ' || coalesce(nullif(_source.station_name, ''), 'Dortmund') || ' ' || coalesce("timestamp", ''), 1, 200) AS label, coalesce(_source.lat, 51.5136) AS lat, coalesce(_source.lon, 7.4653) AS lon FROM brightsky""")
 def weather_nodes(s: SparkSession, d: str) -> DataFrame:
-    return feeds.brightsky(load(s, d, "brightsky"), NOW).select("source_id", "label", "lat", "lon").distinct()
+    return feeds.brightsky(load(s, d, "brightsky"), now()).select("source_id", "label", "lat", "lon").distinct()
 
 
 @query("area_nodes", f"WITH {w.AREAS} SELECT id, label, area_type, parent FROM areas")
@@ -54,7 +56,7 @@ def area_nodes(s: SparkSession, d: str) -> DataFrame:
 
 @query("stable_source_id", f"WITH {w.ODS} SELECT DISTINCT source_id, label FROM ods")
 def stable_source_id(s: SparkSession, d: str) -> DataFrame:
-    return places.ods_pois(load(s, d, "ods_pois"), NOW).select("source_id", "label").distinct()
+    return places.ods_pois(load(s, d, "ods_pois"), now()).select("source_id", "label").distinct()
 
 
 @query("parse_timestamps", r"""SELECT obs_id, CASE WHEN regexp_matches(t, '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$') THEN epoch_us(try_cast(t AS TIMESTAMPTZ)) END AS utc_us FROM (SELECT obs_id, regexp_replace("timestamp", '([+-]\d\d)(\d\d)$', '\1:\2') AS t FROM brightsky) WHERE regexp_matches(t, '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$')""")
@@ -96,7 +98,7 @@ def xml_extract(s: SparkSession, d: str) -> DataFrame:
     o = load(s, d, "orders")
     code = (C("o_orderkey") % 4 + 16).cast("string")
     xml = F.concat(F.lit("<n><cbc:ContractFolderID schemeName='x'>"), C("o_orderkey").cast("string"), F.lit("</cbc:ContractFolderID>\n<cac:ProcurementProject>\n<cbc:Name languageID='DEU'>"), "o_orderpriority", F.lit("</cbc:Name></cac:ProcurementProject><cbc:SubTypeCode>"), code, F.lit("</cbc:SubTypeCode> Dortmund</n>"))
-    t = feeds.vergabe(o.select(xml.alias("xml")), NOW)
+    t = feeds.vergabe(o.select(xml.alias("xml")), now())
     return t.select(C("source_id").cast("long").alias("o_orderkey"), C("label").alias("name"), F.get_json_object("properties", "$.tender_type").alias("tender_type"))
 
 
@@ -159,11 +161,11 @@ def parse_agenda(s: SparkSession, d: str) -> DataFrame:
 
 @query("single_outcome")
 def single_outcome(s: SparkSession, d: str) -> DataFrame:
-    n, _ = council.niederschriften(_minutes(s, d), NOW)
+    n, _ = council.niederschriften(_minutes(s, d), now())
     return n.filter("node_type = 'AgendaItem'").select("source_id", F.get_json_object("properties", "$.result").alias("result"))
 
 
 @query("agenda_edges")
 def agenda_edges(s: SparkSession, d: str) -> DataFrame:
-    _, e = council.niederschriften(_minutes(s, d), NOW)
+    _, e = council.niederschriften(_minutes(s, d), now())
     return e.select("edge_type", "from_node_id", "to_node_id", F.get_json_object("properties", "$.relation").alias("relation"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, text
@@ -15,7 +15,9 @@ from tessera.sources import feeds, places
 QUERIES: dict = {}
 SQL: dict = {}
 C = F.col
-NOW = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+def now() -> Column:
+    return F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+
 
 
 def query(name: str, sql: str | None = None):
@@ -107,7 +109,7 @@ def geojson_to_wkt(s: SparkSession, d: str) -> DataFrame:
 
 @query("hierarchy_link", f"WITH {w.AREAS} SELECT c.id AS from_node_id, p.id AS to_node_id FROM areas c JOIN areas p ON c.parent = p.source_id AND p.area_type = 'stadtbezirk' WHERE c.area_type = 'statistischer_bezirk'")
 def hierarchy_link(s: SparkSession, d: str) -> DataFrame:
-    return places.area_hierarchy(w.areas(s, d), NOW).select("from_node_id", "to_node_id")
+    return places.area_hierarchy(w.areas(s, d), now()).select("from_node_id", "to_node_id")
 
 
 @query("orphan_areas", f"WITH {w.AREAS} SELECT c.id, c.parent AS parent_key FROM areas c WHERE c.parent IS NOT NULL AND c.parent NOT IN (SELECT source_id FROM areas WHERE area_type = 'stadtbezirk')")

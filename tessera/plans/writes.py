@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.temporal import valid_at
@@ -15,7 +15,9 @@ from tessera.sources import registry
 QUERIES: dict = {}
 SQL: dict = {}
 C = F.col
-NOW = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+def now() -> Column:
+    return F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+
 
 
 def query(name: str, sql: str | None = None):
@@ -53,7 +55,7 @@ def content_hash_diff(s: SparkSession, d: str) -> DataFrame:
 SELECT sid AS source_id, 'touched' AS change, true AS is_open FROM fl WHERE f IS NOT DISTINCT FROM l
 UNION ALL SELECT sid, 'closed', false FROM fl WHERE f IS DISTINCT FROM l UNION ALL SELECT sid, 'inserted', true FROM fl WHERE f IS DISTINCT FROM l""")
 def scd2_upsert(s: SparkSession, d: str) -> DataFrame:
-    out = upsert.upsert_nodes(_stations(s, d, "first"), _stations(s, d, "last"), NOW)
+    out = upsert.upsert_nodes(_stations(s, d, "first"), _stations(s, d, "last"), now())
     return out.select("source_id", "change", C("valid_to").isNull().alias("is_open"))
 
 
@@ -63,7 +65,7 @@ UNION ALL SELECT source, source_id, 'inserted' FROM late WHERE (source, source_i
 def edge_dedup(s: SparkSession, d: str) -> DataFrame:
     e = w.edges(s, d).filter("source_id is not null and source is not null")
     base, late = e.filter(F.unix_seconds("observed_at") < 1719792000), e.filter(F.unix_seconds("observed_at") >= 1704067200)
-    return upsert.upsert_edges(conform(base, EDGES), conform(late, EDGES), NOW).select("source", "source_id", "change")
+    return upsert.upsert_edges(conform(base, EDGES), conform(late, EDGES), now()).select("source", "source_id", "change")
 
 
 @query("missing_edges", f"""WITH {w.EDGES_SQL}, p AS (SELECT DISTINCT from_node_id, to_node_id FROM edges)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalars import iso_time, share_pct, stable_id, text_or, url_parameter
-from tessera.functions.text import parse_minutes
+from tessera.functions.text import html_to_text, parse_minutes
 from tessera.schema import node_id
 from tessera.sources.common import emit, relation
 
@@ -28,7 +28,7 @@ def minutes(raw: DataFrame) -> DataFrame:
     """Landed minutes (``link, gremium, datum, html``) with ``document_id`` and the parsed ``agenda``; documents without id drop out."""
     doc = F.coalesce(C("document_id"), url_parameter(C("link"), "documentId")) if "document_id" in raw.columns else url_parameter(C("link"), "documentId")
     x = raw.withColumn("document_id", doc).filter("document_id is not null")
-    return x.withColumns({"gremium": text_or(C("gremium"), "Unbekanntes Gremium"), "datum": F.coalesce("datum", F.lit("")), "agenda": parse_minutes(C("html"))})
+    return x.withColumns({"gremium": text_or(C("gremium"), "Unbekanntes Gremium"), "datum": F.coalesce("datum", F.lit("")), "agenda": parse_minutes(html_to_text(C("html")))})
 
 
 def niederschriften(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
