@@ -97,13 +97,16 @@ def gazetteer(layers: list[tuple[DataFrame, str]]) -> DataFrame:
     return every.filter(F.length("term") >= MIN_TERM).groupBy("term").agg(F.min("e").alias("e")).select("term", "e.node_id", "e.relation")
 
 
-def mentions(texts: DataFrame, terms: DataFrame, max_words: int = 6) -> DataFrame:
+def mentions(texts: DataFrame, terms: DataFrame, max_words: int | None = None) -> DataFrame:
     """``id, term, node_id, relation``: distinct gazetteer terms in each text, leftmost and longest first.
 
     ``texts``: ``id, text``; ids are unique. Each run of up to ``max_words`` words is looked up by an equi-join, so the
     cost doesn't grow with the gazetteer as an alternation's would. Matches that overlap an earlier one
-    drop out. Terms of more words than ``max_words`` are not found; terms start and end in word characters.
+    drop out. ``max_words`` is by default the longest term's number of words; terms start and end in word characters.
     """
+    if max_words is None:
+        words = F.size(F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0)))
+        max_words = terms.agg(F.max(words)).first()[0] or 1
     tokens = F.regexp_extract_all(normalize(F.col("text")), F.lit(r"(?U)(\w+|[^\w]+)"), F.lit(1))
     t = texts.select("id", tokens.alias("tokens"))
     is_word = lambda x: x.rlike(r"(?U)^\w")

@@ -149,7 +149,7 @@ def offset_intervals(zone: str) -> list[tuple[int, int, int]]:
 
 
 def interval_table(spark: SparkSession, zones: tuple[str, ...]) -> DataFrame:
-    """Intervals exploded by month: ``zone, month_no, spans array<struct<ls, le, off>>`` in microseconds."""
+    """Intervals exploded by month: a row for each zone and month with its ``spans array<struct<ls, le, off>>`` in microseconds."""
     rows: dict[tuple[str, int], list] = {}
     month = lambda s: (lambda d: d.year * 12 + d.month - 1)(datetime(1970, 1, 1) + timedelta(seconds=s))
     for zone in zones:
@@ -157,7 +157,7 @@ def interval_table(spark: SparkSession, zones: tuple[str, ...]) -> DataFrame:
             for m in range(max(month(ls), FIRST_YEAR * 12), min(month(le - 1), LAST_YEAR * 12 + 11) + 1):
                 rows.setdefault((zone, m), []).append((ls * 1_000_000, le * 1_000_000, off * 1_000_000))
     data = [(z, m, spans) for (z, m), spans in rows.items()]
-    return spark.createDataFrame(data, "iv_zone string, iv_month int, spans array<struct<ls:bigint,le:bigint,off:bigint>>")
+    return spark.createDataFrame(data, "__tz_iv_zone string, __tz_iv_month int, __tz_spans array<struct<ls:bigint,le:bigint,off:bigint>>")
 
 
 def to_instants(df: DataFrame, text: Column, default_zone: str, time_text: Column | None = None, zones: tuple[str, ...] = ("Europe/Berlin", "UTC")) -> DataFrame:
@@ -166,7 +166,7 @@ def to_instants(df: DataFrame, text: Column, default_zone: str, time_text: Colum
     ``local_kind``: ``stated`` (epoch or stated offset), ``unique``, ``ambiguous`` (the earlier instant
     is taken), ``skipped`` (moved forward by the gap's hour), or null where the text states no valid date
     and time; ``utc_us`` is then null. Nulls, empty and overlong texts, unknown zones, and years outside
-    1900-2100 without a stated offset give null. Helper columns are in one struct with a name of its own.
+    1900-2100 without a stated offset give null. A column of ``df`` named like a result is replaced.
     """
     known = tuple(dict.fromkeys((*zones, default_zone)))
     spans = interval_table(df.sparkSession, known)
@@ -177,12 +177,12 @@ def to_instants(df: DataFrame, text: Column, default_zone: str, time_text: Colum
     needs = local.isNotNull() & F.col(f"{p}.offset_us").isNull()
     wall = F.date_from_unix_date(F.floor(local / 86_400_000_000).cast("int"))
     x = x.withColumn("__tz_zone", F.when(needs, F.coalesce(F.col(f"{p}.zone"), F.lit(default_zone)))).withColumn("__tz_month", F.when(needs, F.year(wall) * 12 + F.month(wall) - 1))
-    x = x.join(F.broadcast(spans), (F.col("__tz_zone") == F.col("iv_zone")) & (F.col("__tz_month") == F.col("iv_month")), "left")
-    hits = F.filter("spans", lambda s: (local >= s["ls"]) & (local < s["le"]))
+    x = x.join(F.broadcast(spans), (F.col("__tz_zone") == F.col("__tz_iv_zone")) & (F.col("__tz_month") == F.col("__tz_iv_month")), "left")
+    hits = F.filter("__tz_spans", lambda s: (local >= s["ls"]) & (local < s["le"]))
     # In a gap the offset before it moves the wall clock forward by the gap's length.
-    before = F.element_at(F.filter("spans", lambda s: local >= s["le"]), -1)["off"]
+    before = F.element_at(F.filter("__tz_spans", lambda s: local >= s["le"]), -1)["off"]
     n = F.size(hits)
-    kind = F.when(F.col(f"{p}.instant_us").isNotNull() | (local.isNotNull() & F.col(f"{p}.offset_us").isNotNull()), "stated").when(F.col("spans").isNotNull(), F.when(n == 1, "unique").when(n == 2, "ambiguous").otherwise("skipped"))
+    kind = F.when(F.col(f"{p}.instant_us").isNotNull() | (local.isNotNull() & F.col(f"{p}.offset_us").isNotNull()), "stated").when(F.col("__tz_spans").isNotNull(), F.when(n == 1, "unique").when(n == 2, "ambiguous").otherwise("skipped"))
     utc = F.when(F.col(f"{p}.instant_us").isNotNull(), F.col(f"{p}.instant_us")).when(F.col(f"{p}.offset_us").isNotNull(), local - F.col(f"{p}.offset_us"))
     utc = utc.when(n > 0, F.array_min(F.transform(hits, lambda s: local - s["off"]))).otherwise(local - before)
-    return x.withColumns({"utc_us": utc, "local_kind": kind}).drop(p, "__tz_zone", "__tz_month", "iv_zone", "iv_month", "spans")
+    return x.withColumns({"utc_us": utc, "local_kind": kind}).drop(p, "__tz_zone", "__tz_month", "__tz_iv_zone", "__tz_iv_month", "__tz_spans")

@@ -89,7 +89,8 @@ def ingest(batch: DataFrame, store_path: str, number: int, keys: list[str], id_c
     spark = batch.sparkSession
     fresh = materialise(in_storage(batch, keys, id_col, received, bucket_days), "batch")
     fs, p = filesystem(spark, store_path)
-    stored = spark.read.parquet(store_path).filter(F.col("batch") < number) if fs.exists(p) else fresh.limit(0)
+    schema = fresh.select("__tb", *keys, "__n", "__first").withColumn("batch", F.lit(0)).schema
+    stored = spark.read.schema(schema).parquet(store_path).filter(F.col("batch") < number) if fs.exists(p) else fresh.limit(0)
     sizes = stored.groupBy("__tb").count().agg(F.max("count")).first()[0] or 1
     words = max(1, sizes // KEYS_PER_WORD)
     probe = with_bits(fresh, keys, words).join(bloom_filters(stored, keys, words), "__word", "left")

@@ -52,6 +52,14 @@ def build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int = HOT
     observations and a thousandth of all) are cut at quantiles of their effect times; each part is
     folded by itself and only its first and last runs meet in a second, small window.
     """
+    # Within, keys and attributes have names of their own: theirs may be any.
+    as_key, as_attr = {k: f"__k{i}" for i, k in enumerate(keys)}, {a: f"__a{i}" for i, a in enumerate(attrs)}
+    obs = obs.select(*[F.col(f"`{k}`").alias(v) for k, v in {**as_key, **as_attr}.items()], *[F.col(c) for c in ("effect", "observed_at", "valid_to")])
+    chains = _build(obs, list(as_key.values()), list(as_attr.values()), hot_rows)
+    return chains.withColumnsRenamed({v: k for k, v in {**as_key, **as_attr}.items()})
+
+
+def _build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int) -> DataFrame:
     seen = effective(obs, keys, attrs)
     counts = obs.groupBy(*keys).count()
     total = counts.agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()

@@ -62,7 +62,7 @@ def link_confidence(found: DataFrame) -> DataFrame:
     return found.withColumn("confidence", F.when(F.col("relation") == "mentions_street", STREET).when(alone, AREA_ALONE).otherwise(AREA_AMONG))
 
 
-def text_links(texts: DataFrame, areas: DataFrame, streets: DataFrame | None = None, floor: float = FLOOR, max_words: int = 6) -> DataFrame:
+def text_links(texts: DataFrame, areas: DataFrame, streets: DataFrame | None = None, floor: float = FLOOR, max_words: int | None = None) -> DataFrame:
     """``from_node_id, to_node_id, term, relation, confidence`` of places named in current text nodes."""
     layers = [(areas.select(F.col("id").alias("ord"), "id", "label"), "mentions_area")]
     if streets is not None:

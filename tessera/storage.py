@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch(spark, name)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # given, since an empty table has no file to tell it
 
 
 def filesystem(spark: SparkSession, path: str):
