@@ -250,7 +250,7 @@ def features(pairs: DataFrame) -> DataFrame:
         .when(bad_name & ~good_addr, 0)
         .when(F.coalesce(~F.col("same_number"), F.lit(False)) & ~good_name & F.col("s_name").isNotNull(), 0)
         .when(F.col("s_name").isNull() & F.coalesce(~F.col("same_number") | (F.col("s_street") < 0.6), F.lit(False)), 0)
-        .when(~good_name & ~good_street & ~good_addr & F.coalesce(F.col("dist") > 150, F.lit(False)), 0)
+        .when(~good_name & ~good_street & ~good_addr & F.coalesce((F.col("dist") > 150) & (F.col("s_stem") < 0.7), F.lit(False)), 0)
         .when(good_name & ~other & (close | good_addr | good_street), 1)
         .when(F.col("s_name").isNull() & good_addr & (same | F.col("same_kind").isNull()) & ~far, 1)
     )
