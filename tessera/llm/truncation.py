@@ -76,27 +76,30 @@ def word_class(word: str, common: frozenset[str]) -> str:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n, docs = Counter(), Counter()
+    n, docs, last = Counter(), Counter(), Counter()
 
     def out() -> pd.DataFrame:
-        x = pd.DataFrame({"word": list(docs), "n": [n[w] for w in docs], "docs": list(docs.values())})
-        n.clear()
-        docs.clear()
+        every = list(docs | last)
+        x = pd.DataFrame({"word": every, "n": [n[w] for w in every], "docs": [docs[w] for w in every], "last": [last[w] for w in every]})
+        for c in (n, docs, last):
+            c.clear()
         return x
 
     for b in batches:
         for text in b["text"]:
             words = [t for t in TOKEN.findall(plain(clean_tail(text)[0])) if t[0].isalpha()]
             n.update(words[:-1])
-            docs.update(set(words))
-            if len(docs) > FLUSH:
+            docs.update(set(words[:-1]))
+            last.update(words[-1:])
+            if len(docs) + len(last) > FLUSH:
                 yield out()
-    yield out()
+    if docs or last:
+        yield out()
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """``word, n, docs``: occurrences before a text's last word, and documents with the word anywhere."""
-    return texts.select("text").mapInPandas(_words, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """``word, n, docs, last``: occurrences before a text's last word, the documents with them, and texts that end in the word."""
+    return texts.select("text").mapInPandas(_words, "word string, n long, docs long, last long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "last")])
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -148,40 +151,48 @@ def keys_of(sentence: list[str], line: list[str] | None) -> list[str | None]:
     return [*lines, *[SEP.join(sentence[-k:]) if len(sentence) >= k else None for k in ORDERS]]
 
 
-def contexts(texts: DataFrame, common: frozenset[str]) -> DataFrame:
-    """``context, n_end, n_on, n_eot`` for every context in the texts."""
+def contexts(texts: DataFrame, common: frozenset[str], ended: DataFrame) -> DataFrame:
+    """``context, n_end, n_on, n_eot`` for every context in the texts.
+
+    ``ended``: the tails whose last word is a known one; of others the text may have ended in a word cut
+    short, which says nothing about where texts end.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
 
         def out() -> pd.DataFrame:
-            x = pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["context", "n_end", "n_on", "n_eot"])
+            x = pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["context", "n_end", "n_on"])
             seen.clear()
             return x
 
-        at = {"end": 0, "on": 1, "eot": 2}
+        at = {"end": 0, "on": 1}
         for b in batches:
             for text in b["text"]:
-                for sentence, line, c, what in places(plain(clean_tail(text)[0]), common):
-                    if what == "eot" and c == "x":
-                        continue  # often a word cut short, which says nothing about natural ends
+                for sentence, line, _, what in places(plain(clean_tail(text)[0]), common):
+                    if what == "eot":
+                        continue  # counted from the tails, where the word is known to be whole
                     i = at[what]
                     for k in keys_of(sentence, line):
                         if k is None:
                             continue
                         if (v := seen.get(k)) is None:
-                            v = seen[k] = [0, 0, 0]
+                            v = seen[k] = [0, 0]
                         v[i] += 1
                 if len(seen) > FLUSH:
                     yield out()
-        yield out()
+        if seen:
+            yield out()
 
-    parts = texts.select("text").mapInPandas(count, "context string, n_end long, n_on long, n_eot long")
+    parts = texts.select("text").mapInPandas(count, "context string, n_end long, n_on long").withColumn("n_eot", F.lit(0).cast("long"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ends = ended.select(F.explode(F.filter(F.array(*CONTEXTS), lambda k: k.isNotNull())).alias("context"), zero.alias("n_end"), zero.alias("n_on"), one.alias("n_eot"))
+    parts = parts.unionByName(ends)
     return parts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("n_end", "n_on", "n_eot")])
 
 
 CONTEXTS = [f"c{i}" for i in range(len(ORDERS) + 3)]
-TAIL = "doc_id long, source string, n_chars long, n_bytes long, last string, lower_rare boolean, closed boolean, ordinal boolean, open_end boolean, empty boolean, mark boolean, torn boolean, " + ", ".join(f"{c} string" for c in CONTEXTS)
+TAIL = "doc_id long, source string, n_chars long, n_bytes long, last string, word boolean, closed boolean, ordinal boolean, open_end boolean, empty boolean, mark boolean, torn boolean, " + ", ".join(f"{c} string" for c in CONTEXTS)
 
 
 def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -203,7 +214,7 @@ def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
                     sentence = list(sentence)
                 keys = keys_of(sentence, line) if sentence and (word or number) else [None] * len(CONTEXTS)
                 closed = bool(ends) and not word and not number and ends not in OPEN_END
-                rows.append((doc_id, source, len(text), len(text.rstrip("\ufffd").encode("utf-8", "replace")), ends if ends[:1].isalpha() else None, word and c == "x", closed, number, ends in OPEN_END, not ends, mark, torn, *keys))
+                rows.append((doc_id, source, len(text), len(text.rstrip("\ufffd").encode("utf-8", "replace")), ends if ends[:1].isalpha() else None, word, closed, number, ends in OPEN_END, not ends, mark, torn, *keys))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TAIL.split(", ")])
 
     return texts.select("doc_id", "source", "text").mapInPandas(of, TAIL)
@@ -233,22 +244,28 @@ def judge(documents: DataFrame) -> DataFrame:
     total = docs.count()
     # A document has few distinct words, so the words of COMMON_SHARE of the documents are few: at most
     # (mean distinct words of a document) / COMMON_SHARE.
-    common = frozenset(r[0] for r in words.filter(F.col("docs") >= max(3.0, COMMON_SHARE * total)).select("word").toLocalIterator())
-    ctx = materialise(contexts(docs, common), "contexts")
-    t = materialise(tails(docs, common), "tails")
+    nodes = materialise(trie(words), "trie")
+    often = max(3.0, COMMON_SHARE * total)
+    # Words that only end texts count too, unless they are prefixes of others and so may be cut.
+    named = words.filter((F.col("docs") < often) & (F.col("docs") + F.col("last") >= often)).join(nodes, F.col("word") == F.col("prefix"), "left_anti")
+    common = frozenset(r[0] for r in words.filter(F.col("docs") >= often).select("word").unionByName(named.select("word")).toLocalIterator())
+    t = tails(docs, common).join(words.select(F.col("word").alias("last"), F.col("n").alias("known")), "last", "left").join(nodes.withColumnRenamed("prefix", "last"), "last", "left")
+    unknown = F.col("last").isNotNull() & (F.coalesce("known", F.lit(0)) == 0)
+    t = t.withColumn("cut_word", unknown & (F.coalesce("below", F.lit(0)) > 0))
+    # Whether the end is one of a whole word, and so counts among the ends of its contexts.
+    t = materialise(t.withColumn("whole", F.col("word") & ~F.col("cut_word")), "tails")
+    ctx = materialise(contexts(docs, common, t.filter("whole")), "contexts")
     for k in CONTEXTS:
         t = t.join(ctx.select(F.col("context").alias(k), F.struct("n_end", "n_on", "n_eot").alias(f"{k}_n")), k, "left")
-    t = t.join(words.select(F.col("word").alias("last"), F.col("n").alias("known")), "last", "left")
-    t = t.join(trie(words).withColumnRenamed("prefix", "last"), "last", "left")
 
     # Of the contexts seen often enough beside this text itself, the longest speaks.
-    own = F.when(F.col("ordinal") | F.col("lower_rare"), 0).otherwise(1)
+    own = F.col("whole").cast("int")
     others = lambda k: F.col(f"{k}_n.n_end") + F.col(f"{k}_n.n_on") + F.col(f"{k}_n.n_eot") - own
     ends = lambda k: (F.col(f"{k}_n.n_end") + F.col(f"{k}_n.n_eot") - own) / others(k)
     share = F.coalesce(*[F.when(others(k) >= MIN_SEEN, ends(k)) for k in CONTEXTS])
-    unknown = F.col("last").isNotNull() & (F.coalesce("known", F.lit(0)) == 0)
-    t = t.withColumns({"share": share, "cut_word": unknown & (F.coalesce("below", F.lit(0)) > 0)})
-    natural = (F.coalesce("share", F.lit(0.0)) >= NATURAL) & ~F.col("lower_rare") & ~F.col("mark") & ~F.col("torn")
+    t = t.withColumn("share", share)
+    # An unknown name may end a text where names do, e.g. a title; other unknown words don't.
+    natural = (F.coalesce("share", F.lit(0.0)) >= NATURAL) & F.col("last").rlike(r"^\p{Lu}") & ~F.col("mark") & ~F.col("torn")
     t = t.withColumn(
         "reason",
         F.when(F.col("empty") | F.col("closed"), None)
