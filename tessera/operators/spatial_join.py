@@ -227,7 +227,8 @@ def spatial_pairs(positions: DataFrame, areas: DataFrame, radius_m: float, sampl
                 if pts:
                     x, y = [c[0] for c in pts], [c[1] for c in pts]
                     rows += [(leaf, area, rings) for leaf in tree.leaves_of_box(min(y), min(x), max(y), max(x))]
-            yield pd.DataFrame(rows, columns=["leaf", "area", "rings"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["leaf", "area", "rings"])
 
     def one(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         return join_leaf(points, regions, radius_m)
