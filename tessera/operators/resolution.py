@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import haversine
 from tessera.functions.text import trigrams
+from tessera.storage import materialise
 
 MERGE, REVIEW = 0.95, 0.70
 GEO_M, NAME_LEAST = 50.0, 0.80
@@ -43,21 +44,29 @@ def similar_labels(nodes: DataFrame, node_type: str, least: float = NAME_LEAST)
 
     One row per pair of distinct labels, with how many current nodes have each: nodes of equal label are one class. A
     similarity of t needs a shared trigram among the rarest n - ceil(t n) + 1 of either label, so only these
-    prefixes are joined; sizes must agree within t, then the similarity is exact.
+    prefixes are joined; pairs whose sizes, places or bits rule them out drop there, then the similarity is exact.
     """
     n = nodes.filter((F.col("node_type") == node_type) & F.col("valid_to").isNull() & F.col("label").isNotNull())
     labels = n.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("grams", F.transform(trigrams(F.col("label")), _as_number)).filter(F.size("grams") > 0)
-    labels = labels.withColumn("h", F.xxhash64("source", "label"))
+    labels = materialise(labels.withColumn("h", F.xxhash64("source", "label")), "labels")
     grams = labels.select("h", "source", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ordered = grams.join(often, "gram").groupBy("h", "source", "size").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"))
+    # A bit for each trigram in one of two words: sets can't differ by fewer trigrams than their words by bits.
+    g = F.xxhash64("gram")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.bit_or(F.when(F.shiftrightunsigned(g, 6).bitwiseAND(F.lit(1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
+    ordered = grams.join(often, "gram").groupBy("h", "source", "size").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"), word(0), word(1))
     keep = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-    prefix = ordered.select("h", "source", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("at", "g")).select("h", "source", "size", "at", "g.gram")
+    prefix = ordered.select("h", "source", "size", "w0", "w1", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("at", "g")).select("h", "source", "size", "w0", "w1", "at", "g.gram")
+    prefix = materialise(prefix, "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     # If the first trigram they share stands at these places, what follows bounds how many they can share.
     bound = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
     enough = bound * (1 + least) >= least * (F.col("a.size") + F.col("b.size")) - 1e-9
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.source") < F.col("b.source")) & (F.col("a.size") >= F.col("b.size") * least - 1e-9) & (F.col("b.size") >= F.col("a.size") * least - 1e-9) & enough)
+    differ = F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))) + F.bit_count(F.col("a.w1").bitwiseXOR(F.col("b.w1")))
+    alike = differ * (1 + least) <= (1 - least) * (F.col("a.size") + F.col("b.size")) + 1e-9
+    sizes = (F.col("a.size") >= F.col("b.size") * least - 1e-9) & (F.col("b.size") >= F.col("a.size") * least - 1e-9)
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.source") < F.col("b.source")) & sizes & enough & alike)
     pairs = pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
     la = labels.select(F.col("h").alias("ha"), F.col("grams").alias("ga"))
     lb = labels.select(F.col("h").alias("hb"), F.col("grams").alias("gb"))
