@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,8 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder, once its results have been taken."""
+    fs, p = filesystem(spark, _own(spark))
+    fs.delete(p, True)
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -51,11 +60,3 @@ def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of ours below the shared folder."""
-    if not path.startswith(shared_dir(spark)):
-        raise ValueError(f"not below the shared folder: {os.path.basename(path)}")
-    fs, p = filesystem(spark, path)
-    fs.delete(p, True)
