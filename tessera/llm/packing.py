@@ -63,11 +63,11 @@ class BestFit:
         return b
 
 
-SCHEMA = "container string, capacity_tokens int, bin_id bigint, doc_id bigint, piece int, n_pieces int, tokens bigint, token_start bigint"
+SCHEMA = "container string, capacity_tokens int, bin_id bigint, doc_id string, piece int, n_pieces int, tokens bigint, token_start bigint"
 
 
 def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_BINS, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
-    """``SCHEMA``: one row per item and container, or per piece of an item larger than the capacity.
+    """The columns of ``SCHEMA`` (``doc_id`` bigint): one row per item and container, or per piece of an item larger than the capacity.
 
     ``sizes``: ``doc_id, tokens``. An item larger than the capacity is cut into pieces of the capacity,
     each a bin of its own, and the rest is packed like an item. Items of size 0 go into a bin too, so
@@ -77,7 +77,7 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
     limits = [(c, int(k)) for c, k in limits if k and k > 0]
     spark = sizes.sparkSession
     if not limits:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = sizes.count()
     tasks = max(1, -(-n // items_per_task))
 
@@ -100,11 +100,12 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
                 if len(rows) > 100_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     order = F.xxhash64("doc_id", "tokens")
-    s = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens", F.lit("part")), F.lit(tasks)))
+    # As text, since a null would turn a batch's ids into floating-point numbers.
+    s = sizes.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens", F.lit("part")), F.lit(tasks)))
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition may hold several parts, one after the other: each is packed by itself.
         def parts() -> Iterator[tuple[int, pd.DataFrame]]:
@@ -123,7 +124,7 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
         if held:
             yield from run(iter(held))
 
-    return s.repartition(tasks, "part").sortWithinPartitions("part", order, "doc_id").mapInPandas(each, SCHEMA)
+    return s.repartition(tasks, "part").sortWithinPartitions("part", order, "doc_id").mapInPandas(each, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def document_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

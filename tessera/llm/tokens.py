@@ -6,7 +6,7 @@ import base64
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +48,11 @@ def count_tokens(df: DataFrame, text: str = "text", tokenizer_dir: str = TOKENIZ
     kept = df.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {out} bigint"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            texts = b.pop("__text")
-            b[out] = [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in texts]
-            yield b
+            n = [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            # The kept columns pass through as they are, nulls and large numbers too.
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], out])
 
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(count, schema)
+    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(count, schema)

@@ -192,7 +192,7 @@ def contexts(texts: DataFrame, common: frozenset[str], ended: DataFrame) -> Data
 
 
 CONTEXTS = [f"c{i}" for i in range(len(ORDERS) + 3)]
-TAIL = "doc_id long, source string, n_chars long, n_bytes long, last string, word boolean, closed boolean, ordinal boolean, open_end boolean, empty boolean, mark boolean, torn boolean, " + ", ".join(f"{c} string" for c in CONTEXTS)
+TAIL = "doc_id string, source string, n_chars long, n_bytes long, last string, word boolean, closed boolean, ordinal boolean, open_end boolean, empty boolean, mark boolean, torn boolean, " + ", ".join(f"{c} string" for c in CONTEXTS)
 
 
 def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -217,7 +217,9 @@ def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
                 rows.append((doc_id, source, len(text), len(text.rstrip("\ufffd").encode("utf-8", "replace")), ends if ends[:1].isalpha() else None, word, closed, number, ends in OPEN_END, not ends, mark, torn, *keys))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TAIL.split(", ")])
 
-    return texts.select("doc_id", "source", "text").mapInPandas(of, TAIL)
+    # As text, since a null would turn a batch's ids into floating-point numbers.
+    t = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text").mapInPandas(of, TAIL)
+    return t.withColumn("doc_id", F.col("doc_id").cast(texts.schema["doc_id"].dataType))
 
 
 def field_limits(ends: DataFrame, within: int = 20, least: int = 5, times: float = 5.0, cut: float = 0.3) -> DataFrame:
