@@ -104,16 +104,20 @@ class HistoryStore:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], attrs: list[str], hot_rows: int = HOT_ROWS):
         self.spark, self.path, self.keys, self.attrs, self.hot_rows = spark, path, keys, attrs, hot_rows
 
-    def _manifest(self) -> list[str]:
+    def _commits(self) -> list[str]:
         fs, folder = filesystem(self.spark, f"{self.path}/_manifests")
-        if not fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")) if fs.exists(folder) else []
+
+    def _manifest(self) -> list[str]:
+        names = self._commits()
         return json.loads(self.spark.read.text(f"{self.path}/_manifests/{names[-1]}", wholetext=True).first()[0]) if names else []
 
-    def _commit(self, generations: list[str]) -> None:
+    def _commit(self, generations: list[str], after: int) -> None:
+        """The manifest after the first ``after`` ones; another writer's in its place is an error."""
         jvm = self.spark.sparkContext._jvm
-        name = f"{self.path}/_manifests/{len(generations):08d}"
+        name = f"{self.path}/_manifests/{after + 1:08d}"
+        if filesystem(self.spark, f"{name}.json")[0].exists(jvm.org.apache.hadoop.fs.Path(f"{name}.json")):
+            raise RuntimeError("another writer committed this generation")
         fs, tmp = filesystem(self.spark, f"{name}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(generations), "utf-8"))
@@ -139,7 +143,7 @@ class HistoryStore:
 
     def apply(self, batch: DataFrame) -> None:
         """Adds a batch of observations (keys, attrs, effect, observed_at, valid_to) and replaces the touched chains."""
-        gens = self._manifest()
+        commits, gens = len(self._commits()), self._manifest()
         gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
         base = f"{self.path}/{gen}"
         batch.select(*self.keys, "effect", "observed_at", *self.attrs, "valid_to").write.parquet(f"{base}/raw")
@@ -150,7 +154,19 @@ class HistoryStore:
             touched = self.spark.read.parquet(f"{base}/touched")
             changes = self.raw().join(touched, self.keys, "left_semi").unionByName(fresh)
         build(changes, self.keys, self.attrs, self.hot_rows).write.parquet(f"{base}/chains")
-        self._commit([*gens, gen])
+        self._commit([*gens, gen], commits)
+
+    def compact(self) -> None:
+        """One generation in place of all: readers then take no anti-join. Older files stay for readers that are at it."""
+        commits, gens = len(self._commits()), self._manifest()
+        if len(gens) < 2:
+            return
+        gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
+        base = f"{self.path}/{gen}"
+        self.raw().write.parquet(f"{base}/raw")
+        self.current(gens).write.parquet(f"{base}/chains")
+        self.spark.read.parquet(f"{base}/chains").select(*self.keys).distinct().write.parquet(f"{base}/touched")
+        self._commit([gen], commits)
 
 
 KEYS = ["source", "source_id"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import dedup, history, instants, spatial_join
-from tessera.plans import parsing, reads, reasoning, spatial, writes
+from tessera.plans import landed, parsing, reads, reasoning, spatial, writes
 
 QUERIES = {
     "p2_found": history.found,
@@ -15,6 +15,7 @@ QUERIES = {
     **spatial.QUERIES,
     **reasoning.QUERIES,
     **parsing.QUERIES,
+    **landed.QUERIES,
 }
 SQL = {
     "p2_found": history.FOUND_SQL,
@@ -26,5 +27,6 @@ SQL = {
     **spatial.SQL,
     **reasoning.SQL,
     **parsing.SQL,
+    **landed.SQL,
 }
 flagship = reads.flagship

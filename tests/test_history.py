@@ -68,6 +68,10 @@ def test_late_batches_rebuild_only_their_chains(spark):
     gens = store._manifest()
     touched = spark.read.parquet(f"{store.path}/{gens[1]}/touched").count()
     assert touched == len({d[0] for d in data[500:520]})
+    store.compact()
+    assert len(store._manifest()) == 1 and {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data)
+    store.apply(spark.createDataFrame(data[:30], DDL))
+    assert {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data)
     # A batch that never committed isn't seen.
     assert store.current(gens[:1]).count() == len(expected(data[:500]))
 
