@@ -46,6 +46,7 @@ SEP = "\x1f"
 REACH = 1000  # characters at a text's end that hold LINE tokens and more
 LINE = 14  # lines of at most this many tokens are contexts themselves
 ORDERS = (5, 3, 2, 1)  # tokens of the other contexts, longest first
+LINE_1, LINE_2, LINE_3 = (SEP.join([START] * n) + SEP for n in (2, 3, 4))  # what the three forms of a line begin with
 
 
 def clean_tail(text: str) -> tuple[str, bool, bool]:
@@ -151,6 +152,63 @@ def keys_of(sentence: list[str], line: list[str] | None) -> list[str | None]:
     return [*lines, *[SEP.join(sentence[-k:]) if len(sentence) >= k else None for k in ORDERS]]
 
 
+def tally(text: str, common: frozenset[str], seen: dict[str, list[int]]) -> None:
+    """Adds to ``seen`` the ends (0) and continuations (1) of every context of a text.
+
+    The same contexts as ``keys_of`` gives for ``places``, built up from token to token instead of anew for each.
+    """
+    tokens = TOKEN.findall(text)
+    tokens.append("")
+    # The last one, two, three and four tokens of the sentence, joined; the line in its three forms.
+    s1, s2, s3, s4 = START, None, None, None
+    n, exact, named, every = 0, "", "", ""
+    before_digit = False
+    for i in range(len(tokens) - 1):
+        t = tokens[i]
+        if t == "\n":
+            s1, s2, s3, s4 = START, None, None, None
+            n = 0
+            before_digit = False
+            continue
+        h = t[0]
+        word = h.isalnum()
+        c = t if not word or t in common else "0" if h.isdigit() else "X" if h.isupper() else "x"
+        n += 1
+        if n == 1:
+            exact, named, every = LINE_1 + c, LINE_2 + c, LINE_3 + ("X" if c[0].isupper() else c)
+        elif n <= LINE:
+            g = "X" if c[0].isupper() else c
+            exact, named, every = exact + SEP + c, named + SEP + g, every + SEP + g
+        k2 = s1 + SEP + c
+        k3 = s2 and s2 + SEP + c
+        k4 = s3 and s3 + SEP + c
+        if word:
+            nxt = tokens[i + 1]
+            if not nxt:
+                at = -1
+            elif nxt == "." and c == "0":
+                at = 1 if tokens[i + 2] in MONTHS else 0
+            elif nxt in STOPS or nxt == "\n":
+                at = 0
+            elif nxt[0].isalnum() or nxt in OPEN_END:
+                at = 1
+            else:
+                at = -1
+            if at >= 0:
+                for k in (c, k2, k3, s4 and s4 + SEP + c) if n > LINE else (c, k2, k3, s4 and s4 + SEP + c, exact, named, every):
+                    if k:
+                        v = seen.get(k)
+                        if v is None:
+                            v = seen[k] = [0, 0]
+                        v[at] += 1
+            s1, s2, s3, s4 = c, k2, k3, k4
+        elif t in STOPS and i and not before_digit:
+            s1, s2, s3, s4 = START, None, None, None
+        else:
+            s1, s2, s3, s4 = c, k2, k3, k4
+        before_digit = h.isdigit()
+
+
 def contexts(texts: DataFrame, common: frozenset[str], ended: DataFrame) -> DataFrame:
     """``context, n_end, n_on, n_eot`` for every context in the texts.
 
@@ -166,19 +224,9 @@ def contexts(texts: DataFrame, common: frozenset[str], ended: DataFrame) -> Data
             seen.clear()
             return x
 
-        at = {"end": 0, "on": 1}
         for b in batches:
             for text in b["text"]:
-                for sentence, line, _, what in places(plain(clean_tail(text)[0]), common):
-                    if what == "eot":
-                        continue  # counted from the tails, where the word is known to be whole
-                    i = at[what]
-                    for k in keys_of(sentence, line):
-                        if k is None:
-                            continue
-                        if (v := seen.get(k)) is None:
-                            v = seen[k] = [0, 0]
-                        v[i] += 1
+                tally(plain(clean_tail(text)[0]), common, seen)
                 if len(seen) > FLUSH:
                     yield out()
         if seen:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm.truncation import clean_tail, judge, trie, vocabulary
+from tessera.llm.truncation import clean_tail, judge, keys_of, places, tally, trie, vocabulary
 
 PLACES = [a + b for a in ("Amsel", "Biber", "Dachs", "Erlen", "Falken", "Hecht") for b in ("bach", "berg", "feld", "furt", "rode", "stein")]
 SENTENCES = [
@@ -74,6 +74,22 @@ def test_tail_marks():
     assert clean_tail("vor &uu") == ("vor", False, True)
 
 
+def test_tally_counts_the_contexts_of_the_places():
+    docs, _ = corpus(300, 9)
+    texts = [t for _, _, t in docs] + ["3. Mai 5. ", "a.b.c", "1.", "Am 3. Mai 2024 um 8.30 Uhr! Ja? (nein) „so“", "\n\n- X\n- Y: z\n", "", "Wort", "x " * 40]
+    common = frozenset("Die Der Mai am der Straße war Euro".split())
+    for t in texts:
+        got: dict = {}
+        tally(t, common, got)
+        want: dict = {}
+        for sentence, line, _, what in places(t, common):
+            if what != "eot":
+                for k in keys_of(sentence, line):
+                    if k is not None:
+                        want.setdefault(k, [0, 0])[what == "on"] += 1
+        assert got == want, t
+
+
 def test_trie(spark):
     w = vocabulary(spark.createDataFrame([("Abend Abendkasse am Abend",), ("Abendkasse am",)], "text string"))
     t = {r["prefix"]: r["below"] for r in trie(w).collect()}
