@@ -103,11 +103,11 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(_words, "word string, n long, docs long, last long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "last")])
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """Nodes of the vocabulary's trie: ``prefix``, and ``below``, the number of known words it is a proper prefix of."""
+def trie(words: DataFrame, often: float = 3.0) -> DataFrame:
+    """Nodes of the vocabulary's trie: ``prefix``, ``below``, the number of known words it is a proper prefix of, and ``frequent``, how many of these are in ``often`` documents or more."""
     known = words.filter("n > 0 and length(word) between 2 and 64")
-    prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"))
-    return prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("below"))
+    prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"), "docs")
+    return prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("below"), F.count(F.when(F.col("docs") >= often, 1)).alias("frequent"))
 
 
 def places(text: str, common: frozenset[str]) -> Iterator[tuple[list[str], list[str] | None, str, str]]:
@@ -294,8 +294,8 @@ def judge(documents: DataFrame) -> DataFrame:
     total = docs.count()
     # A document has few distinct words, so the words of COMMON_SHARE of the documents are few: at most
     # (mean distinct words of a document) / COMMON_SHARE.
-    nodes = materialise(trie(words), "trie")
     often = max(3.0, COMMON_SHARE * total)
+    nodes = materialise(trie(words, often), "trie")
     # Words that only end texts count too, unless they are prefixes of others and so may be cut.
     named = words.filter((F.col("docs") < often) & (F.col("docs") + F.col("last") >= often)).join(nodes, F.col("word") == F.col("prefix"), "left_anti")
     common = frozenset(r[0] for r in words.filter(F.col("docs") >= often).select("word").unionByName(named.select("word")).toLocalIterator())
@@ -314,8 +314,8 @@ def judge(documents: DataFrame) -> DataFrame:
     ends = lambda k: (F.col(f"{k}_n.n_end") + F.col(f"{k}_n.n_eot") - own) / others(k)
     share = F.coalesce(*[F.when(others(k) >= MIN_SEEN, ends(k)) for k in CONTEXTS])
     t = t.withColumn("share", share)
-    # An unknown name may end a text where names do, e.g. a title; other unknown words don't.
-    natural = (F.coalesce("share", F.lit(0.0)) >= NATURAL) & F.col("last").rlike(r"^\p{Lu}") & ~F.col("mark") & ~F.col("torn")
+    # An unknown name may end a text where names do, e.g. a title; other unknown words don't, nor do beginnings of common ones.
+    natural = (F.coalesce("share", F.lit(0.0)) >= NATURAL) & F.col("last").rlike(r"^\p{Lu}") & (F.coalesce("frequent", F.lit(0)) == 0) & ~F.col("mark") & ~F.col("torn")
     t = t.withColumn(
         "reason",
         F.when(F.col("empty") | F.col("closed"), None)
