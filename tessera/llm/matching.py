@@ -214,7 +214,7 @@ def candidates(portal: DataFrame, places: DataFrame) -> DataFrame:
     return a.join(b, "key").select("oh", "mh").distinct()
 
 
-FEATURES = ("bias", "name", "name_high", "name_low", "name_none", "stem_same", "stem_other", "kind_same", "kind_other", "street", "street_low", "street_none", "number_same", "number_other", "near", "close", "far", "pos_none", "name_near", "name_addr", "addr", "addr_near")
+FEATURES = ("bias", "name", "name_high", "name_low", "name_none", "stem_same", "stem_other", "kind_same", "kind_other", "street", "street_low", "street_none", "number_same", "number_other", "near", "close", "far", "pos_none", "name_near", "name_addr", "addr", "addr_near", "street_spot")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -237,7 +237,7 @@ def features(pairs: DataFrame) -> DataFrame:
     addr = (F.col("s_street") >= 0.8) & F.col("same_number")
     values = (
         F.lit(1.0), name, flag(F.col("s_name") >= 0.85), flag(F.col("s_name") < 0.6), flag(F.col("s_name").isNull()), flag(F.col("s_stem") >= 0.8), flag(F.col("s_stem") < 0.6), flag(F.col("same_kind")), flag(~F.col("same_kind")), street, flag(F.col("s_street") < 0.7), flag(F.col("s_street").isNull()),
-        flag(F.col("same_number")), flag(~F.col("same_number")), near, flag(F.col("dist") < 250), flag(F.col("dist") > 400), flag(F.col("dist").isNull()), flag((F.col("s_name") >= 0.75) & (F.col("dist") < 250)), flag((F.col("s_name") >= 0.75) & (F.col("s_street") >= 0.8)), flag(addr), flag(addr & (F.col("dist") < 250)),
+        flag(F.col("same_number")), flag(~F.col("same_number")), near, flag(F.col("dist") < 250), flag(F.col("dist") > 400), flag(F.col("dist").isNull()), flag((F.col("s_name") >= 0.75) & (F.col("dist") < 250)), flag((F.col("s_name") >= 0.75) & (F.col("s_street") >= 0.8)), flag(addr), flag(addr & (F.col("dist") < 250)), flag((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)) & (F.col("dist") < 60)),
     )
     same, other = F.coalesce("same_kind", F.lit(False)), F.coalesce(~F.col("same_kind"), F.lit(False))
     good_name, bad_name = F.coalesce(F.col("s_name") >= 0.85, F.lit(False)), F.coalesce((F.col("s_name") < 0.55) | (F.col("s_stem") < 0.5), F.lit(False))
@@ -253,6 +253,7 @@ def features(pairs: DataFrame) -> DataFrame:
         .when(~good_name & ~good_street & ~good_addr & F.coalesce((F.col("dist") > 150) & (F.col("s_stem") < 0.7), F.lit(False)), 0)
         .when(good_name & ~other & (close | good_addr | good_street), 1)
         .when(F.col("s_name").isNull() & good_addr & (same | F.col("same_kind").isNull()) & ~far, 1)
+        .when(F.col("s_name").isNull() & good_street & same & F.coalesce(F.col("dist") < 60, F.lit(False)), 1)
     )
     return x.withColumns({"f": F.array(*values), "label": label})
 
