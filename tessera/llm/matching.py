@@ -3,7 +3,8 @@
 Records are brought to comparable attributes (kind, core of the name, street, house number,
 position). Candidates share a MinHash value of name or street together with the kind and a grid
 cell; where either side has no usable position, MinHash values of name and street together, or
-of the street with the house number, take the cell's place. Candidate pairs get similarity features, a
+of the street with the house number, take the cell's place, and two MinHash values of the name where
+either side has no street, too. Candidate pairs get similarity features, a
 logistic model fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly
 labelled pairs turns the score into a probability.
 """
@@ -196,15 +197,24 @@ def _keys(x: DataFrame, portal: bool) -> DataFrame:
     near = [F.when(F.col("cells").isNotNull() & v.isNotNull(), F.transform("cells", _in_cell(tag + i, v[i]))).otherwise(none) for v, tag, n in ((name, 0, NAME_BANDS), (street, 10, STREET_BANDS)) for i in range(n)]
 
     def anywhere(tag: int) -> Column:
-        # A name alone stands for too many places far apart.
+        # Where both sides have a street, a name alone stands for too many places far apart.
         names = [F.xxhash64(F.lit(tag + 20 + 4 * i + j), name[i], street[j]) for i in range(3) for j in range(STREET_BANDS)]
         streets = [F.xxhash64(F.lit(tag + 10 + i), street[i], F.col("number")) for i in range(STREET_BANDS)]
         return F.concat(F.when(name.isNotNull() & street.isNotNull(), F.array(*names)).otherwise(none), F.when(street.isNotNull() & F.col("number").isNotNull(), F.array(*streets)).otherwise(none))
 
+    def named(tag: int) -> Column:
+        # Without a street on both sides the name has to do: two MinHash values at once.
+        return F.when(name.isNotNull(), F.array(*[F.xxhash64(F.lit(tag + i), name[i], name[i + 1]) for i in range(0, NAME_BANDS, 2)])).otherwise(none)
+
     # 100: portal records without position against all elements; 200: elements without position against portal records with one.
-    lost = F.col("lat").isNull()
+    lost, bare = F.col("lat").isNull(), street.isNull()
     a, b = (lost, ~lost) if portal else (F.lit(True), lost)
-    every = F.concat(*near, F.when(a, anywhere(100)).otherwise(none), F.when(b, anywhere(200)).otherwise(none))
+    # The same where a street is missing. 300: portal records without position against elements without street; 400: portal records
+    # without either against elements with a street; 500: portal records with position against elements without either; 600: portal
+    # records with position but no street against elements with a street but no position.
+    sides = ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare))
+    names = [F.when(o if portal else m, named(tag)).otherwise(none) for tag, o, m in sides]
+    every = F.concat(*near, F.when(a, anywhere(100)).otherwise(none), F.when(b, anywhere(200)).otherwise(none), *names)
     return with_cells.select("h", F.explode("groups").alias("g"), every.alias("ks")).select("h", "g", F.explode("ks").alias("k")).select("h", F.xxhash64("g", "k").alias("key"))
 
 

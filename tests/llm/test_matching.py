@@ -72,3 +72,14 @@ def test_parts(spark):
     assert [tuple(r) for r in rows] == [("foerderschule", "zinnfeld"), ("kindertagesstaette", "am kupferschlag"), ("kindertagesstaette", "erlenrain"), ("grundschule", "am bach"), (None, "")]
     s = spark.createDataFrame([("Hofdammallee 49",), ("Kiesbergpl.",), ("rebufer-weg",), ("Quellengrundal.",), ("Erlenbrucher Strasse 3 b",)], "s string")
     assert [r[0] for r in s.select(m._street(m.fold(F.col("s")))).collect()] == ["hofdammallee", "kiesbergplatz", "rebuferweg", "quellengrundallee", "erlenbrucherstrasse"]
+
+
+def test_candidates_without_position_and_street(spark):
+    """Of one kind and name, one side without position, either or both without street: the name alone makes them candidates."""
+    at, no = (7.0, 51.0), None
+    ods = [(f"o{i}", "d", "t", pos, "Grundschule", f"Grundschule Am {stem}", street, None, "x") for i, (stem, pos, street) in enumerate([("Amselbach", no, "Ulmenweg"), ("Biberhang", no, no), ("Dachsmoor", at, "Lindenallee"), ("Eichental", at, no), ("Falkensee", no, no)])]
+    osm = [(f"node/{i}", "node", i, lat, lon, None, {"amenity": "school", "name": f"Grundschule {stem}"}, stem, street, None, T, "x") for i, (stem, lat, lon, street) in enumerate([("Am Amselbach", 51.0, 7.0, no), ("Am Biberhang", 51.0, 7.0, "Bachplatz"), ("Am Dachsmoor", no, no, no), ("Am Eichental", no, no, "Kirschdamm"), ("Am Falkensee", no, no, no)])]
+    osm.append(("node/9", "node", 9, None, None, None, {"leisure": "fairground", "name": "Festplatz Am Amselbach"}, "x", None, None, T, "x"))
+    o, p = m.materialise(m.city_places(spark.createDataFrame(ods, ODS)), "portal"), m.materialise(m.map_places(spark.createDataFrame(osm, OSM)), "places")
+    ids = m.candidates(o, p).join(o.select(F.col("h").alias("oh"), F.col("id").alias("o")), "oh").join(p.select(F.col("h").alias("mh"), F.col("id").alias("m")), "mh")
+    assert {(r["o"], r["m"]) for r in ids.collect()} == {(f"o{i}", f"node/{i}") for i in range(5)}
