@@ -43,7 +43,7 @@ STOPS = frozenset(".!?")
 OPEN_END = frozenset(",:;-–/(„&+")
 START = "^"
 SEP = "\x1f"
-REACH = 1000  # characters at a text's end that hold LINE tokens and more
+REACH = 1000  # characters at a text's end that are looked at first
 LINE = 14  # lines of at most this many tokens are contexts themselves
 ORDERS = (5, 3, 2, 1)  # tokens of the other contexts, longest first
 LINE_1, LINE_2, LINE_3 = (SEP.join([START] * n) + SEP for n in (2, 3, 4))  # what the three forms of a line begin with
@@ -70,6 +70,22 @@ def plain(text: str) -> str:
     return html.unescape(ANY_TAG.sub(" ", text)) if "<" in text or "&" in text else text
 
 
+def tail_of(text: str) -> str:
+    """The end of a plain text that gives the same contexts as the whole: with a line break, or more tokens than a line that counts has."""
+    reach = REACH
+    while reach < len(text):
+        at = len(text) - reach
+        # Neither a word, an entity nor a tag is taken apart.
+        at = max(text.rfind(" ", 0, at + 1), text.rfind("\n", 0, at + 1), 0)
+        tag = ANY_TAG.match(text, i) if (i := text.rfind("<", max(0, at - 201), at)) >= 0 else None
+        out = plain(text[i if tag and tag.end() > at else at :])
+        tokens = TOKEN.findall(out)
+        if "\n" in tokens or len(tokens) > LINE + 2:
+            return out
+        reach *= 2
+    return plain(text)
+
+
 def word_class(word: str, common: frozenset[str]) -> str:
     if word[0].isdigit():
         return "0"
@@ -252,7 +268,7 @@ def tails(texts: DataFrame, common: frozenset[str]) -> DataFrame:
             for doc_id, source, text in zip(b["doc_id"], b["source"], b["text"], strict=True):
                 cleaned, mark, torn = clean_tail(text)
                 # The contexts reach back at most one line or LINE tokens: what lies before can't change them.
-                cleaned = plain(cleaned[max(0, len(cleaned) - REACH) :])
+                cleaned = tail_of(cleaned)
                 tokens = TOKEN.findall(cleaned)
                 ends = tokens[-1] if tokens else ""
                 number = len(tokens) > 1 and ends == "." and tokens[-2][0].isdigit()

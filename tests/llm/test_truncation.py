@@ -94,3 +94,17 @@ def test_trie(spark):
     w = vocabulary(spark.createDataFrame([("Abend Abendkasse am Abend",), ("Abendkasse am",)], "text string"))
     t = {r["prefix"]: r["below"] for r in trie(w).collect()}
     assert t["A"] == 2 and t["Abend"] == 1 and "Abendkasse" not in t
+
+
+def test_tails_of_padded_ends(spark):
+    """Padding, long tags and entities before the end leave its contexts those of the whole text."""
+    from tessera.llm.truncation import CONTEXTS, plain, tails
+
+    start = "Die Verwaltung berichtet dem Ausschuss über den Sachstand zur Brücke am Bach und die Kosten der Sperrung"
+    fill = [" " * 3000, f' <a href="{"x" * 150}"> ' * 30, "&nbsp;" * 700 + " ", " " + "y" * 2500 + " ", "\n" + " " * 1500, " " * 990]
+    texts = [f"{start}{f}für die Stadt" for f in fill]
+    got = {r["doc_id"]: tuple(r[c] for c in CONTEXTS) for r in tails(spark.createDataFrame(list(enumerate(["s"] * len(texts))), "doc_id long, source string").join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id"), frozenset()).collect()}
+    for i, text in enumerate(texts):
+        for sentence, line, _, _ in places(plain(text), frozenset()):
+            last = keys_of(list(sentence), line)
+        assert got[i] == tuple(last), i
