@@ -1,60 +1,41 @@
 """The same places in two sources without a common key.
 
-Records are brought to comparable attributes (kind, core of the name, street, house number,
-position). Candidates share a MinHash value of name or street together with the kind and a grid
-cell; where either side has no usable position, MinHash values of name and street together, or
-of the street with the house number, take the cell's place, and two MinHash values of the name where
-either side has no street, too. Candidate pairs get similarity features, a
-logistic model fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly
-labelled pairs turns the score into a probability.
+Records are brought to comparable attributes (words of the name, street, house number, position).
+What the words and categories mean is learnt from the tables (``naming``): words that so many share
+that they tell no places apart, words that say a kind, and which kinds of one table go with which of the
+other, by how often they meet in pairs of equal name at one spot.
+
+Every record enters the blocks. Candidates share a MinHash value of name or street within a grid cell, or
+name and street together anywhere (one of them as it stands, of the other MinHash values), so that a wrong
+position loses no pair; where either side has no usable position, also the street's values with the house
+number, and where a street is missing too, two values of the name with a kind that fits. Candidate pairs get similarity features, a logistic model
+fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly labelled pairs turns the
+score into a probability.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
+from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.naming import NAME_BANDS, STREET_BANDS, Learnt, attributes, learn
 from tessera.storage import load, materialise
 
 TRAIN_ROWS = 20_000  # weakly labelled pairs the model is fitted on, at most (about)
-NAME_BANDS, STREET_BANDS = 4, 2
 CELL_LAT, CELL_LON = 0.01, 0.016  # about 1.1 km
-REACH_LAT, REACH_LON = 0.0027, 0.0044  # about 300 m: a neighbouring cell nearer than this is searched too
-BOX = (50.0, 53.0, 5.0, 10.0)  # latitudes and longitudes of the region
+REACH_LAT = 0.0027  # about 300 m: a neighbouring cell nearer than this is searched too
+LON_CELLS = 22_500  # cells around the globe
+SEED_M = 250.0  # records of equal name this near teach which kinds go together
+ALL_BANDS = 3  # name bands of every record; the others are for elements without a street
 MATCH = 0.5
-
-# Kinds of places, the words and abbreviations they are written with (folded), the group a
-# map tag can tell apart, and the tag.
-KINDS = {
-    "gesamtschule": (("gess",), "school"),
-    "foerderschule": (("foes",), "school"),
-    "gymnasium": (("gym",), "school"),
-    "grundschule": (("gs",), "school"),
-    "berufskolleg": (("bk",), "school"),
-    "kindertagesstaette": (("kita", "kindergarten"), "kindergarten"),
-    "hallenbad": (("bad", "schwimmbad"), "swimming_pool"),
-    "wochenmarkt": (("markt",), "marketplace"),
-    "buergerhaus": (("buergerh",), "community_centre"),
-    "jugendtreff": (("jt",), "youth_centre"),
-    "festplatz": (("festpl",), "fairground"),
-    "turnhalle": (("th", "sporthalle"), "sports_hall"),
-    "kulturhaus": (("kh",), "arts_centre"),
-    "stadtbuecherei": (("buecherei", "bibliothek"), "library"),
-}
-# Words beside a name that don't tell places apart (folded).
-NOISE = ("staedt", "staedtische", "staedtischer", "staedtisches", "einrichtung", "hauptgebaeude", "standort", "e", "v", "ev")
-# How street endings are shortened (folded), and in full.
-ENDINGS = (("str", "strasse"), ("pl", "platz"), ("al", "allee"), ("g", "gasse"), ("w", "weg"), ("rg", "ring"))
-# The map tags that say what an element is.
-TAGS = ("amenity", "leisure", "shop", "office", "tourism")
-# Words and street endings that so many names share that they say nothing (folded).
-COMMON_WORDS = ("am", "im", "an", "der", "die", "das", "dem", "den", "auf", "in", "zum", "zur", "bei", "beim", "hinter", "hinterm", "haus", "neue", "neuer", "neues", "alte", "alter", "altes")
-COMMON_ENDINGS = ("erstrasse", "strasse", "erstieg", "stieg", "platz", "allee", "gasse", "weg", "ring", "damm", "ufer")
-GROUPS = tuple(sorted({g for _, g in KINDS.values()}))
+TELLS = 0.7  # log of how much more often (or less) than by chance two kinds must meet to say anything
+PORTAL, MAP = 0, 1
 
 
 def fold(c: Column) -> Column:
@@ -62,268 +43,342 @@ def fold(c: Column) -> Column:
     x = F.lower(F.coalesce(c, F.lit("")))
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-
-
-def name_tokens(c: Column) -> Column:
-    """Tokens of a folded name, a kind word that ran into the next word split off."""
-    return F.split(F.regexp_replace(fold(c), rf"\b({'|'.join(KINDS)})(?=[a-z0-9])", "$1 "), " ")
-
-
-def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
-WORDS = {w: k for k, (more, _) in KINDS.items() for w in (k, *more)}
-GROUP_OF = {k: g for k, (_, g) in KINDS.items()}
-
-
-def _misspells(t: Column, k: Column) -> Column:
-    return (F.abs(F.length(t) - F.length(k)) <= 2) & (F.levenshtein(t, k, 2) >= 0)
-
-
-def kind_in(tokens: Column) -> Column:
-    """The kind named first among the tokens; else the kind that one long token is a misspelling of; else null."""
-    words = _literal_map(WORDS)
-    exact = F.filter(F.transform(tokens, lambda t: F.try_element_at(words, t)), lambda k: k.isNotNull())
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    near = F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= 8), lambda t: F.filter(kinds, lambda k: _misspells(t, k))))
-    return F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)))
-
-
-def core_of(tokens: Column, street: Column) -> Column:
-    """The name without kind words, misspelt ones too, and noise words; empty if what is left is the street's name."""
-    drop = F.array(*[F.lit(w) for w in (*WORDS, *NOISE)])
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    misspelt = lambda t: (F.length(t) >= 8) & F.exists(kinds, lambda k: _misspells(t, k))
-    core = F.array_join(F.filter(tokens, lambda t: ~F.array_contains(drop, t) & ~misspelt(t)), " ")
-    joined = F.replace(F.regexp_replace(core, r" \d+ ?[a-z]?$", ""), F.lit(" "), F.lit(""))
-    return F.when((street != "") & (F.levenshtein(joined, street) <= F.length(street) / 6), F.lit("")).otherwise(core)
-
-
-def _street(folded: Column) -> Column:
-    """Without house number and blanks, with its ending in full."""
-    x = F.regexp_replace(folded, r"\s+\d+\s?[a-z]?$", "")
-    for short, long in ENDINGS:
-        x = F.regexp_replace(x, rf"(\s|(?<=[a-z]{{4}}))\b{short}$" if len(short) == 1 else rf"(?<=[a-z ]{{3}}){short}$", long)
-    return F.replace(x, F.lit(" "), F.lit(""))
+    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
 
 
 def _number(c: Column) -> Column:
     return F.nullif(F.replace(fold(c), F.lit(" "), F.lit("")), F.lit(""))
 
 
-def _position(lat: Column, lon: Column) -> Column:
-    """``struct<lat, lon>`` within the region; exchanged coordinates are put right, others outside are unknown."""
-    fits = lambda a, b: a.between(BOX[0], BOX[1]) & b.between(BOX[2], BOX[3])
-    pos = lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))
-    return F.when(fits(lat, lon), pos(lat, lon)).when(fits(lon, lat), pos(lon, lat))
+def _finite(c: Column, most: float) -> Column:
+    return F.when(~F.isnan(c) & (F.abs(c) <= most), c)
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams of a text with a blank on either side; of an empty text none."""
-    p = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substring(p, i, F.lit(3)))))
+def _record(x: DataFrame) -> DataFrame:
+    """House numbers that stand in the street go to their own column; the street without blanks."""
+    st = F.col("st")
+    street = F.replace(F.regexp_replace(st, r"\s+\d+\s?[a-z]?$", ""), F.lit(" "), F.lit(""))
+    inside = F.nullif(F.replace(F.regexp_extract(st, r"\s(\d+\s?[a-z]?)$", 1), F.lit(" "), F.lit("")), F.lit(""))
+    both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return x.select("id", "at", "name", "cats", street.alias("street"), F.coalesce(_number(F.col("no")), inside).alias("number"), F.when(both, F.col("lat")).alias("lat"), F.when(both, F.col("lon")).alias("lon"))
 
 
-def minhash(grams: Column, n: int) -> Column:
-    """``n`` MinHash values of a set, null for the empty set."""
-    return F.when(F.size(grams) > 0, F.array(*[F.array_min(F.transform(grams, _hashed(i))) for i in range(n)]))
+def portal_records(ods: DataFrame) -> DataFrame:
+    """Rows of the portal in common columns, repeated rows included; rows without source_id take no part."""
+    art = fold(F.col("objektart"))
+    lat, lon = F.col("geo_point_2d.lat"), F.col("geo_point_2d.lon")
+    return _record(ods.filter("source_id is not null").select(
+        F.col("source_id").alias("id"), F.lit(0).cast("long").alias("at"), fold(F.col("objektname")).alias("name"), F.when(art == "", F.array().cast("array<string>")).otherwise(F.array(art)).alias("cats"),
+        fold(F.col("strasse")).alias("st"), F.col("hausnummer").alias("no"), _finite(lat, 180).alias("lat"), _finite(lon, 180).alias("lon"),
+    ))
 
 
-def _hashed(seed: int):
-    # A lambda with a default argument would be given the index there.
-    return lambda g: F.xxhash64(g, F.lit(seed))
+def map_records(osm: DataFrame) -> DataFrame:
+    """Rows of the map in common columns, repeated rows included; a label made of the id is no name."""
+    name = F.coalesce(F.try_element_at("tags", F.lit("name")), F.when(~F.col("label").rlike(r"^OSM (node|way|relation) \d+$"), F.col("label")))
+    said = F.transform(F.map_entries(F.map_filter("tags", lambda k, v: k != "name")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return _record(osm.filter("source_id is not null").select(
+        F.col("source_id").alias("id"), F.coalesce(F.unix_micros("fetched_at"), F.lit(-(2**62))).alias("at"), fold(name).alias("name"), F.coalesce(said, F.array().cast("array<string>")).alias("cats"),
+        fold(F.col("addr_street")).alias("st"), F.col("addr_housenumber").alias("no"), F.coalesce(_finite(F.col("lat"), 180), _finite(F.col("center.lat"), 180)).alias("lat"), F.coalesce(_finite(F.col("lon"), 180), _finite(F.col("center.lon"), 180)).alias("lon"),
+    ))
 
 
-def _in_cell(what: int, value: Column):
-    return lambda cell: F.xxhash64(F.lit(what), cell, value)
+def region(rows: DataFrame) -> tuple[float, float, float, float] | None:
+    """Latitudes and longitudes between which the places lie: the middle 98 % and half as much again on either side."""
+    q = rows.agg(F.percentile_approx("lat", [0.01, 0.99], 10_000), F.percentile_approx("lon", [0.01, 0.99], 10_000)).first()
+    if q[0] is None or q[1] is None:
+        return None
+    wide = lambda lo, hi, least: (lo - max((hi - lo) / 2, least), hi + max((hi - lo) / 2, least))
+    return (*wide(*q[0], 0.1), *wide(*q[1], 0.1))
 
 
-def _finish(x: DataFrame) -> DataFrame:
-    # MinHash values come from what tells names apart; a name of nothing but common words stands as it is.
-    rare = F.trim(F.regexp_replace("core", rf"\b({'|'.join(COMMON_WORDS)})\b", ""))
-    stem = F.regexp_replace("street", rf"({'|'.join(COMMON_ENDINGS)})$", "")
-    grams = x.withColumns({"core_grams": trigrams(F.when(rare == "", F.col("core")).otherwise(rare)), "street_grams": trigrams(F.when(stem == "", F.col("street")).otherwise(stem))})
-    return grams.select("id", F.xxhash64("id").alias("h"), "kind", "groups", "core", "full", "street", "number", "pos.lat", "pos.lon", minhash(F.col("core_grams"), NAME_BANDS).alias("mh_name"), minhash(F.col("street_grams"), STREET_BANDS).alias("mh_street"))
+def placed(x: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Exchanged coordinates put right; a position far from where the places of both tables lie says nothing."""
+    if box is None:
+        return x
+    lat, lon = F.col("lat"), F.col("lon")
+    fits = lambda a, b: a.between(box[0], box[1]) & b.between(box[2], box[3])
+    pick = lambda a, b: F.when(fits(lat, lon), a).when(fits(lon, lat), b)
+    return x.withColumns({"lat": pick(lat, lon), "lon": pick(lon, lat)})
 
 
-def city_places(ods: DataFrame) -> DataFrame:
-    """Comparable attributes of the portal's places, one row per source_id; rows without source_id take no part."""
-    one = ods.filter("source_id is not null").groupBy("source_id").agg(F.min(F.struct("objektname", "strasse", "hausnummer", "objektart", "geo_point_2d")).alias("r")).select("source_id", "r.*")
-    name, street = name_tokens(F.col("objektname")), fold(F.col("strasse"))
-    said = kind_in(F.split(fold(F.col("objektart")), " "))
-    x = one.withColumns({"name": name, "st": street, "said": said, "named": kind_in(name), "street": _street(street)})
-    generic = fold(F.col("objektart")) == "schule"
-    kind = F.coalesce("said", "named", F.when(generic, F.lit("school")))
-    x = x.withColumn("kind", kind)
-    groups = F.when(F.col("kind").isNull(), F.array(*[F.lit(g) for g in GROUPS])).otherwise(F.array(F.coalesce(F.try_element_at(_literal_map(GROUP_OF), F.col("kind")), F.col("kind"))))
-    return _finish(x.select(
-        F.col("source_id").alias("id"), "kind", groups.alias("groups"), core_of(F.col("name"), F.col("street")).alias("core"), F.array_join("name", " ").alias("full"), "street",
-        F.coalesce(_number(F.col("hausnummer")), F.nullif(F.replace(F.regexp_extract("st", r"\s(\d+\s?[a-z]?)$", 1), F.lit(" "), F.lit("")), F.lit(""))).alias("number"),
-        _position(F.col("geo_point_2d.lat"), F.col("geo_point_2d.lon")).alias("pos"),
-    ))
-
-
-def map_places(osm: DataFrame) -> DataFrame:
-    """Comparable attributes of map elements of a civic or unknown kind, their latest fetch; others can't be such a place."""
-    keys, groups = F.array(*[F.lit(k) for k in TAGS]), F.array(*[F.lit(g) for g in GROUPS])
-    civic = F.col("tags").isNull() | F.arrays_overlap(F.map_values("tags"), groups) | ~F.arrays_overlap(F.map_keys("tags"), keys)
-    tag = F.get(F.array_intersect(F.map_values("tags"), groups), F.lit(0))
-    latest = F.max(F.struct("fetched_at", "label", "addr_street", "addr_housenumber", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), tag.alias("group"), F.try_element_at("tags", F.lit("name")).alias("tag_name")))
-    one = osm.filter("source_id is not null").filter(F.coalesce(civic, F.lit(True))).groupBy("source_id").agg(latest.alias("r")).select("source_id", "r.*")
-    folded = name_tokens(F.coalesce("tag_name", F.when(~F.col("label").rlike(r"^OSM (node|way|relation) \d+$"), F.col("label"))))
-    x = one.withColumn("name", folded).withColumn("street", _street(fold(F.col("addr_street"))))
-    x = x.withColumn("kind", F.coalesce(kind_in(F.col("name")), F.when(F.col("group") == "school", F.lit("school")), F.element_at(_literal_map({g: k for k, g in GROUP_OF.items() if g != "school"}), F.coalesce("group", F.lit("")))))
-    group = F.coalesce(F.try_element_at(_literal_map(GROUP_OF), F.col("kind")), F.col("group"))
-    return _finish(x.select(
-        F.col("source_id").alias("id"), "kind", F.when(group.isNull(), F.array(*[F.lit(g) for g in GROUPS])).otherwise(F.array(group)).alias("groups"), core_of(F.col("name"), F.col("street")).alias("core"),
-        F.array_join("name", " ").alias("full"), "street", _number(F.col("addr_housenumber")).alias("number"), _position(F.col("lat"), F.col("lon")).alias("pos"),
-    ))
+def one_each(x: DataFrame) -> DataFrame:
+    """The latest row of each id; of equally late ones the greatest."""
+    rest = [c for c in x.columns if c not in ("id", "at")]
+    one = x.groupBy("id").agg(F.max(F.struct("at", *rest)).alias("r")).select(F.xxhash64("id").alias("h"), "id", "r.*").drop("at")
+    # A name that is but the street's, with or without a number, says nothing about the place.
+    joined = F.replace(F.regexp_replace("core", r" \d+ ?[a-z]?$", ""), F.lit(" "), F.lit(""))
+    return one.withColumn("own", (F.col("rare") != "") & ~((F.col("street") != "") & (F.levenshtein(joined, F.col("street")) <= F.length("street") / 6)))
 
 
 def _cells(lat: Column, lon: Column, reach: bool) -> Column:
     """Cells of a position; with ``reach`` also the neighbours within reach of it."""
-    at = lambda v, size, by: F.floor((v + by) / size).cast("long")
+    wide = F.lit(REACH_LAT) / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))
     steps = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)) if reach else ((0, 0),)
-    return F.array_distinct(F.array(*[at(lat, CELL_LAT, dy * REACH_LAT) * 100_000 + at(lon, CELL_LON, dx * REACH_LON) for dy, dx in steps]))
-
-
-def _keys(x: DataFrame, portal: bool) -> DataFrame:
+    cell = lambda dy, dx: F.floor((lat + dy * REACH_LAT) / CELL_LAT).cast("long") * 100_000 + F.pmod(F.floor((lon + wide * dx) / CELL_LON).cast("long"), F.lit(LON_CELLS))
+    return F.array_distinct(F.array(*[cell(dy, dx) for dy, dx in steps]))
+
+
+class Kinds:
+    """Which kinds of the portal go with which of the map, by the log of how much more often than by chance they meet."""
+
+    def __init__(self, seen: list[tuple[int, int, int]], ones: tuple[dict[int, int], dict[int, int]], total: int, known: Learnt):
+        sizes = [1 + max(f.values(), default=0) for f in known.features]
+        self.lift = np.zeros(sizes, np.float32)
+        n = np.zeros(sizes)
+        for a, b, k in seen:
+            n[a, b] = k
+        na, nb = (np.array([ones[s].get(i, 0) for i in range(sizes[s])], dtype=float) for s in (0, 1))
+        if total:
+            self.lift = np.log((n + 1) / (np.outer(na, nb) / total + 1)).astype(np.float32)
+        # A feature says something if knowing it changes what the other side's features are (divergence from chance, in nats).
+        self.tells = [(n * self.lift).sum(axis=axis) / np.maximum(n.sum(axis=axis), 1) >= TELLS / 2 for axis in (1, 0)]
+        # A kind of the map that hardly any place of the portal's is seen to be, though many records have it, fits none.
+        for f, i in known.features[MAP].items():
+            due = known.counts[MAP][f] * total / max(known.records[MAP], 1)
+            if (gap := np.log((nb[i] + 1) / (due + 1))) < -3 * TELLS:
+                self.lift[:, i] = gap
+                self.tells[MAP][i] = True
+        self.words = [{i for f, i in known.features[s].items() if f.startswith("w:")} for s in (0, 1)]
+        category = {i for f, i in known.features[MAP].items() if f.startswith("c:")}
+        # The map's categories that a kind of the portal goes with.
+        goes = (self.lift >= TELLS) & (n >= 0.2 * na[:, None])
+        self.goes = {a: [b for b in np.flatnonzero(goes[a]) if b in category] for a in range(sizes[0])}
+        self.classes_of_map = {b for bs in self.goes.values() for b in bs}
+
+    def parts(self, sig: str, side: int) -> list[int]:
+        return [i for i in map(int, sig.split(",")) if self.tells[side][i]] if sig else []
+
+    def fit(self, o: str, m: str) -> tuple[float | None, float | None]:
+        """The best agreement of any two kinds, and the best that the least fitting kind has; None where either says nothing."""
+        a, b = self.parts(o, PORTAL), self.parts(m, MAP)
+        if not a or not b:
+            return None, None
+        x = self.lift[np.ix_(a, b)]
+        low = min(x.max(axis=1).min(), x.max(axis=0).min(), 0.0)
+        # Words are more exact than categories: where both names have some, these must fit each other.
+        a, b = [i for i in a if i in self.words[PORTAL]], [i for i in b if i in self.words[MAP]]
+        if a and b:
+            x_words = self.lift[np.ix_(a, b)]
+            low = min(low, x_words.max(axis=1).min(), x_words.max(axis=0).min())
+        return float(x.max()), float(low)
+
+    def classes(self, sig: str, side: int) -> list[str]:
+        """Marks of which two records share one if their kinds fit: ``*`` and ``?`` stand for a kind that isn't known."""
+        if side == MAP:
+            said = self.parts(sig, MAP)
+            own = [str(i) for i in said if i in self.classes_of_map]
+            return [*own, "*"] if own else ["*"] if said else ["?", "*"]
+        own = sorted({str(b) for a in self.parts(sig, PORTAL) for b in self.goes[a]})
+        return [*own, "?"] if own else ["*"]
+
+
+def learn_kinds(portal: DataFrame, places: DataFrame, known: Learnt) -> Kinds:
+    """From all pairs with the same rare words and house number at one spot: a join on these and the cell, counted by signature.
+
+    The number keeps out neighbours that bear the same name, which would make their kinds look alike.
+    """
+    spot = lambda x, p: x.filter("lat is not null and own and number is not null").select(F.xxhash64("rare", "number", _cells(F.col("lat"), F.col("lon"), False)[0]).alias("k"), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"), F.col("sig").alias(f"{p}sig"))
+    near = spot(portal, "o").join(spot(places, "m"), "k").filter(_metres(F.col("olat"), F.col("olon"), F.col("mlat"), F.col("mlon")) < SEED_M)
+    both = near.groupBy("osig", "msig").count()
+    parts = lambda c: F.filter(F.split(c, ","), lambda v: v != "")
+    seen = both.select("count", parts(F.col("osig")).alias("a"), parts(F.col("msig")).alias("b"))
+    # A row for each pair of features that meet, and one for each feature: as bounded as the features.
+    a = seen.select(F.explode("a").alias("a"), F.lit("").alias("b"), "count")
+    b = seen.select(F.lit("").alias("a"), F.explode("b").alias("b"), "count")
+    ab = seen.select(F.explode("a").alias("a"), "b", "count").select("a", F.explode("b").alias("b"), "count")
+    rows = ab.unionByName(a).unionByName(b).unionByName(seen.select(F.lit("").alias("a"), F.lit("").alias("b"), "count")).groupBy("a", "b").agg(F.sum("count").alias("n")).collect()
+    ones = ({int(r["a"]): r["n"] for r in rows if r["a"] and not r["b"]}, {int(r["b"]): r["n"] for r in rows if r["b"] and not r["a"]})
+    total = next((r["n"] for r in rows if not r["a"] and not r["b"]), 0)
+    return Kinds([(int(r["a"]), int(r["b"]), r["n"]) for r in rows if r["a"] and r["b"]], ones, total, known)
+
+
+def _metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    dx = F.abs(lon1 - lon2)
+    return 111_195.0 * F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(F.least(dx, 360 - dx) * F.cos(F.radians(lat1)), 2))
+
+
+def _keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
     """``h, key``: the blocks a record is in."""
-    with_cells = x.withColumn("cells", F.when(F.col("lat").isNotNull(), _cells(F.col("lat"), F.col("lon"), portal)))
+    portal = side == PORTAL
     none = F.array().cast("array<long>")
-    name, street = F.col("mh_name"), F.col("mh_street")
-    near = [F.when(F.col("cells").isNotNull() & v.isNotNull(), F.transform("cells", _in_cell(tag + i, v[i]))).otherwise(none) for v, tag, n in ((name, 0, NAME_BANDS), (street, 10, STREET_BANDS)) for i in range(n)]
-
-    def anywhere(tag: int) -> Column:
-        # Where both sides have a street, a name alone stands for too many places far apart.
-        names = [F.xxhash64(F.lit(tag + 20 + 4 * i + j), name[i], street[j]) for i in range(3) for j in range(STREET_BANDS)]
-        streets = [F.xxhash64(F.lit(tag + 10 + i), street[i], F.col("number")) for i in range(STREET_BANDS)]
-        return F.concat(F.when(name.isNotNull() & street.isNotNull(), F.array(*names)).otherwise(none), F.when(street.isNotNull() & F.col("number").isNotNull(), F.array(*streets)).otherwise(none))
-
-    def named(tag: int) -> Column:
-        # Without a street on both sides the name has to do: two MinHash values at once.
-        return F.when(name.isNotNull(), F.array(*[F.xxhash64(F.lit(tag + i), name[i], name[i + 1]) for i in range(0, NAME_BANDS, 2)])).otherwise(none)
-
+    name, street = [F.when(F.col("rare") != "", F.col(f"n{i}")) for i in range(NAME_BANDS)], [F.col(f"s{i}") for i in range(STREET_BANDS)]
+    lost, bare = F.col("lat").isNull(), F.col("street") == ""
+    in_cell = lambda tag, v: lambda cell: F.xxhash64(F.lit(tag), cell, v)
+    cells = F.when(~lost, _cells(F.col("lat"), F.col("lon"), portal)).otherwise(none)
+    near = [F.when(v.isNotNull(), F.transform("cells", in_cell(tag + i, v))).otherwise(none) for vs, tag in ((name[:ALL_BANDS], 0), (street, 10)) for i, v in enumerate(vs)]
+    # Elements without a street have but the name to be found by: more bands of it.
+    near += [F.when(v.isNotNull() & (F.lit(True) if portal else bare), F.transform("cells", in_cell(ALL_BANDS + i, v))).otherwise(none) for i, v in enumerate(name[ALL_BANDS:])]
+    # Name and street together, anywhere, one of them as it stands: also of records whose position is wrong.
+    both = F.array(F.xxhash64(F.lit(20), "rare", street[0]), F.xxhash64(F.lit(21), name[0], name[1], "street"))
+    keys = [*near, F.when((F.col("rare") != "") & ~bare, both).otherwise(none)]
     # 100: portal records without position against all elements; 200: elements without position against portal records with one.
-    lost, bare = F.col("lat").isNull(), street.isNull()
-    a, b = (lost, ~lost) if portal else (F.lit(True), lost)
-    # The same where a street is missing. 300: portal records without position against elements without street; 400: portal records
-    # without either against elements with a street; 500: portal records with position against elements without either; 600: portal
-    # records with position but no street against elements with a street but no position.
+    spot = F.xxhash64(*street, "number")
+    at = lambda tag, who: F.when(who & ~bare & F.col("number").isNotNull(), F.array(F.xxhash64(F.lit(tag), spot))).otherwise(none)
+    keys += [at(100, lost if portal else F.lit(True)), at(200, ~lost if portal else lost)]
+    every = x.withColumn("cells", cells).select("h", F.explode(F.concat(*keys)).alias("key"))
+
+    # Where a street is missing too, names alone, of kinds that fit. 300: portal records without position against elements without
+    # street; 400: portal records without either against elements with a street; 500: portal records with position against elements
+    # without either; 600: portal records with position but no street against elements with a street but no position.
     sides = ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare))
-    names = [F.when(o if portal else m, named(tag)).otherwise(none) for tag, o, m in sides]
-    every = F.concat(*near, F.when(a, anywhere(100)).otherwise(none), F.when(b, anywhere(200)).otherwise(none), *names)
-    return with_cells.select("h", F.explode("groups").alias("g"), every.alias("ks")).select("h", "g", F.explode("ks").alias("k")).select("h", F.xxhash64("g", "k").alias("key"))
+    tags = F.filter(F.array(*[F.when(o if portal else m, F.lit(tag)) for tag, o, m in sides]), lambda t: t.isNotNull())
+
+    @F.pandas_udf("array<string>")
+    def classes(sig: pd.Series) -> pd.Series:
+        memo = {s: kinds.classes(s, side) for s in sig.unique()}
+        return sig.map(memo)
 
+    x = x.filter("rare <> ''").withColumn("tags", tags).filter(F.size("tags") > 0)
+    pairs = F.array(F.xxhash64("n0", "n1"), F.xxhash64("n1", "n2"))
+    named = x.select("h", "tags", "sig", F.explode(pairs).alias("k")).select("h", "sig", "k", F.explode("tags").alias("tag"))
+    named = named.select("h", "k", "tag", F.explode(classes("sig")).alias("c")).select("h", F.xxhash64("k", "tag", "c").alias("key"))
+    return every.unionByName(named)
 
-def candidates(portal: DataFrame, places: DataFrame) -> DataFrame:
+
+def candidates(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
     """Distinct pairs (``oh``, ``mh``: hashes of the ids) that share a block."""
-    a, b = _keys(portal, True).withColumnRenamed("h", "oh"), _keys(places, False).withColumnRenamed("h", "mh")
+    a, b = _keys(portal, kinds, PORTAL).withColumnRenamed("h", "oh"), _keys(places, kinds, MAP).withColumnRenamed("h", "mh")
     return a.join(b, "key").select("oh", "mh").distinct()
 
 
-FEATURES = ("bias", "name", "name_high", "name_low", "name_none", "stem_same", "stem_other", "kind_same", "kind_other", "street", "street_low", "street_none", "number_same", "number_other", "near", "close", "far", "pos_none", "name_near", "name_addr", "addr", "addr_near", "street_spot")
+FEATURES = ("bias", "name", "name_high", "name_low", "name_none", "stem_same", "stem_other", "kind", "kind_low", "kind_same", "kind_other", "street", "street_low", "street_none", "number_same", "number_other", "near", "close", "far", "pos_none", "name_near", "name_addr", "addr", "addr_near", "street_spot")
+# Two made pairs, one that agrees in all and one that differs in all, so that a model can be fitted to any tables.
+AGREE = {"bias": 1, "name": 1, "name_high": 1, "stem_same": 1, "kind": 2, "kind_same": 1, "street": 1, "number_same": 1, "near": 1, "close": 1, "name_near": 1, "name_addr": 1, "addr": 1, "addr_near": 1, "street_spot": 1}
+DIFFER = {"bias": 1, "name": 0.2, "name_low": 1, "stem_other": 1, "kind": -1, "kind_low": -1, "kind_other": 1, "street": 0.2, "street_low": 1, "number_other": 1, "far": 1}
 
 
 def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def features(pairs: DataFrame) -> DataFrame:
+def _street_similarity(a: Column, b: Column) -> Column:
+    """One that is the other's beginning is its abbreviation."""
+    short = (F.least(F.length(a), F.length(b)) >= 5) & (F.abs(F.length(a) - F.length(b)) <= 6) & (a.startswith(b) | b.startswith(a))
+    return F.when(short, F.greatest(similarity(a, b), F.lit(0.95))).otherwise(similarity(a, b))
+
+
+def features(pairs: DataFrame, kinds: Kinds) -> DataFrame:
     """Similarities of candidate pairs (columns ``o_*`` and ``m_*``), as ``f`` with one entry for each of ``FEATURES``; and a weak label."""
+
+    @F.pandas_udf("struct<high float, low float>")
+    def fit(o: pd.Series, m: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(o + "|" + m)
+        out = [kinds.fit(*d.split("|")) for d in distinct]
+        return pd.DataFrame({"high": [v[0] for v in out], "low": [v[1] for v in out]}, dtype="float32").iloc[codes].reset_index(drop=True)
+
     o, m = (lambda c: F.col(f"o_{c}")), (lambda c: F.col(f"m_{c}"))
-    x = pairs.withColumns({
-        "s_name": F.when((o("core") == "") | (m("core") == ""), None).otherwise(similarity(o("core"), m("core"))),
-        "s_stem": F.when((o("core") == "") | (m("core") == ""), None).otherwise(similarity(F.substring_index(o("core"), " ", -1), F.substring_index(m("core"), " ", -1))),
-        "s_street": F.when((o("street") == "") | (m("street") == ""), None).otherwise(similarity(o("street"), m("street"))),
-        "same_kind": F.when(o("kind").isNull() | m("kind").isNull(), None).when(o("kind") == m("kind"), True).when((o("kind") == "school") | (m("kind") == "school"), None).otherwise(False),
+    named = o("own") & m("own")
+    last = lambda c: F.substring_index(c, " ", -1)
+    x = pairs.withColumn("fit", fit("o_sig", "m_sig")).withColumns({
+        "s_name": F.when(named, similarity(o("core"), m("core"))),
+        "s_stem": F.when(named, F.greatest(similarity(o("rare"), m("rare")), similarity(last(o("rare")), last(m("rare"))))),
+        "s_street": F.when((o("street") != "") & (m("street") != ""), _street_similarity(o("street"), m("street"))),
         "same_number": o("number") == m("number"),
-        "dist": 111_195.0 * F.sqrt(F.pow(o("lat") - m("lat"), 2) + F.pow((o("lon") - m("lon")) * F.cos(F.radians(o("lat"))), 2)),
+        "dist": _metres(o("lat"), o("lon"), m("lat"), m("lon")),
+        "high": F.when(~F.isnan("fit.high"), F.col("fit.high").cast("double")), "low": F.when(~F.isnan("fit.low"), F.col("fit.low").cast("double")),
     })
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    sure = lambda c: F.coalesce(c, F.lit(False))
     name, street, near = F.coalesce("s_name", F.lit(0.5)), F.coalesce("s_street", F.lit(0.5)), F.coalesce(F.exp(-F.col("dist") / 150), F.lit(0.2))
-    addr = (F.col("s_street") >= 0.8) & F.col("same_number")
-    values = (
-        F.lit(1.0), name, flag(F.col("s_name") >= 0.85), flag(F.col("s_name") < 0.6), flag(F.col("s_name").isNull()), flag(F.col("s_stem") >= 0.8), flag(F.col("s_stem") < 0.6), flag(F.col("same_kind")), flag(~F.col("same_kind")), street, flag(F.col("s_street") < 0.7), flag(F.col("s_street").isNull()),
-        flag(F.col("same_number")), flag(~F.col("same_number")), near, flag(F.col("dist") < 250), flag(F.col("dist") > 400), flag(F.col("dist").isNull()), flag((F.col("s_name") >= 0.75) & (F.col("dist") < 250)), flag((F.col("s_name") >= 0.75) & (F.col("s_street") >= 0.8)), flag(addr), flag(addr & (F.col("dist") < 250)), flag((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)) & (F.col("dist") < 60)),
-    )
-    same, other = F.coalesce("same_kind", F.lit(False)), F.coalesce(~F.col("same_kind"), F.lit(False))
-    good_name, bad_name = F.coalesce(F.col("s_name") >= 0.85, F.lit(False)), F.coalesce((F.col("s_name") < 0.55) | (F.col("s_stem") < 0.5), F.lit(False))
-    good_addr = F.coalesce(addr, F.lit(False))
-    good_street = F.coalesce((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)), F.lit(False))
-    close, far = F.coalesce(F.col("dist") < 250, F.lit(False)), F.coalesce(F.col("dist") > 400, F.lit(False))
+    addr = sure((F.col("s_street") >= 0.8) & F.col("same_number"))
+    other = sure(F.col("low") < -TELLS)
+    same = sure(F.col("high") >= TELLS) & ~other
+    values = {
+        "bias": F.lit(1.0), "name": name, "name_high": flag(F.col("s_name") >= 0.85), "name_low": flag(F.col("s_name") < 0.6), "name_none": flag(F.col("s_name").isNull()),
+        "stem_same": flag(F.col("s_stem") >= 0.8), "stem_other": flag(F.col("s_stem") < 0.6), "kind": F.coalesce(F.least("high", F.lit(3.0)), F.lit(0.0)), "kind_low": F.coalesce(F.greatest("low", F.lit(-3.0)), F.lit(0.0)), "kind_same": flag(same), "kind_other": flag(other),
+        "street": street, "street_low": flag(F.col("s_street") < 0.7), "street_none": flag(F.col("s_street").isNull()), "number_same": flag(F.col("same_number")), "number_other": flag(~F.col("same_number")),
+        "near": near, "close": flag(F.col("dist") < 250), "far": flag(F.col("dist") > 400), "pos_none": flag(F.col("dist").isNull()), "name_near": flag((F.col("s_name") >= 0.75) & (F.col("dist") < 250)), "name_addr": flag((F.col("s_name") >= 0.75) & (F.col("s_street") >= 0.8)),
+        "addr": flag(addr), "addr_near": flag(addr & (F.col("dist") < 250)), "street_spot": flag((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)) & (F.col("dist") < 60)),
+    }
+    good_name, bad_name = sure((F.col("s_name") >= 0.85) & (F.col("s_stem") >= 0.8)), sure((F.col("s_name") < 0.55) | (F.col("s_stem") < 0.5))
+    good_street = sure((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)))
+    number_other, close, far = sure(~F.col("same_number")), sure(F.col("dist") < 250), sure(F.col("dist") > 400)
     # Weak labels: several attributes that agree, or one that rules the pair out.
     label = (
-        F.when(other | far, 0)
-        .when(bad_name & ~good_addr, 0)
-        .when(F.coalesce(~F.col("same_number"), F.lit(False)) & ~good_name & F.col("s_name").isNotNull(), 0)
-        .when(F.col("s_name").isNull() & F.coalesce(~F.col("same_number") | (F.col("s_street") < 0.6), F.lit(False)), 0)
-        .when(~good_name & ~good_street & ~good_addr & F.coalesce((F.col("dist") > 150) & (F.col("s_stem") < 0.7), F.lit(False)), 0)
-        .when(good_name & ~other & (close | good_addr | good_street), 1)
-        .when(F.col("s_name").isNull() & good_addr & (same | F.col("same_kind").isNull()) & ~far, 1)
-        .when(F.col("s_name").isNull() & good_street & same & F.coalesce(F.col("dist") < 60, F.lit(False)), 1)
+        F.when(other | (far & ~(good_name & addr)), 0)
+        .when(bad_name & (~addr | sure((F.col("s_name") < 0.5) & (F.col("s_stem") < 0.5))), 0)
+        .when(F.col("dist").isNull() & F.col("s_street").isNull() & ~good_name, 0)
+        .when(number_other & ~good_name & F.col("s_name").isNotNull(), 0)
+        .when(F.col("s_name").isNull() & (number_other | sure(F.col("s_street") < 0.6)), 0)
+        .when(~good_name & ~good_street & ~addr & sure((F.col("dist") > 150) & (F.col("s_stem") < 0.7)), 0)
+        .when(good_name & (close | addr | good_street), 1)
+        .when(F.col("s_name").isNull() & addr & (same | F.col("high").isNull()), 1)
+        .when(F.col("s_name").isNull() & good_street & same & sure(F.col("dist") < 60), 1)
     )
-    return x.withColumns({"f": F.array(*values), "label": label})
+    return x.withColumns({"f": F.array(*[values[n] for n in FEATURES]), "label": label})
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Weights of a ridge-regularised logistic model, by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """Coefficients of a ridge-regularised logistic model of weighted rows, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _pair_records(portal: DataFrame, places: DataFrame) -> DataFrame:
-    columns = ("id", "kind", "core", "full", "street", "number", "lat", "lon")
+def _pair_records(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
+    columns = ("id", "core", "rare", "own", "sig", "street", "number", "lat", "lon")
     o = portal.select(F.col("h").alias("oh"), *[F.col(c).alias(f"o_{c}") for c in columns])
     m = places.select(F.col("h").alias("mh"), *[F.col(c).alias(f"m_{c}") for c in columns])
-    return candidates(portal, places).join(o, "oh").join(m, "mh")
+    return candidates(portal, places, kinds).join(o, "oh").join(m, "mh")
 
 
-def match(portal: DataFrame, places: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds]:
+    """Comparable attributes of both tables, one row per source_id, and the kinds that go together."""
+    a, b = portal_records(ods), map_records(osm)
+    columns = ("name", "cats", "street")
+    known = learn(a.select(F.lit(PORTAL).alias("side"), *columns).unionByName(b.select(F.lit(MAP).alias("side"), *columns)))
+    box = region(a.select("lat", "lon").unionByName(b.select("lat", "lon")))
+    portal, places = (materialise(one_each(placed(attributes(x, side, known), box)), name) for x, side, name in ((a, PORTAL, "portal"), (b, MAP, "places")))
+    return portal, places, learn_kinds(portal, places, known)
+
+
+def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``ods_source_id, osm_source_id, confidence`` of every candidate pair; a record may be in several.
 
-    The tables come from ``city_places`` and ``map_places``. Null and empty attributes count as not
-    stated. Empty tables, or tables without a weakly labelled pair of both sorts, give no pairs. The
-    model is fitted on at most about ``train_rows`` pairs chosen by hash; every candidate is scored.
+    Every record with a source_id takes part, the latest row of each; null and empty attributes count as not stated.
+    Empty tables give no pairs. The model is fitted on at most about ``train_rows`` weakly labelled pairs chosen
+    by hash, and on two made ones, so that tables with labels of one sort only have a model too; every candidate is scored.
     """
-    spark = portal.sparkSession
-    portal, places = materialise(portal, "portal"), materialise(places, "places")
-    scored = materialise(features(_pair_records(portal, places)).select("oh", "mh", "o_id", "m_id", F.transform("f", lambda v: v.cast("float")).alias("f"), "label"), "pairs")
+    portal, places, kinds = prepare(ods, osm)
+    scored = materialise(features(_pair_records(portal, places, kinds), kinds).select("oh", "mh", "o_id", "m_id", F.transform("f", lambda v: v.cast("float")).alias("f"), "label"), "pairs")
     labelled = scored.filter("label is not null")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return spark.createDataFrame([], "ods_source_id string, osm_source_id string, confidence double")
+    # Three sorts by turns: positive, negative though the name or the address agrees, and the many other negative ones.
+    agrees = (F.col("f")[FEATURES.index("name_high")] + F.col("f")[FEATURES.index("addr")]) > 0
+    labelled = labelled.withColumn("sort", F.when(F.col("label") == 1, 0).when(agrees, 1).otherwise(2))
+    counts = defaultdict(int, {r["sort"]: r["count"] for r in labelled.groupBy("sort").count().collect()})
+    share = [min(1.0, train_rows / 3 / max(counts[k], 1)) for k in range(3)]
     unit = F.pmod(F.xxhash64("oh", "mh"), F.lit(1 << 30)) / float(1 << 30)
-    take = F.when(F.col("label") == 1, F.lit(train_rows / 2 / counts[1])).otherwise(F.lit(train_rows / 2 / counts[0]))
-    sample = labelled.filter(unit < take).select("f", "label", "oh").toPandas()
-    x, y = np.stack(sample["f"].to_numpy()).astype(float), sample["label"].to_numpy().astype(float)
-    held = sample["oh"].to_numpy() % 3 == 0
-    if held.all() or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held = np.zeros(len(y), dtype=bool)
-    w = fit_logistic(x[~held], y[~held])
-    calibrate = held if held.any() else ~held
-    # Platt scaling; the sample has as many of either sort at most, so the odds are put back to those of all pairs.
+    sample = labelled.filter(unit < F.element_at(F.array(*map(F.lit, share)), F.col("sort") + 1)).select("f", "label", "sort", "oh").toPandas()
+    x, y = made_pairs()
+    held, weight = np.zeros(len(y), dtype=bool), np.ones(len(y))
+    if len(sample):
+        x, y = np.concatenate([x, np.stack(sample["f"].to_numpy()).astype(float)]), np.concatenate([y, sample["label"].to_numpy().astype(float)])
+        held = np.concatenate([held, sample["oh"].to_numpy() % 3 == 0])
+        weight = np.concatenate([weight, 1 / np.array(share)[sample["sort"].to_numpy()]])
+    w = fit_logistic(x[~held], y[~held], np.ones(len(y))[~held])
+    # Platt scaling; each pair counts for as many as it was drawn from, so the odds are those of all pairs.
+    calibrate = held if len(set(y[held])) == 2 else ~held
     s = x[calibrate] @ w
-    a, b = fit_logistic(np.stack([s, np.ones(len(s))], axis=1), y[calibrate], ridge=1e-2)
-    share = {k: min(1.0, train_rows / 2 / counts[k]) for k in (0, 1)}
-    shift = float(np.log(share[0] / share[1]))
+    a, b = fit_logistic(np.stack([s, np.ones(len(s))], axis=1), y[calibrate], weight[calibrate], ridge=1e-2)
     score = functools.reduce(operator.add, [F.col("f")[i].cast("double") * float(v) for i, v in enumerate(w)])
-    confidence = 1 / (1 + F.exp(-(score * float(a) + float(b) + shift)))
+    confidence = 1 / (1 + F.exp(-(score * float(a) + float(b))))
     return scored.select(F.col("o_id").alias("ods_source_id"), F.col("m_id").alias("osm_source_id"), confidence.alias("confidence"))
 
 
+def made_pairs() -> tuple[np.ndarray, np.ndarray]:
+    return np.array([[float(p.get(n, 0)) for n in FEATURES] for p in (AGREE, DIFFER)]), np.array([1.0, 0.0])
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs with their confidence."""
-    p = match(city_places(load(spark, sf_dir, "ods_pois")), map_places(load(spark, sf_dir, "overpass")))
+    p = match(load(spark, sf_dir, "ods_pois"), load(spark, sf_dir, "overpass"))
     return p.filter(F.col("confidence") >= MATCH).withColumn("confidence", F.round("confidence", 4))
 
 
