@@ -6,9 +6,9 @@ that they tell no places apart, words that say a kind, and which kinds of one ta
 other, by how often they meet in pairs of equal name at one spot.
 
 Every record enters the blocks. Candidates share a MinHash value of name or street within a grid cell, or
-name and street together anywhere (one of them as it stands, of the other MinHash values), so that a wrong
-position loses no pair; where either side has no usable position, also the street's values with the house
-number, and where a street is missing too, two values of the name with a kind that fits. Candidate pairs get similarity features, a logistic model
+the name with a MinHash value of the street anywhere, so that a wrong position loses no pair; where either
+side has no usable position, also the street's values with the house number, and where a street is missing
+too, two values of the name with a kind that fits. Candidate pairs get similarity features, a logistic model
 fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly labelled pairs turns the
 score into a probability.
 """
@@ -32,7 +32,7 @@ CELL_LAT, CELL_LON = 0.01, 0.016  # about 1.1 km
 REACH_LAT = 0.0027  # about 300 m: a neighbouring cell nearer than this is searched too
 LON_CELLS = 22_500  # cells around the globe
 SEED_M = 250.0  # records of equal name this near teach which kinds go together
-ALL_BANDS = 3  # name bands of every record; the others are for elements without a street
+ALL_BANDS = 2  # name bands of every record; the others are for elements without a street
 MATCH = 0.5
 TELLS = 0.7  # log of how much more often (or less) than by chance two kinds must meet to say anything
 PORTAL, MAP = 0, 1
@@ -76,6 +76,7 @@ def portal_records(ods: DataFrame) -> DataFrame:
 def map_records(osm: DataFrame) -> DataFrame:
     """Rows of the map in common columns, repeated rows included; a label made of the id is no name."""
     name = F.coalesce(F.try_element_at("tags", F.lit("name")), F.when(~F.col("label").rlike(r"^OSM (node|way|relation) \d+$"), F.col("label")))
+    # Map elements may state several categories.
     said = F.transform(F.map_entries(F.map_filter("tags", lambda k, v: k != "name")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
     return _record(osm.filter("source_id is not null").select(
         F.col("source_id").alias("id"), F.coalesce(F.unix_micros("fetched_at"), F.lit(-(2**62))).alias("at"), fold(name).alias("name"), F.coalesce(said, F.array().cast("array<string>")).alias("cats"),
@@ -102,13 +103,10 @@ def placed(x: DataFrame, box: tuple[float, float, float, float] | None) -> DataF
     return x.withColumns({"lat": pick(lat, lon), "lon": pick(lon, lat)})
 
 
-def one_each(x: DataFrame) -> DataFrame:
-    """The latest row of each id; of equally late ones the greatest."""
-    rest = [c for c in x.columns if c not in ("id", "at")]
-    one = x.groupBy("id").agg(F.max(F.struct("at", *rest)).alias("r")).select(F.xxhash64("id").alias("h"), "id", "r.*").drop("at")
-    # A name that is but the street's, with or without a number, says nothing about the place.
+def own_names(x: DataFrame) -> DataFrame:
+    """Adds ``own``: a name that is but the street's, with or without a number, says nothing about the place."""
     joined = F.replace(F.regexp_replace("core", r" \d+ ?[a-z]?$", ""), F.lit(" "), F.lit(""))
-    return one.withColumn("own", (F.col("rare") != "") & ~((F.col("street") != "") & (F.levenshtein(joined, F.col("street")) <= F.length("street") / 6)))
+    return x.withColumn("own", (F.col("rare") != "") & ~((F.col("street") != "") & (F.levenshtein(joined, F.col("street")) <= F.length("street") / 6)))
 
 
 def _cells(lat: Column, lon: Column, reach: bool) -> Column:
@@ -164,13 +162,12 @@ class Kinds:
         return float(x.max()), float(low)
 
     def classes(self, sig: str, side: int) -> list[str]:
-        """Marks of which two records share one if their kinds fit: ``*`` and ``?`` stand for a kind that isn't known."""
+        """Marks of which two records share one if their kinds fit: ``?`` is a kind that isn't known, ``-`` one that none of the portal's goes with."""
         if side == MAP:
             said = self.parts(sig, MAP)
-            own = [str(i) for i in said if i in self.classes_of_map]
-            return [*own, "*"] if own else ["*"] if said else ["?", "*"]
+            return [str(i) for i in said if i in self.classes_of_map] or (["-"] if said else ["?"])
         own = sorted({str(b) for a in self.parts(sig, PORTAL) for b in self.goes[a]})
-        return [*own, "?"] if own else ["*"]
+        return [*own, "?"] if own else [*map(str, sorted(self.classes_of_map)), "?", "-"]
 
 
 def learn_kinds(portal: DataFrame, places: DataFrame, known: Learnt) -> Kinds:
@@ -201,16 +198,27 @@ def _metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def _keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
     """``h, key``: the blocks a record is in."""
     portal = side == PORTAL
+
+    @F.pandas_udf("array<string>")
+    def classes(sig: pd.Series) -> pd.Series:
+        return sig.map({s: kinds.classes(s, side) for s in sig.unique()})
+
+    x = x.withColumn("classes", classes("sig"))
     none = F.array().cast("array<long>")
     name, street = [F.when(F.col("rare") != "", F.col(f"n{i}")) for i in range(NAME_BANDS)], [F.col(f"s{i}") for i in range(STREET_BANDS)]
     lost, bare = F.col("lat").isNull(), F.col("street") == ""
     in_cell = lambda tag, v: lambda cell: F.xxhash64(F.lit(tag), cell, v)
     cells = F.when(~lost, _cells(F.col("lat"), F.col("lon"), portal)).otherwise(none)
-    near = [F.when(v.isNotNull(), F.transform("cells", in_cell(tag + i, v))).otherwise(none) for vs, tag in ((name[:ALL_BANDS], 0), (street, 10)) for i, v in enumerate(vs)]
+    in_cells = lambda who, v, *tags: F.when(who & v.isNotNull(), F.flatten(F.array(*[F.transform("cells", in_cell(t, v)) for t in tags])) if len(tags) > 1 else F.transform("cells", in_cell(tags[0], v))).otherwise(none)
+    near = [in_cells(F.lit(True), v, i) for i, v in enumerate(name[:ALL_BANDS])]
     # Elements without a street have but the name to be found by: more bands of it.
-    near += [F.when(v.isNotNull() & (F.lit(True) if portal else bare), F.transform("cells", in_cell(ALL_BANDS + i, v))).otherwise(none) for i, v in enumerate(name[ALL_BANDS:])]
-    # Name and street together, anywhere, one of them as it stands: also of records whose position is wrong.
-    both = F.array(F.xxhash64(F.lit(20), "rare", street[0]), F.xxhash64(F.lit(21), name[0], name[1], "street"))
+    near += [in_cells(F.lit(True) if portal else bare, v, ALL_BANDS + i) for i, v in enumerate(name[ALL_BANDS:])]
+    # In a street, elements of a kind that none of the portal's goes with meet only places whose kind isn't known.
+    foreign = F.array_contains("classes", "-")
+    for i, v in enumerate(street):
+        near += [in_cells(F.lit(True) if portal else ~foreign, v, 10 + i), in_cells(foreign, v, 15 + i)]
+    # Name and street together, anywhere: also of records whose position is wrong.
+    both = F.array(F.xxhash64(F.lit(20), "rare", street[0]))
     keys = [*near, F.when((F.col("rare") != "") & ~bare, both).otherwise(none)]
     # 100: portal records without position against all elements; 200: elements without position against portal records with one.
     spot = F.xxhash64(*street, "number")
@@ -224,15 +232,9 @@ def _keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
     sides = ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare))
     tags = F.filter(F.array(*[F.when(o if portal else m, F.lit(tag)) for tag, o, m in sides]), lambda t: t.isNotNull())
 
-    @F.pandas_udf("array<string>")
-    def classes(sig: pd.Series) -> pd.Series:
-        memo = {s: kinds.classes(s, side) for s in sig.unique()}
-        return sig.map(memo)
-
     x = x.filter("rare <> ''").withColumn("tags", tags).filter(F.size("tags") > 0)
-    pairs = F.array(F.xxhash64("n0", "n1"), F.xxhash64("n1", "n2"))
-    named = x.select("h", "tags", "sig", F.explode(pairs).alias("k")).select("h", "sig", "k", F.explode("tags").alias("tag"))
-    named = named.select("h", "k", "tag", F.explode(classes("sig")).alias("c")).select("h", F.xxhash64("k", "tag", "c").alias("key"))
+    named = x.select("h", F.xxhash64("n0", "n1").alias("k"), "classes", F.explode("tags").alias("tag"))
+    named = named.select("h", "k", "tag", F.explode("classes").alias("c")).select("h", F.xxhash64("k", "tag", "c").alias("key"))
     return every.unionByName(named)
 
 
@@ -335,7 +337,7 @@ def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds
     columns = ("name", "cats", "street")
     known = learn(a.select(F.lit(PORTAL).alias("side"), *columns).unionByName(b.select(F.lit(MAP).alias("side"), *columns)))
     box = region(a.select("lat", "lon").unionByName(b.select("lat", "lon")))
-    portal, places = (materialise(one_each(placed(attributes(x, side, known), box)), name) for x, side, name in ((a, PORTAL, "portal"), (b, MAP, "places")))
+    portal, places = (materialise(own_names(placed(attributes(x, side, known), box)), name) for x, side, name in ((a, PORTAL, "portal"), (b, MAP, "places")))
     return portal, places, learn_kinds(portal, places, known)
 
 

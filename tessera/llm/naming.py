@@ -26,7 +26,7 @@ ONE_SIDED = 0.1  # a common word that is this much rarer in the other table is a
 LONG = 8  # letters from which on a word is taken for a misspelling of a common one
 FLUSH = 200_000
 BUCKETS = 1 << 16
-NAME_BANDS, STREET_BANDS = 6, 2
+NAME_BANDS, STREET_BANDS = 4, 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,8 +38,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 # The hash of every bucket of letter groups in each band.
-HASHES = [(_mix(np.arange(BUCKETS) + (band + 1) * BUCKETS) >> np.uint64(33)).astype(np.int64) for band in range(max(NAME_BANDS, STREET_BANDS))]
-TOP = np.int64(1 << 31)
+HASHES = [(_mix(np.arange(BUCKETS) + (band + 1) * BUCKETS) % np.uint64((1 << 31) - 1)).astype(np.int64) for band in range(max(NAME_BANDS, STREET_BANDS))]
+TOP = np.int64((1 << 31) - 1)
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def minhash(texts: pa.Array, bands: int, dull: np.ndarray | None = None) -> list
             np.minimum.at(least, row[rest], h[code[rest]])
         else:
             np.minimum.at(least, row, h[code])
-        out.append(pa.array(least, pa.int64(), mask=least == TOP))
+        out.append(pa.array(least, mask=least == TOP).cast(pa.int32()))
     return out
 
 
@@ -244,8 +244,8 @@ def distance(a: str, b: str) -> int:
 class Speller:
     """Misspellings of long common words, and such words run together with the next one."""
 
-    def __init__(self, words: set[str]):
-        self.words = {w for w in words if len(w) >= LONG}
+    def __init__(self, words: set[str], every: set[str] = frozenset()):
+        self.words, self.every = {w for w in words if len(w) >= LONG}, every
         self.index: dict[str, list[str]] = {}
         for w in sorted(self.words):
             for d in deletions(w):
@@ -260,6 +260,10 @@ class Speller:
         return out
 
     def _written(self, token: str) -> str:
+        # Run together with another common word?
+        for k in range(len(token) - 1, LONG - 1, -1):
+            if token[:k] in self.words and token[k:] in self.every:
+                return f"{token[:k]} {token[k:]}"
         # Compared by the letters that are left when each side loses up to two; then exactly.
         near = {w for d in deletions(token) for w in self.index.get(d, ())} if len(token) >= LONG - 2 else set()
         good = sorted((distance(token, w), w) for w in near if abs(len(w) - len(token)) <= 2)
@@ -271,15 +275,15 @@ class Speller:
         return token
 
 
-ATTRIBUTES = "id string, at long, core string, rare string, sig string, street string, number string, lat double, lon double, " + ", ".join([f"n{i} long" for i in range(NAME_BANDS)] + [f"s{i} long" for i in range(STREET_BANDS)])
+ATTRIBUTES = "h long, id string, core string, rare string, sig string, street string, number string, lat double, lon double, " + ", ".join([f"n{i} int" for i in range(NAME_BANDS)] + [f"s{i} int" for i in range(STREET_BANDS)])
 
 
 def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
-    """``ATTRIBUTES`` of ``rows`` (``id, at, name, cats, street, number, lat, lon``).
+    """``ATTRIBUTES`` of the latest of ``rows`` (``id, at, name, cats, street, number, lat, lon``) of each id.
 
     ``rare``: the words that tell places apart; ``core``: these and the common ones that both tables use
     in names; ``sig``: numbers of the kind words and common categories; ``n*`` and ``s*``: MinHash values
-    of ``rare`` and of the street.
+    of ``rare`` and of the street. Of equally late rows the one with the least hash counts.
     """
     kinds, features, dull = known.kinds(side), known.features[side], known.dull
     # Words that say the kind in either table are none of a name.
@@ -287,8 +291,16 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
     every = known.kinds(0) | known.kinds(1)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Speller(kinds)
+        spell = Speller(kinds, stops)
+        before = None
         for b in batches:
+            # The rows of an id follow each other, the latest first.
+            h = b.column("h").to_numpy()
+            first = np.ones(len(h), dtype=bool)
+            first[1:] = h[1:] != h[:-1]
+            first[:1] = h[:1] != before if before is not None else True
+            before = h[-1] if len(h) else before
+            b = b.filter(pa.array(first))
             rows_n, name = b.num_rows, b.column("name")
             row, words = split(name)
             d = words.dictionary_encode()
@@ -319,7 +331,11 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
             both = np.unique((r[f >= 0] << 20) | f[f >= 0])
             sig = _grouped(both >> 20, pa.array((both & ((1 << 20) - 1)).astype(str), pa.string()) if len(both) else pa.array([], pa.string()), rows_n, ",")
             street = b.column("street")
-            cols = [b.column("id"), b.column("at"), core, rare, sig, street, b.column("number"), b.column("lat"), b.column("lon"), *minhash(rare, NAME_BANDS), *minhash(street, STREET_BANDS, dull)]
+            cols = [b.column("h"), b.column("id"), core, rare, sig, street, b.column("number"), b.column("lat"), b.column("lon"), *minhash(rare, NAME_BANDS), *minhash(street, STREET_BANDS, dull)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
 
-    return rows.select("id", "at", "name", "cats", "street", "number", "lat", "lon").mapInArrow(of, ATTRIBUTES)
+    every_cat = F.array(*[F.lit(f[2:]) for f in features if f.startswith("c:")]).cast("array<string>")
+    x = rows.select(F.xxhash64("id").alias("h"), "id", "at", "name", F.array_intersect("cats", every_cat).alias("cats"), "street", "number", "lat", "lon")
+    columns = ("h", "id", "name", "cats", "street", "number", "lat", "lon")
+    x = x.repartition("h").sortWithinPartitions("h", F.desc("at"), F.xxhash64("name", "cats", "street", "number", "lat", "lon"))
+    return x.select(*columns).mapInArrow(of, ATTRIBUTES)
