@@ -21,7 +21,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.naming import NAME_BANDS, STREET_BANDS, Learnt, attributes, learn
@@ -32,7 +32,7 @@ CELL_LAT, CELL_LON = 0.01, 0.016  # about 1.1 km
 REACH_LAT = 0.0027  # about 300 m: a neighbouring cell nearer than this is searched too
 LON_CELLS = 22_500  # cells around the globe
 SEED_M = 250.0  # records of equal name this near teach which kinds go together
-ALL_BANDS = 2  # name bands of every record; the others are for elements without a street
+ALL_BANDS = 3  # name bands of every record; the others are for elements without a street
 MATCH = 0.5
 TELLS = 0.7  # log of how much more often (or less) than by chance two kinds must meet to say anything
 PORTAL, MAP = 0, 1
@@ -209,12 +209,13 @@ def _keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
     lost, bare = F.col("lat").isNull(), F.col("street") == ""
     in_cell = lambda tag, v: lambda cell: F.xxhash64(F.lit(tag), cell, v)
     cells = F.when(~lost, _cells(F.col("lat"), F.col("lon"), portal)).otherwise(none)
-    in_cells = lambda who, v, *tags: F.when(who & v.isNotNull(), F.flatten(F.array(*[F.transform("cells", in_cell(t, v)) for t in tags])) if len(tags) > 1 else F.transform("cells", in_cell(tags[0], v))).otherwise(none)
-    near = [in_cells(F.lit(True), v, i) for i, v in enumerate(name[:ALL_BANDS])]
-    # Elements without a street have but the name to be found by: more bands of it.
-    near += [in_cells(F.lit(True) if portal else bare, v, ALL_BANDS + i) for i, v in enumerate(name[ALL_BANDS:])]
-    # In a street, elements of a kind that none of the portal's goes with meet only places whose kind isn't known.
+    in_cells = lambda who, v, tag: F.when(who & v.isNotNull(), F.transform("cells", in_cell(tag, v))).otherwise(none)
     foreign = F.array_contains("classes", "-")
+    # Elements of a kind that none of the portal's goes with must have the very name; others a MinHash value of it, and those
+    # without a street, which have but the name to be found by, one of more bands.
+    near = [in_cells(F.lit(True) if portal else foreign, F.when(F.col("rare") != "", F.col("rare")), 9)]
+    near += [in_cells(F.lit(True) if portal else ~foreign & (F.lit(i < ALL_BANDS) | bare), v, i) for i, v in enumerate(name)]
+    # In a street, the former meet only places whose kind isn't known.
     for i, v in enumerate(street):
         near += [in_cells(F.lit(True) if portal else ~foreign, v, 10 + i), in_cells(foreign, v, 15 + i)]
     # Name and street together, anywhere: also of records whose position is wrong.
@@ -325,14 +326,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def _pair_records(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
+    """Candidates with the attributes of both sides, each in the latest of its rows."""
     columns = ("id", "core", "rare", "own", "sig", "street", "number", "lat", "lon")
-    o = portal.select(F.col("h").alias("oh"), *[F.col(c).alias(f"o_{c}") for c in columns])
-    m = places.select(F.col("h").alias("mh"), *[F.col(c).alias(f"m_{c}") for c in columns])
-    return candidates(portal, places, kinds).join(o, "oh").join(m, "mh")
+    o = portal.select(F.col("h").alias("oh"), F.col("at").alias("o_at"), *[F.col(c).alias(f"o_{c}") for c in columns])
+    m = places.select(F.col("h").alias("mh"), F.col("at").alias("m_at"), *[F.col(c).alias(f"m_{c}") for c in columns])
+    # The side with the shorter rows is joined first; a repeated row meets its likes in the join, so no shuffle is spent on finding it.
+    x = latest(candidates(portal, places, kinds).join(o, "oh"), ["oh", "mh"], "o_at", [f"o_{c}" for c in columns])
+    return latest(x.join(m, "mh"), ["mh", "oh"], "m_at", [f"m_{c}" for c in columns])
+
+
+def latest(x: DataFrame, keys: list[str], at: str, attributes: list[str]) -> DataFrame:
+    """The latest row of each pair; of equally late ones the one with the least hash."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.xxhash64(*attributes))
+    return x.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", at)
 
 
 def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds]:
-    """Comparable attributes of both tables, one row per source_id, and the kinds that go together."""
+    """Comparable attributes of the rows of both tables, and the kinds that go together."""
     a, b = portal_records(ods), map_records(osm)
     columns = ("name", "cats", "street")
     known = learn(a.select(F.lit(PORTAL).alias("side"), *columns).unionByName(b.select(F.lit(MAP).alias("side"), *columns)))

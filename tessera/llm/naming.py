@@ -26,7 +26,7 @@ ONE_SIDED = 0.1  # a common word that is this much rarer in the other table is a
 LONG = 8  # letters from which on a word is taken for a misspelling of a common one
 FLUSH = 200_000
 BUCKETS = 1 << 16
-NAME_BANDS, STREET_BANDS = 4, 2
+NAME_BANDS, STREET_BANDS = 5, 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -275,15 +275,15 @@ class Speller:
         return token
 
 
-ATTRIBUTES = "h long, id string, core string, rare string, sig string, street string, number string, lat double, lon double, " + ", ".join([f"n{i} int" for i in range(NAME_BANDS)] + [f"s{i} int" for i in range(STREET_BANDS)])
+ATTRIBUTES = "h long, at long, id string, core string, rare string, sig string, street string, number string, lat double, lon double, " + ", ".join([f"n{i} int" for i in range(NAME_BANDS)] + [f"s{i} int" for i in range(STREET_BANDS)])
 
 
 def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
-    """``ATTRIBUTES`` of the latest of ``rows`` (``id, at, name, cats, street, number, lat, lon``) of each id.
+    """``ATTRIBUTES`` of ``rows`` (``id, at, name, cats, street, number, lat, lon``), ``h`` being the hash of the id and ``at`` made distinct.
 
     ``rare``: the words that tell places apart; ``core``: these and the common ones that both tables use
     in names; ``sig``: numbers of the kind words and common categories; ``n*`` and ``s*``: MinHash values
-    of ``rare`` and of the street. Of equally late rows the one with the least hash counts.
+    of ``rare`` and of the street.
     """
     kinds, features, dull = known.kinds(side), known.features[side], known.dull
     # Words that say the kind in either table are none of a name.
@@ -292,15 +292,7 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = Speller(kinds, stops)
-        before = None
         for b in batches:
-            # The rows of an id follow each other, the latest first.
-            h = b.column("h").to_numpy()
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = h[1:] != h[:-1]
-            first[:1] = h[:1] != before if before is not None else True
-            before = h[-1] if len(h) else before
-            b = b.filter(pa.array(first))
             rows_n, name = b.num_rows, b.column("name")
             row, words = split(name)
             d = words.dictionary_encode()
@@ -331,11 +323,9 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
             both = np.unique((r[f >= 0] << 20) | f[f >= 0])
             sig = _grouped(both >> 20, pa.array((both & ((1 << 20) - 1)).astype(str), pa.string()) if len(both) else pa.array([], pa.string()), rows_n, ",")
             street = b.column("street")
-            cols = [b.column("h"), b.column("id"), core, rare, sig, street, b.column("number"), b.column("lat"), b.column("lon"), *minhash(rare, NAME_BANDS), *minhash(street, STREET_BANDS, dull)]
+            cols = [b.column("h"), b.column("at"), b.column("id"), core, rare, sig, street, b.column("number"), b.column("lat"), b.column("lon"), *minhash(rare, NAME_BANDS), *minhash(street, STREET_BANDS, dull)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
 
     every_cat = F.array(*[F.lit(f[2:]) for f in features if f.startswith("c:")]).cast("array<string>")
     x = rows.select(F.xxhash64("id").alias("h"), "id", "at", "name", F.array_intersect("cats", every_cat).alias("cats"), "street", "number", "lat", "lon")
-    columns = ("h", "id", "name", "cats", "street", "number", "lat", "lon")
-    x = x.repartition("h").sortWithinPartitions("h", F.desc("at"), F.xxhash64("name", "cats", "street", "number", "lat", "lon"))
-    return x.select(*columns).mapInArrow(of, ATTRIBUTES)
+    return x.mapInArrow(of, ATTRIBUTES)
