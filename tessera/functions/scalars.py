@@ -33,10 +33,22 @@ def date_and_clock(date: Column, clock: Column) -> Column:
     return F.when((h <= 24) & (m < 60), day + F.make_dt_interval(F.lit(0), h, m, F.lit(0).cast("decimal(18,6)")))
 
 
+# Fixed value: ISO 8601 as far as it is a date, or a date with a clock.
+ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def iso_time(c: Column) -> Column:
-    """ISO date or time; without offset it is UTC; ``+0200`` is an offset too; the unreadable is null."""
-    fixed = F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    return F.coalesce(fixed.try_cast("timestamp"), F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("timestamp"))
+    """ISO date or time; without offset it is UTC, whatever the session's zone; ``+0200`` is an offset too; all else is null."""
+    t = F.trim(c)
+    clock, zone = F.regexp_extract(t, ISO, 2), F.regexp_extract(t, ISO, 3)
+    offset = F.when(zone == "", "Z").otherwise(F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
+    whole = F.concat(F.regexp_extract(t, ISO, 1), F.lit("T"), F.rpad(clock, F.greatest(F.length(clock), F.lit(5)), F.lit("00:00")), F.when(F.length(clock) <= 5, ":00").otherwise(""), offset)
+    return F.when(t.rlike(ISO), whole).try_cast("timestamp")
+
+
+def iso_time_or_date(c: Column) -> Column:
+    """``iso_time``, or the midnight of a date that something unreadable follows."""
+    return F.coalesce(iso_time(c), iso_time(F.substring(F.trim(c), 1, 10)))
 
 
 def rfc_time(c: Column) -> Column:

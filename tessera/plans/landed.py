@@ -109,13 +109,20 @@ def disruption_nodes(s: SparkSession, d: str) -> DataFrame:
     return feeds.gtfs_realtime(raw, now()).select("source_id", prop("delay_s").cast("long").alias("delay_s"))
 
 
-@query("air_nodes", """SELECT 'ABC' AS station, epoch_us(max(day)) // 1000000 AS from_s, arg_max(v, day) AS no2 FROM (SELECT o_orderdate::DATE::TIMESTAMP AS day, max(CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 100) / 10.0 END)::DOUBLE AS v FROM orders GROUP BY 1) WHERE v IS NOT NULL""")
+@query("air_nodes", """WITH h AS (SELECT strftime(o_orderdate, '%d.%m.%Y') AS day, max(o_orderkey) AS k, max(o_orderdate::DATE) AS dt FROM orders GROUP BY 1), l AS (SELECT * FROM h ORDER BY dt DESC LIMIT 1)
+SELECT 'VDOM|' || day || '|24:00' AS source_id, 'Air quality VDOM ' || day || ' 24:00' AS label, epoch_us(dt::TIMESTAMP) // 1000000 + 86400 AS from_s, 51.52355 AS lat, 7.48356 AS lon, (k % 90) / 10.0::DOUBLE AS pm10, NULL::DOUBLE AS no2, (k % 80)::DOUBLE AS no, (k % 70)::DOUBLE AS so2, (k % 60)::DOUBLE AS o3 FROM l
+UNION ALL SELECT 'DMD2|' || day || '|24:00', 'Air quality DMD2 ' || day || ' 24:00', epoch_us(dt::TIMESTAMP) // 1000000 + 86400, 51.53689, 7.45741, NULL, (k % 50)::DOUBLE, NULL, NULL, NULL FROM l""")
 def air_nodes(s: SparkSession, d: str) -> DataFrame:
-    v = F.max(F.when(C("o_orderkey") % 2 == 0, (C("o_orderkey") % 100) / 10.0))
-    daily = load(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(v.alias("v"))
-    wide = daily.select(F.date_format("day", "dd.MM.yyyy").alias("Datum"), F.lit("00:00").alias("Zeit"), F.coalesce(F.replace(C("v").cast("string"), F.lit("."), F.lit(",")), F.lit("<1")).alias("ABC NO2"), F.lit("1").alias("ABC Wind"))
+    k = C("k")
+    day = load(s, d, "orders").groupBy(F.date_format("o_orderdate", "dd.MM.yyyy").alias("Datum")).agg(F.max("o_orderkey").alias("k"))
+    head = lambda st, what: f"{st} {what} 1H Mittelwert [µg/m³]"
+    text = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    wide = day.select(
+        "Datum", F.lit("24:00").alias("Zeit"), text((k % 90) / 10.0).alias(head("VDOM", "PM10F")), F.lit("<7").alias(head("VDOM", "NO2")), text(k % 80).alias(head("VDOM", "NO")), text(k % 70).alias(head("VDOM", "SO2")),
+        text(k % 60).alias(head("VDOM", "O3")), F.lit("3").alias(head("VDOM", "Wind")), text(k % 50).alias(head("DMD2", "NO2")), F.lit("9").alias(head("ELSE", "NO2")),
+    )
     n = feeds.lanuv_air(wide, now())
-    return n.select(prop("station").alias("station"), F.unix_seconds("valid_from").alias("from_s"), prop("measures.no2").cast("double").alias("no2"))
+    return n.select("source_id", "label", F.unix_seconds("valid_from").alias("from_s"), "lat", "lon", *[prop(m).cast("double").alias(m) for m in ("pm10", "no2", "no", "so2", "o3")])
 
 
 @query("council_nodes", """SELECT CASE c_custkey % 3 WHEN 0 THEN 'Organization' WHEN 1 THEN 'Person' ELSE 'Meeting' END AS node_type, 'u' || c_custkey AS source_id, c_name AS label, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS party FROM customer WHERE c_custkey % 10 <> 9

@@ -59,21 +59,22 @@ def stable_source_id(s: SparkSession, d: str) -> DataFrame:
     return places.ods_pois(load(s, d, "ods_pois"), now()).select("source_id", "label").distinct()
 
 
-@query("parse_timestamps", r"""SELECT obs_id, CASE WHEN regexp_matches(t, '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$') THEN epoch_us(try_cast(t AS TIMESTAMPTZ)) END AS utc_us FROM (SELECT obs_id, regexp_replace("timestamp", '([+-]\d\d)(\d\d)$', '\1:\2') AS t FROM brightsky) WHERE regexp_matches(t, '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$')""")
+@query("parse_timestamps", r"""SELECT obs_id, CASE WHEN regexp_matches(t, '^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$') THEN
+  epoch_us(try_cast(t[1:10] AS DATE)::TIMESTAMP) + CASE WHEN length(t) = 10 THEN 0 WHEN t[12:13]::INT < 24 AND t[15:16]::INT < 60 AND coalesce(nullif(regexp_extract(t, '^.{16}:(\d\d)', 1), ''), '0')::INT < 60 THEN
+    (t[12:13]::BIGINT * 3600 + t[15:16]::BIGINT * 60 + coalesce(nullif(regexp_extract(t, '^.{16}:(\d\d)', 1), ''), '0')::BIGINT) * 1000000 + rpad(regexp_extract(t, '^.{19}\.(\d+)', 1), 6, '0')[1:6]::BIGINT
+    - CASE WHEN regexp_matches(t, '[+-]\d\d:?\d\d$') AND length(t) > 16 THEN (CASE WHEN regexp_extract(t, '([+-])\d\d:?\d\d$', 1) = '-' THEN -1 ELSE 1 END) * (regexp_extract(t, '(\d\d):?\d\d$', 1)::BIGINT * 60 + right(t, 2)::BIGINT) * 60000000 ELSE 0 END END END AS utc_us
+FROM (SELECT obs_id, trim("timestamp", ' ') AS t FROM brightsky)""")
 def parse_timestamps(s: SparkSession, d: str) -> DataFrame:
-    iso = F.regexp_replace("timestamp", r"([+-]\d{2})(\d{2})$", "$1:$2").rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
-    t = C("timestamp")
-    valid = scalars.iso_time(F.when(t.rlike(r"^\d{4}"), t))
-    # A date that doesn't exist has no time, though its first part may read as one.
-    fixed = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
-    return load(s, d, "brightsky").filter(iso).select("obs_id", F.unix_micros(F.when(fixed.isNotNull(), valid)).alias("utc_us"))
+    """Every row: what isn't ISO is null."""
+    return load(s, d, "brightsky").select("obs_id", F.unix_micros(scalars.iso_time(C("timestamp"))).alias("utc_us"))
 
 
-@query("rollover_timestamp", r"""SELECT obs_id, epoch_us(strptime(regexp_extract(t, '^(\S+) ', 1), '%d.%m.%Y')) // 1000000 + regexp_extract(t, ' (\d+):', 1)::BIGINT * 3600 + regexp_extract(t, ':(\d+)$', 1)::BIGINT * 60 AS at_s FROM (SELECT obs_id, "timestamp" AS t FROM brightsky) WHERE regexp_matches(t, '^\d\d\.\d\d\.\d{4} \d\d:\d\d$')""")
+@query("rollover_timestamp", r"""SELECT obs_id, CASE WHEN regexp_matches(d, '^\d\d\.\d\d\.\d{4}$') AND regexp_matches(k, '^\d{1,2}:\d\d$') AND split_part(k, ':', 1)::INT <= 24 AND right(k, 2)::INT < 60 THEN epoch_us(try_strptime(d, '%d.%m.%Y')) // 1000000 + split_part(k, ':', 1)::BIGINT * 3600 + right(k, 2)::BIGINT * 60 END AS at_s
+FROM (SELECT obs_id, split_part("timestamp", ' ', 1) AS d, regexp_extract("timestamp", '([^ ]*)$', 1) AS k FROM brightsky)""")
 def rollover_timestamp(s: SparkSession, d: str) -> DataFrame:
+    """Every row: what isn't a German date with a clock is null."""
     t = C("timestamp")
-    x = load(s, d, "brightsky").filter(t.rlike(r"^\d\d\.\d\d\.\d{4} \d\d:\d\d$"))
-    return x.select("obs_id", F.unix_seconds(scalars.date_and_clock(F.substring_index(t, " ", 1), F.substring_index(t, " ", -1))).alias("at_s"))
+    return load(s, d, "brightsky").select("obs_id", F.unix_seconds(scalars.date_and_clock(F.substring_index(t, " ", 1), F.substring_index(t, " ", -1))).alias("at_s"))
 
 
 @query("strip_html", r"SELECT doc_id, nullif(trim(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), ' '), '') AS plain FROM documents")
@@ -120,16 +121,19 @@ def safe_ratio(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "part").select("p_partkey", scalars.share_pct(C("p_size"), C("p_size") + C("p_partkey") % 7).cast("double").alias("pct"))
 
 
-@query("pivot_measures", """SELECT o_orderkey AS n, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 90) / 10.0 END::DOUBLE AS no2, ((o_orderkey % 50) + 0.5)::DOUBLE AS pm10 FROM orders""")
+@query("pivot_measures", """SELECT strftime(o_orderdate, '%d.%m.%Y') AS day, o_orderkey % 24 AS hour, x.station, x.no2, x.pm10, x.o3 FROM orders,
+LATERAL (SELECT 'VDOM' AS station, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 90) / 10.0 END::DOUBLE AS no2, ((o_orderkey % 50) + 0.5)::DOUBLE AS pm10, NULL::DOUBLE AS o3
+         UNION ALL SELECT 'DOMA', NULL, NULL, (o_orderkey % 70)::DOUBLE) x""")
 def pivot_measures(s: SparkSession, d: str) -> DataFrame:
-    """Wide tables of decimal commas as maps of measures by station."""
-    o = load(s, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    """A wide table of decimal commas as rows of its known stations; other stations and substances are left out."""
     k = C("o_orderkey")
-    wide = o.select(F.date_format("o_orderdate", "dd.MM.yyyy").alias("Datum"), F.lit("00:00").alias("Zeit"), k.cast("string").alias("station"), F.when(k % 3 == 0, "<7").otherwise(comma((k % 90) / 10.0)).alias("NO2"), comma((k % 50) + F.lit(0.5)).alias("PM10"), "day")
-    long = wide.select("station", "day", F.explode(F.array(F.struct(F.lit("NO2").alias("s"), C("NO2").alias("v")), F.struct(F.lit("PM10").alias("s"), C("PM10").alias("v")))).alias("p"))
-    m = long.groupBy("station", "day").agg(F.map_from_entries(F.collect_list(F.struct(C("p.s"), scalars.decimal_comma(C("p.v"))))).alias("m"))
-    return m.select(C("station").cast("long").alias("n"), "day", F.try_element_at("m", F.lit("NO2")).alias("no2"), F.try_element_at("m", F.lit("PM10")).alias("pm10"))
+    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    head = lambda st, what: f"{st} {what} 1H Mittelwert [µg/m³]"
+    wide = load(s, d, "orders").select(
+        F.date_format("o_orderdate", "dd.MM.yyyy").alias("Datum"), F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00")).alias("Zeit"), F.when(k % 3 == 0, "<7").otherwise(comma((k % 90) / 10.0)).alias(head("VDOM", "NO2")),
+        comma((k % 50) + F.lit(0.5)).alias(head("VDOM", "PM10F")), F.lit("1").alias(head("VDOM", "Wind")), (k % 70).cast("string").alias(head("DOMA", "O3")), F.lit("5").alias(head("XYZ", "NO2")),
+    )
+    return feeds.air_measures(wide).select("day", F.substring("clock", 1, 2).cast("bigint").alias("hour"), "station", "no2", "pm10", "o3")
 
 
 @query("nested_first_match", "SELECT source_id, objektart AS found FROM ods_pois")
@@ -154,18 +158,55 @@ def _minutes(s: SparkSession, d: str) -> DataFrame:
     return council.minutes(x.select(F.concat(F.lit("https://example.org/?documentId="), C("doc_id").cast("string")).alias("link"), F.lit("Rat").alias("gremium"), F.date_format("published_at", "yyyy-MM-dd").alias("datum"), F.regexp_replace(html, "\n", "<br>").alias("html")))
 
 
-@query("parse_agenda")
+# Lines, the items they open and the decisions behind each paper, set-wise.
+_AGENDA = r"""
+doc AS (
+  SELECT doc_id::VARCHAR AS document_id, strftime(published_at, '%Y-%m-%d') AS datum,
+    replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^TOP (\d)', '\1', 'g'), 'Vorlage Nr\. (\d)', 'Drucksache Nr.: \1', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|tr|td|font|li|h\d)>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+      '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t
+  FROM documents WHERE source = 'gremienniederschriften'
+), lines AS (
+  SELECT document_id, datum, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM doc WHERE t IS NOT NULL
+), opened AS (
+  SELECT *, sum(CASE WHEN regexp_matches(line, '^\d+(\.\d+){0,3}\s+\S') AND length(regexp_extract(line, '^(\d+(?:\.\d+){0,3})\s', 1)) <= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i) AS pos
+  FROM (SELECT * EXCLUDE x, trim(regexp_replace(x, '\s+', ' ', 'g'), ' ') AS line FROM lines)
+), items AS (
+  SELECT document_id, datum, pos, regexp_extract(first(line ORDER BY i), '^(\d+(?:\.\d+){0,3})\s+', 1) AS number, substr(regexp_extract(first(line ORDER BY i), '^(?:\d+(?:\.\d+){0,3})\s+(\S.*)$', 1), 1, 200) AS title,
+    list_sort(list_distinct(flatten(list(regexp_extract_all(line, '(?i)(?:Dr\.|Drucksache)\s*Nr\.?:?\s*(\d{3,}-\d{2})', 1))))) AS papers
+  FROM opened WHERE pos > 0 GROUP BY document_id, datum, pos
+), flat AS (SELECT document_id, trim(regexp_replace(t, '\s+', ' ', 'g'), ' ') AS f FROM doc WHERE t IS NOT NULL),
+said AS (
+  SELECT document_id, nr, nullif(lower(regexp_extract(split_part(substr(behind, 1, 250), '. ', 1), '(?i)(einstimmig|mehrheitlich|abgelehnt|zugestimmt|genehmigt|beschlossen)', 1)), '') AS vote, k
+  FROM (SELECT document_id, unnest(regexp_extract_all(f, '(?i)(?:Dr\.|Drucksache)\s*Nr\.?:?\s*(\d{3,}-\d{2})', 1)) AS nr, unnest(string_split_regex(f, '(?i)(?:Dr\.|Drucksache)\s*Nr\.?:?\s*\d{3,}-\d{2}')[2:]) AS behind, generate_subscripts(regexp_extract_all(f, '(?i)(?:Dr\.|Drucksache)\s*Nr\.?:?\s*(\d{3,}-\d{2})', 1), 1) AS k FROM flat)
+), votes AS (SELECT document_id, nr, first(vote ORDER BY k) FILTER (vote IS NOT NULL) AS vote FROM said GROUP BY ALL),
+papers AS (SELECT i.*, v.vote FROM (SELECT document_id, datum, pos, number, title, unnest(papers) AS nr FROM items) i LEFT JOIN votes v USING (document_id, nr))
+"""
+
+
+@query("parse_agenda", f"""WITH {_AGENDA} SELECT i.document_id, i.number, i.title, count(p.nr) AS papers, coalesce(string_agg(p.nr || '=' || coalesce(p.vote, '?') || '=' || CASE WHEN p.vote IS NULL THEN '?' WHEN p.vote = 'abgelehnt' THEN 'false' ELSE 'true' END, ',' ORDER BY p.nr), '') AS outcomes
+FROM items i LEFT JOIN papers p USING (document_id, pos) GROUP BY i.document_id, i.pos, i.number, i.title""")
 def parse_agenda(s: SparkSession, d: str) -> DataFrame:
-    return _minutes(s, d).select("document_id", F.explode("agenda").alias("i")).select("document_id", "i.number", "i.title", F.size("i.papers").alias("papers"))
+    said = F.transform("i.papers", lambda p: F.concat_ws("=", p["nr"], F.coalesce(p["vote"], F.lit("?")), F.coalesce(p["passed"].cast("string"), F.lit("?"))))
+    return _minutes(s, d).select("document_id", F.explode("agenda").alias("i")).select("document_id", "i.number", "i.title", F.size("i.papers").cast("bigint").alias("papers"), F.array_join(said, ",").alias("outcomes"))
 
 
-@query("single_outcome")
+@query("single_outcome", f"""WITH {_AGENDA}, last AS (SELECT document_id, number, max(pos) AS pos FROM items GROUP BY ALL)
+SELECT document_id || '#' || number AS source_id, CASE WHEN count(DISTINCT vote) = 1 THEN max(vote) END AS result FROM last LEFT JOIN (SELECT document_id, pos, vote FROM papers) p USING (document_id, pos) GROUP BY document_id, number""")
 def single_outcome(s: SparkSession, d: str) -> DataFrame:
     n, _ = council.niederschriften(_minutes(s, d), now())
     return n.filter("node_type = 'AgendaItem'").select("source_id", F.get_json_object("properties", "$.result").alias("result"))
 
 
-@query("agenda_edges")
+@query("agenda_edges", f"""WITH {_AGENDA} SELECT DISTINCT 'RELATES_TO' AS edge_type, sha256('council_minutes|' || document_id || '#' || number) AS from_node_id, sha256('council_minutes|' || document_id) AS to_node_id, 'agenda_of' AS relation FROM items
+UNION ALL SELECT DISTINCT 'RELATES_TO', sha256('council_minutes|' || nr), sha256('council_minutes|' || document_id || '#' || number), 'decided_in' FROM papers""")
 def agenda_edges(s: SparkSession, d: str) -> DataFrame:
     _, e = council.niederschriften(_minutes(s, d), now())
     return e.select("edge_type", "from_node_id", "to_node_id", F.get_json_object("properties", "$.relation").alias("relation"))
+
+
+@query("resolution_outcomes", f"""WITH {_AGENDA} SELECT nr, CASE WHEN vote IS NULL THEN NULL ELSE vote <> 'abgelehnt' END AS passed, vote FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY datum DESC, document_id DESC, number DESC, title DESC) AS n FROM papers) WHERE n = 1""")
+def resolution_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """One decision for each paper, the latest document's, with what was said of it and whether it passed."""
+    n, _ = council.niederschriften(_minutes(s, d), now())
+    p = lambda k: F.get_json_object("properties", f"$.{k}")
+    return n.filter("node_type = 'Resolution'").select(C("source_id").alias("nr"), p("passed").cast("boolean").alias("passed"), p("vote").alias("vote"))

@@ -27,8 +27,8 @@ def gremientermine(raw: DataFrame, now: Column) -> DataFrame:
 def minutes(raw: DataFrame) -> DataFrame:
     """Landed minutes (``link, gremium, datum, html``) with ``document_id`` and the parsed ``agenda``; documents without id drop out."""
     doc = F.coalesce(C("document_id"), url_parameter(C("link"), "documentId")) if "document_id" in raw.columns else url_parameter(C("link"), "documentId")
-    x = raw.withColumn("document_id", doc).filter("document_id is not null")
-    return x.withColumns({"gremium": text_or(C("gremium"), "Unbekanntes Gremium"), "datum": F.coalesce("datum", F.lit("")), "agenda": parse_minutes(html_to_text(C("html")))})
+    x = raw.withColumn("document_id", doc).filter("document_id is not null").withColumn("__text", html_to_text(C("html")))
+    return x.withColumns({"gremium": text_or(C("gremium"), "Unbekanntes Gremium"), "datum": F.coalesce("datum", F.lit("")), "agenda": parse_minutes(C("__text"))}).drop("__text")
 
 
 def niederschriften(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

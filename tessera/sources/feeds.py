@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import in_box
-from tessera.functions.scalars import date_and_clock, decimal_comma, epoch_time, first_tag, iso_time, rfc_time, stable_id, tag_by_parent, text_or
+from tessera.functions.scalars import date_and_clock, decimal_comma, epoch_time, first_tag, iso_time, iso_time_or_date, rfc_time, stable_id, tag_by_parent, text_or
 from tessera.functions.text import classify_report, strip_html
 from tessera.sources.common import emit
 
@@ -42,7 +42,7 @@ def city_events(raw: DataFrame, now: Column) -> DataFrame:
         "event_type": F.lit("public_event"), "category": tag_by_parent(C("contentTags"), "Veranstaltungskalender"), "stadtbezirk": tag_by_parent(C("contentTags"), "Stadtbezirke"),
         "description": strip_html(F.coalesce(F.nullif(C("d.event.description"), F.lit("")), C("d.event.text"))), **{k: F.coalesce(C(f"d.{v}"), F.lit(False)) for k, v in flags.items()}, "tags": F.array(F.lit("veranstaltung")),
     }
-    return emit(x, "Event", "city_events", C("id"), C("d.event.title"), props, now, url, valid_from=iso_time(F.coalesce(F.nullif(C("d.startDateTime"), F.lit("")), C("d.startCalendarDay.date"))))
+    return emit(x, "Event", "city_events", C("id"), C("d.event.title"), props, now, url, valid_from=iso_time_or_date(F.coalesce(F.nullif(C("d.startDateTime"), F.lit("")), C("d.startCalendarDay.date"))))
 
 
 # Notice subtypes and the kinds of tender they stand for.
@@ -101,27 +101,45 @@ def gtfs_realtime(raw: DataFrame, now: Column) -> DataFrame:
     return emit(x, "Event", "gtfs_realtime", C("source_id"), C("label"), props, now, valid_from=at)
 
 
-# Measured substances by the name in the table's header.
-SUBSTANCES = {"Ozon": "ozone", "NO": "no", "NO2": "no2", "PM10": "pm10", "PM2,5": "pm25", "SO2": "so2"}
-
-
-def air_measures(wide: DataFrame, date: str = "Datum", clock: str = "Zeit") -> DataFrame:
-    """``station, observed, measures map<string,double>`` from a table with a column ``station substance`` for each pair."""
-    known = F.create_map(*[F.lit(v) for kv in SUBSTANCES.items() for v in kv])
-    columns = [c for c in wide.columns if c not in (date, clock)]
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), C(f"`{c}`").cast("string").alias("value")) for c in columns])
-    long = wide.select(date_and_clock(C(date), C(clock)).alias("observed"), F.explode(pairs).alias("p"))
-    parts = F.split(F.trim("p.name"), r"\s+")
-    x = long.select("observed", parts[0].alias("station"), F.try_element_at(known, F.get(parts, F.lit(1))).alias("substance"), decimal_comma(C("p.value")).alias("value")).filter("substance is not null and observed is not null")
-    g = x.groupBy("station", "observed").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("substance", "value")))).alias("m"))
-    return g.select("station", "observed", F.map_filter("m", lambda k, v: v.isNotNull()).alias("measures"))
-
-
-def lanuv_air(wide: DataFrame, now: Column) -> DataFrame:
-    """Air quality: the last row of each station's table (by time) as an observation."""
-    last = air_measures(wide).filter(F.size("measures") > 0).groupBy("station").agg(F.max_by(F.struct("observed", "measures"), "observed").alias("r")).select("station", "r.*")
-    at = F.date_format("observed", "yyyy-MM-dd'T'HH:mm")
-    return emit(last, "AirQualityObservation", "lanuv_air", F.concat_ws("|", "station", at), F.concat_ws(" ", F.lit("Air"), "station", at), {"station": C("station"), "measures": C("measures")}, now, valid_from=C("observed"))
+# Measured substances by the name in the table's header, and the stations of the city with their positions.
+SUBSTANCES = {"PM10F": "pm10", "NO2": "no2", "NO": "no", "SO2": "so2", "O3": "o3"}
+STATIONS = {
+    "DOB12": (51.50058, 7.48101),
+    "DOB11": (51.50404, 7.50251),
+    "VDOM3": (51.52409, 7.47962),
+    "VDOM": (51.52355, 7.48356),
+    "DMD2": (51.53689, 7.45741),
+    "DOMA": (51.52402, 7.45555),
+    "DOMM": (51.50563, 7.47412),
+    "DOMR": (51.50440, 7.46712),
+}
+
+
+def air_measures(wide: DataFrame, stations: dict[str, tuple[float, float]] = STATIONS, date: str = "Datum", clock: str = "Zeit") -> DataFrame:
+    """``station, lat, lon, day, clock, observed`` and a column for each substance, from a table with a column for each ``station substance ...``.
+
+    Which column is what is known from the header, so every row becomes its stations' rows without a shuffle.
+    Columns of other stations and substances are left out; what a station doesn't measure is null.
+    """
+    of: dict[str, dict[str, str]] = {}
+    for c in wide.columns:
+        station, substance, *_ = (*c.split(), "", "")
+        if station in stations and substance in SUBSTANCES:
+            of.setdefault(station, {})[SUBSTANCES[substance]] = c
+    value = lambda c: decimal_comma(C(f"`{c}`").cast("string")) if c else F.lit(None).cast("double")
+    rows = [F.struct(F.lit(st).alias("station"), F.lit(stations[st][0]).alias("lat"), F.lit(stations[st][1]).alias("lon"), *[value(cs.get(s)).alias(s) for s in SUBSTANCES.values()]) for st, cs in of.items()]
+    x = wide.select(C(date).alias("day"), C(clock).alias("clock"), date_and_clock(C(date), C(clock)).alias("observed"), *([F.inline(F.array(*rows))] if rows else []))
+    if rows:
+        return x
+    return x.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("station", "string"), ("lat", "double"), ("lon", "double"))], "day", "clock", "observed", *[F.lit(None).cast("double").alias(s) for s in SUBSTANCES.values()])
+
+
+def lanuv_air(wide: DataFrame, now: Column, stations: dict[str, tuple[float, float]] = STATIONS) -> DataFrame:
+    """Air quality: the table's latest hour, an observation for each station in its header, measured or not."""
+    last = air_measures(wide.orderBy(F.desc_nulls_last(date_and_clock(C("Datum"), C("Zeit")))).limit(1), stations)
+    day, clock = (F.coalesce(c, F.lit("")) for c in ("day", "clock"))
+    props = {**{s: C(s) for s in SUBSTANCES.values()}, "station_id": C("station"), "preliminary": F.lit(True)}
+    return emit(last, "AirQualityObservation", "lanuv_luqs", F.concat_ws("|", "station", day, clock), F.concat_ws(" ", F.lit("Air quality"), "station", day, clock), props, now, valid_from=C("observed"), lat=C("lat"), lon=C("lon"))
 
 
 def _joined(c: Column, kind: str) -> Column:

@@ -131,11 +131,14 @@ def test_transit(spark):
 
 def test_air_and_motorway(spark):
     path = scratch(spark, "air")
-    lines = spark.createDataFrame([("Datum;Zeit;ABC NO2;ABC PM10;XYZ Ozon;XYZ Wind",), ("31.12.2024;23:00;10,5;<7;20;1",), ("31.12.2024;24:00;26,3;--;30;1",)], "value string").coalesce(1)
+    lines = spark.createDataFrame([("Datum;Zeit;VDOM NO2 1H;VDOM PM10F 24H;DOMA O3 1H;DOMA Wind;XYZ NO2",), ("31.12.2024;23:00;10,5;<7;20;1;4",), ("31.12.2024;24:00;26,3;--;30;1;4",)], "value string").coalesce(1)
     lines.write.text(path)
     wide = read_landed(spark, path, "csv", None, sep=";", header="true", encoding="ISO-8859-1")
     rows = {r["source_id"].split("|")[0]: (r, p) for r, p in emitted(feeds.lanuv_air(wide, now()))}
-    assert rows["ABC"][1]["measures"] == {"no2": 26.3} and rows["ABC"][0]["valid_from"] == datetime(2025, 1, 1) and rows["XYZ"][1]["measures"] == {"ozone": 30.0}
+    assert set(rows) == {"VDOM", "DOMA"} and rows["VDOM"][0]["source_id"] == "VDOM|31.12.2024|24:00" and rows["VDOM"][0]["valid_from"] == datetime(2025, 1, 1)
+    assert (rows["VDOM"][1]["no2"], rows["VDOM"][1]["pm10"], rows["DOMA"][1]["o3"], rows["DOMA"][1]["no2"]) == (26.3, None, 30.0, None)
+    assert (rows["VDOM"][0]["lat"], rows["VDOM"][0]["lon"]) == (51.52355, 7.48356)
+    assert feeds.lanuv_air(wide.select("Datum", "Zeit", "XYZ NO2"), now()).count() == 0
     ddl = "_road string, _kind string, _lat double, _lon double, identifier string, title {0}, subtitle string, description {0}, isBlocked boolean, startTimestamp string, coordinate struct<lat:double,long:double>"
     a = spark.createDataFrame([("A1", "roadwork", 51.5, 7.5, "i1", ["A1", "AS"], "nach", ["x"], None, "2024-01-01T00:00:00+01:00", None), ("A1", "closure", 40.0, 7.5, "i2", None, "", [], True, "bald", None)], ddl.format("array<string>"))
     (r, p), (q, pq) = emitted(feeds.autobahn(a, now()))

@@ -58,10 +58,13 @@ def test_node_text(spark):
 
 def test_minutes(spark):
     html = "<p>1 Er&ouml;ffnung</p><p>2.1 Haushalt<br>Drucksache Nr.: 12345-24 wird einstimmig beschlossen. Danach abgelehnt.</p><p>Dr. Nr. 22222-24 wird abgelehnt.</p><p>3 Ende Drucksache Nr. 33333-24 vertagt</p>"
-    a = one(spark, html, lambda c: text.parse_minutes(text.html_to_text(c)))
+    a = one(spark, one(spark, html, text.html_to_text), text.parse_minutes)
     assert [(i["number"], i["title"].split()[0]) for i in a] == [("1", "Eröffnung"), ("2.1", "Haushalt"), ("3", "Ende")]
     assert [(p["nr"], p["vote"], p["passed"]) for i in a for p in i["papers"]] == [("12345-24", "einstimmig", True), ("22222-24", "abgelehnt", False), ("33333-24", None, None)]
-    assert one(spark, None, text.parse_minutes) == []
+    assert one(spark, None, text.parse_minutes) == [] and one(spark, "", text.parse_minutes) == []
+    # The first outcome that is said of a paper counts, wherever; papers before the first item belong to none.
+    a = one(spark, "Dr. Nr. 11111-24 vertagt\n1 Erstes Dr. Nr. 11111-24 genehmigt, Dr. Nr. 11111-24 abgelehnt\n1.2.3.4.5 kein TOP\n12345678901 keine Nummer\n2 " + "x" * 300, text.parse_minutes)
+    assert [(i["number"], len(i["title"]), [tuple(p) for p in i["papers"]]) for i in a] == [("1", 61, [("11111-24", "genehmigt", True)]), ("2", 200, [])]
 
 
 def test_insights_and_titles(spark):
@@ -77,6 +80,9 @@ def test_scalars(spark):
     at = lambda c: scalars.date_and_clock(F.lit("31.12.2024"), c).cast("string")
     assert one(spark, "24:00", at) == "2025-01-01 00:00:00" and one(spark, "07:30", at) == "2024-12-31 07:30:00" and one(spark, "25:00", at) is None
     assert one(spark, "2027-06-12T10:00:00.000000+0200", lambda c: scalars.iso_time(c).cast("string")) == "2027-06-12 08:00:00"
+    for bad in ("2024-02-28T25:00:00", "2024-02-28 nonsense", "2024-02-30", "bald", "", None):
+        assert one(spark, bad, lambda c: scalars.iso_time(c).cast("string")) is None, bad
+    assert one(spark, "2024-02-28 nonsense", lambda c: scalars.iso_time_or_date(c).cast("string")) == "2024-02-28 00:00:00"
     assert one(spark, "Tue, 24 Oct 2023 03:35:50 +0200", lambda c: scalars.rfc_time(c).cast("string")) == "2023-10-24 01:35:50"
     assert one(spark, 0, scalars.epoch_time, "long") is None
     assert one(spark, 226, lambda c: scalars.share_pct(c, F.lit(1000)), "int") == 22.6 and one(spark, 0, lambda c: scalars.share_pct(c, F.lit(0)), "int") is None
