@@ -53,12 +53,22 @@ def wkt(kind: Column, lon: Column, lat: Column, rings: Column) -> Column:
     )
 
 
-def feature(node_id: Column, label: Column, kind: Column, lon: Column, lat: Column) -> Column:
-    """A GeoJSON point feature as JSON text."""
-    return F.to_json(F.struct(
-        F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"),
-        F.struct(node_id.alias("id"), label.alias("label"), kind.alias("node_type")).alias("properties"),
-    ))
+def geometry(lon: Column, lat: Column, rings: Column) -> Column:
+    """GeoJSON of a node's geometry as JSON text: a polygon of its rings, a line of one open ring, else a point; null without any."""
+    ring = F.get(rings, F.lit(0))
+    closed = F.get(ring, F.lit(0)) == F.element_at(ring, -1)
+    shape = lambda kind, c: F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("coordinates")))
+    return (
+        F.when((F.size(rings) > 1) | closed, shape("Polygon", rings))
+        .when(F.size(rings) == 1, shape("LineString", ring))
+        .when(lon.isNotNull() & lat.isNotNull(), shape("Point", F.array(lon, lat)))
+    )
+
+
+def feature(lon: Column, lat: Column, rings: Column, **properties: Column) -> Column:
+    """A GeoJSON feature as JSON text."""
+    p = F.to_json(F.struct(*[c.alias(k) for k, c in properties.items()]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry(lon, lat, rings), F.lit(',"properties":'), p, F.lit("}"))
 
 
 def near_join(anchors: DataFrame, others: DataFrame, radius_m: float, anchor: tuple[str, str], other: tuple[str, str]) -> DataFrame:

@@ -7,10 +7,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.functions.temporal import valid_at
 from tessera.functions.text import set_similarity, trigrams
 
 PAGE, PAGE_MOST = 50, 500
+LAYER, LAYER_MOST = 2000, 10_000
 
 
 def endpoints(edges: DataFrame, *keep: str) -> DataFrame:
@@ -50,6 +52,16 @@ class Graph:
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
 
+    def feature_collection(self, node_type: str | None = None, source: str | None = None, as_of: str | None = None, limit: int | None = LAYER) -> DataFrame:
+        """``collection``: one GeoJSON FeatureCollection of the nodes that have a geometry, the newest ``limit`` (at most ``LAYER_MOST``)."""
+        if limit is None or not 0 <= limit <= LAYER_MOST:
+            raise ValueError(f"limit must be within 0 and {LAYER_MOST}")  # it is one row
+        x = self.nodes.filter(valid_at(as_of)).withColumn("__f", geo.feature(F.col("lon"), F.col("lat"), F.col("rings"), id=F.col("id"), node_type=F.col("node_type"), label=F.col("label"), source=F.col("source"))).filter("__f is not null")
+        for column, value in (("node_type", node_type), ("source", source)):
+            x = x if value is None else x.filter(F.col(column) == value)
+        top = x.orderBy(F.desc("observed_at"), "id").limit(limit).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("observed_at")).alias("at"), "id", "__f"))).alias("fs"))
+        return top.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs.__f", ","), F.lit("]}")).alias("collection"))
+
     def nodes_by_ids(self, ids: DataFrame, key: str = "id") -> DataFrame:
         return semi(self.nodes, "id", ids, key)
 

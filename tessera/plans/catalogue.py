@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import dedup, history, instants, spatial_join
-from tessera.plans import landed, parsing, reads, reasoning, spatial, writes
+from tessera.plans import changes, landed, parsing, reads, reasoning, spatial, writes
 
 QUERIES = {
     "p2_found": history.found,
@@ -16,6 +16,7 @@ QUERIES = {
     **reasoning.QUERIES,
     **parsing.QUERIES,
     **landed.QUERIES,
+    **changes.QUERIES,
 }
 SQL = {
     "p2_found": history.FOUND_SQL,
@@ -28,5 +29,6 @@ SQL = {
     **reasoning.SQL,
     **parsing.SQL,
     **landed.SQL,
+    **changes.SQL,
 }
 flagship = reads.flagship

@@ -187,7 +187,7 @@ papers AS (SELECT i.*, v.vote FROM (SELECT document_id, datum, pos, number, titl
 FROM items i LEFT JOIN papers p USING (document_id, pos) GROUP BY i.document_id, i.pos, i.number, i.title""")
 def parse_agenda(s: SparkSession, d: str) -> DataFrame:
     said = F.transform("i.papers", lambda p: F.concat_ws("=", p["nr"], F.coalesce(p["vote"], F.lit("?")), F.coalesce(p["passed"].cast("string"), F.lit("?"))))
-    return _minutes(s, d).select("document_id", F.explode("agenda").alias("i")).select("document_id", "i.number", "i.title", F.size("i.papers").cast("bigint").alias("papers"), F.array_join(said, ",").alias("outcomes"))
+    return _minutes(s, d).select("document_id", F.explode_outer("agenda").alias("i")).filter("i is not null").select("document_id", "i.number", "i.title", F.size("i.papers").cast("bigint").alias("papers"), F.array_join(said, ",").alias("outcomes"))
 
 
 @query("single_outcome", f"""WITH {_AGENDA}, last AS (SELECT document_id, number, max(pos) AS pos FROM items GROUP BY ALL)

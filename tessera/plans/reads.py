@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.functions.temporal import valid_at
 from tessera.graph import top_per
 from tessera.operators import candidates, history
@@ -161,13 +162,13 @@ def ego_network(s: SparkSession, d: str) -> DataFrame:
 STREETS = """street AS (SELECT DISTINCT p.to_node_id AS area_id, m.from_node_id AS other_id FROM edges p JOIN edges m ON m.to_node_id = p.to_node_id AND m.edge_type = 'RELATES_TO' AND m.relation = 'mentions_area' AND m.to_s IS NULL WHERE p.edge_type = 'PART_OF' AND p.to_s IS NULL)"""
 
 
-@query("two_hop_mentions", f"WITH {w.EDGES_SQL}, {STREETS} SELECT area_id, other_id FROM street")
+@query("two_hop_mentions", f"""WITH {w.EDGES_SQL} SELECT DISTINCT p.to_node_id AS area_id, m.to_node_id AS other_id FROM edges p JOIN edges m ON m.from_node_id = p.from_node_id WHERE p.to_s IS NULL AND m.relation = 'mentions_area' AND m.to_s IS NULL""")
 def two_hop_mentions(s: SparkSession, d: str) -> DataFrame:
-    """Texts that mention an area that something is part of: two edges that meet in the area."""
-    e = w.edges(s, d).filter(valid_at())
-    p = e.filter("edge_type = 'PART_OF'").select(C("to_node_id").alias("area_id")).distinct()
-    m = e.filter((C("edge_type") == "RELATES_TO") & (F.get_json_object("properties", "$.relation") == "mentions_area"))
-    return p.join(m.select(C("to_node_id").alias("area_id"), C("from_node_id").alias("other_id")), "area_id").distinct()
+    """The two-hop operator on all edges. The feed mentions no streets, so here every edge makes its element part of an area, and a mention of an area, turned round, mentions the element."""
+    e = w.edges(s, d)
+    mention = F.get_json_object("properties", "$.relation") == "mentions_area"
+    turned = e.filter(mention).withColumns({"from_node_id": C("to_node_id"), "to_node_id": C("from_node_id"), "edge_type": F.lit("RELATES_TO"), "properties": F.to_json(F.struct(F.lit("mentions_street").alias("relation")))})
+    return candidates.street_mentions(w.Graph(w.osm(s, d), e.withColumn("edge_type", F.lit("PART_OF")).unionByName(turned)))
 
 
 @query("pois_in_area", f"WITH {w.OSM}, {w.EDGES_SQL} SELECT o.id, o.label, e.to_node_id AS area_id FROM osm o JOIN edges e ON e.from_node_id = o.id WHERE e.edge_type = 'LOCATED_IN' AND e.to_s IS NULL")
@@ -175,10 +176,26 @@ def pois_in_area(s: SparkSession, d: str) -> DataFrame:
     return w.Graph(w.osm(s, d), w.edges(s, d)).located_in().select("id", "label", "area_id")
 
 
-@query("geojson_features", f"""WITH {w.ODS} SELECT id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"id":"' || id || '","node_type":"POI"}}}}' AS feature FROM ods WHERE lon IS NOT NULL AND lat IS NOT NULL""")
+@query("geojson_features", f"""WITH {w.ODS} SELECT id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"id":"' || id || '","node_type":"POI","source":"opendata_pois"}}}}' AS feature FROM ods WHERE lon IS NOT NULL AND lat IS NOT NULL""")
 def geojson_features(s: SparkSession, d: str) -> DataFrame:
-    f = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("id", "node_type").alias("properties")))
-    return w.pois(s, d).filter("lon is not null and lat is not null").select("id", f.alias("feature"))
+    return w.pois(s, d).filter("lon is not null and lat is not null").select("id", geo.feature(C("lon"), C("lat"), C("rings"), id=C("id"), node_type=C("node_type"), source=C("source")).alias("feature"))
+
+
+@query("feature_collection", f"""WITH {w.ODS} SELECT 'FeatureCollection' AS type, count(*) AS features, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT id FROM ods WHERE lon IS NOT NULL AND lat IS NOT NULL ORDER BY observed_s DESC, id LIMIT 2000)""")
+def feature_collection(s: SparkSession, d: str) -> DataFrame:
+    """The map layer of civic places, its features read back from the JSON."""
+    g = w.Graph(w.pois(s, d), w.edges(s, d)).feature_collection("POI")
+    ids = F.from_json("collection", "type string, features array<struct<properties: struct<id: string>>>")
+    return g.select(ids.alias("c")).select("c.type", F.size("c.features").cast("bigint").alias("features"), F.array_join("c.features.properties.id", ",").alias("ids"))
+
+
+@query("area_features", f"""WITH {w.AREAS} SELECT id, len(rings) AS rings, list_sum(list_transform(rings, lambda r: len(r))) AS points, rings[1][1][1] AS lon FROM areas WHERE rings IS NOT NULL""")
+def area_features(s: SparkSession, d: str) -> DataFrame:
+    """Areas as polygon features, read back from their JSON."""
+    f = geo.feature(C("lon"), C("lat"), C("rings"), id=C("id"))
+    x = w.areas(s, d).filter("rings is not null").select("id", F.from_json(f, "geometry struct<type: string, coordinates: array<array<array<double>>>>").alias("f")).filter("f.geometry.type = 'Polygon'")
+    rings = C("f.geometry.coordinates")
+    return x.select("id", F.size(rings).cast("bigint").alias("rings"), F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r)).alias("points"), rings[0][0][0].alias("lon"))
 
 
 @query("topk_neighbours", f"WITH {w.EDGES_SQL} SELECT to_node_id AS area_id, from_node_id AS other_id, confidence FROM edges WHERE to_s IS NULL AND confidence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY to_node_id ORDER BY confidence DESC, id) <= 3")

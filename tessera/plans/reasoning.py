@@ -228,11 +228,3 @@ def prf_score(s: SparkSession, d: str) -> DataFrame:
 @query("prf_micro", f"WITH {PRF}, t AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c), x AS (SELECT tp, fp, fn, {RATES} FROM t) SELECT tp, fp, fn, {SCORES} FROM x")
 def prf_micro(s: SparkSession, d: str) -> DataFrame:
     return evaluation.micro(_counts(s, d))
-
-
-@query("insight_status")
-def insight_status(s: SparkSession, d: str) -> DataFrame:
-    """Counts of current areas by whether anything speaks of them: the gate of the area generator."""
-    g = _areas_graph(s, d)
-    spoken = cand.area_bridge_anchors(g, None).withColumn("bridged", F.lit(True))
-    return g.nodes.filter(valid_at()).join(spoken, "id", "left").groupBy(F.coalesce("bridged", F.lit(False)).alias("bridged")).agg(F.count(F.lit(1)).alias("n"))

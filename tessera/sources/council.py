@@ -39,7 +39,8 @@ def niederschriften(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFram
     """
     begun = iso_time(C("datum"))
     m = emit(parsed, "Meeting", MINUTES, C("document_id"), F.concat_ws(" ", "gremium", "datum"), {"meeting_type": F.lit("protokoll"), "gremium": C("gremium"), "datum": C("datum"), "agenda_url": C("link")}, now, C("link"), valid_from=begun)
-    items = parsed.select("document_id", "link", "datum", F.posexplode("agenda").alias("at", "i"))
+    # An outer explode: an inner one would have its filter parse each text again.
+    items = parsed.select("document_id", "link", "datum", F.posexplode_outer("agenda").alias("at", "i")).filter("i is not null")
     last = items.groupBy("document_id", C("i.number").alias("number")).agg(F.max(F.struct("at", "link", "datum", "i")).alias("r")).select("document_id", "number", "r.*")
     votes = F.array_distinct(F.filter(F.transform("i.papers", lambda p: p["vote"]), lambda v: v.isNotNull()))
     sid = F.concat_ws("#", "document_id", "number")
