@@ -1,16 +1,18 @@
 """Exactly one copy of messages that were delivered at least once.
 
 Deliveries are first combined by (time bucket, message), so a message that holds a third of all
-rows shrinks on the map side. These combined rows are the bucketed storage. Over each time bucket
-a blocked Bloom filter is built, one 64-bit word per block; a message whose bits are missing in
-every other bucket's filter is definitely new and leaves here. Only possible repeats go on to the
-exact comparison, and only with the storage rows of the buckets whose filters they hit.
+rows shrinks on the map side. These combined rows are the bucketed storage, a folder for each time
+bucket. Each bucket has a blocked Bloom filter, one 64-bit word a block, stored beside it. Only a
+message's 64-bit hash travels to the filters: a message whose bits are missing in every other
+bucket's filter is definitely new and its storage row isn't looked at again. What remains, pairs of
+a hash and a bucket that may hold it, selects the storage rows that are compared exactly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.timestamps import trimmed
 from tessera.storage import filesystem, load, materialise
@@ -20,41 +22,45 @@ BITS_PER_KEY = 4
 BUCKET_DAYS = 120
 
 
-def with_bits(df: DataFrame, keys: list[str], words: Column | int) -> DataFrame:
-    """Adds the block ``__word`` and the ``__mask`` of a message's bits, both from one 64-bit hash."""
-    h = F.xxhash64(*keys)
-    word = F.pmod(h, F.lit(words).cast("long"))
+def with_bits(df: DataFrame, words: Column | int) -> DataFrame:
+    """Adds the block ``__word`` and the ``__mask`` of a message's bits, both from its hash ``__h``."""
     # The bits come from a second hash, so they are independent of the block.
-    g = F.xxhash64(F.lit("bits"), *keys)
+    g = F.xxhash64(F.lit("bits"), "__h")
     mask = F.lit(0).cast("long")
     for i in range(BITS_PER_KEY):
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-    return df.withColumns({"__word": word, "__mask": mask})
+    return df.withColumns({"__word": F.pmod("__h", F.lit(words).cast("long")), "__mask": mask})
 
 
-def bloom_filters(storage: DataFrame, keys: list[str], words: int) -> DataFrame:
-    """``__word, __filters array<struct<tb, bits>>``: every time bucket's word of each block."""
-    return with_bits(storage, keys, words).groupBy("__word", "__tb").agg(F.bit_or("__mask").alias("bits")).groupBy("__word").agg(F.collect_list(F.struct("__tb", "bits")).alias("__filters"))
+def bloom_filters(storage: DataFrame, words: int) -> DataFrame:
+    """``__tb, __word, bits``: every time bucket's filter, a row for each of its blocks that isn't empty."""
+    return with_bits(storage.select("__tb", "__h"), words).groupBy("__tb", "__word").agg(F.bit_or("__mask").alias("bits"))
+
+
+def probe(hashes: DataFrame, filters: DataFrame, words: int) -> DataFrame:
+    """``__h, own, __tb``: the time buckets, other than its own, whose filter may hold a hash; ``hashes``: ``__h, own`` (null: none is its own)."""
+    by_word = filters.groupBy("__word").agg(F.collect_list(F.struct("__tb", "bits")).alias("__filters"))  # a row for each time bucket at most
+    asked = with_bits(hashes, words).join(by_word, "__word")
+    hits = F.filter("__filters", lambda f: ~f["__tb"].eqNullSafe(F.col("own")) & (f["bits"].bitwiseAND(F.col("__mask")) == F.col("__mask")))
+    return asked.select("__h", "own", F.explode(F.transform(hits, lambda f: f["__tb"])).alias("__tb"))
 
 
 def in_storage(deliveries: DataFrame, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
-    """One row per (time bucket, message): its number of deliveries and the earliest of them."""
+    """One row per (time bucket, message): its hash, its number of deliveries and the earliest of them."""
     tb = F.floor(F.unix_seconds(F.coalesce(F.col(received), F.timestamp_seconds(F.lit(0)))) / (bucket_days * 86_400))
     usable = deliveries
     for k in keys:
         usable = usable.filter(F.col(k).isNotNull())
     # A delivery without a time of receipt comes after all that have one.
     order = F.struct(F.col(received).isNull().alias("late"), F.col(received).alias("at"), F.col(id_col).alias("id"))
-    return usable.withColumn("__tb", tb).groupBy("__tb", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
+    g = usable.withColumn("__tb", tb).groupBy("__tb", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
+    return g.select("__tb", *keys, F.xxhash64(*keys).alias("__h"), "__n", "__first")
 
 
-def possible_repeats(storage: DataFrame, keys: list[str]) -> DataFrame:
-    """Storage rows that aren't definitely new: repeated in their bucket, or in another bucket's filter."""
-    sizes = storage.groupBy("__tb").count().agg(F.max("count")).first()[0] or 1
-    words = max(1, sizes // KEYS_PER_WORD)
-    probe = with_bits(storage, keys, words).join(bloom_filters(storage, keys, words), "__word")
-    hits = F.exists("__filters", lambda f: (f["__tb"] != F.col("__tb")) & (f["bits"].bitwiseAND(F.col("__mask")) == F.col("__mask")))
-    return probe.filter((F.col("__n") > 1) | hits).drop("__word", "__mask", "__filters")
+def filter_words(storage: DataFrame) -> int:
+    """Blocks for the fullest time bucket."""
+    most = storage.groupBy("__tb").count().agg(F.max("count")).first()[0] or 1
+    return max(1, most // KEYS_PER_WORD)
 
 
 def surplus(deliveries: DataFrame, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
@@ -67,44 +73,88 @@ def surplus(deliveries: DataFrame, keys: list[str], id_col: str, received: str,
     adaptive execution.
     """
     storage = materialise(in_storage(deliveries, keys, id_col, received, bucket_days), "messages", "__tb")
-    repeats = possible_repeats(storage, keys)
-    firsts = repeats.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first")).filter("__n > 1")
-    firsts = firsts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
+    firsts = _repeated(storage, keys).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
     on = [F.col(k) == F.col(f"__k_{k}") for k in keys]
     return deliveries.join(firsts, on).filter(F.col(id_col) != F.col("__first_id")).select(*deliveries.columns)
 
 
+def _repeated(storage: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, __first`` of every message delivered more than once."""
+    words = filter_words(storage)
+    hit = probe(storage.select("__h", F.col("__tb").alias("own")), materialise(bloom_filters(storage, words), "filters"), words)
+    # Either side of a hit is a possible repeat: the row that asked, and the one in the bucket that may hold it.
+    maybe = materialise(hit.select("__h", F.explode(F.array("own", "__tb")).alias("__tb")).distinct(), "maybe")
+    compared = storage.join(maybe, ["__tb", "__h"], "left_semi")
+    # What is repeated within one bucket only needs no comparison: no other bucket's filter holds it.
+    alone = storage.filter("__n > 1").join(maybe, ["__tb", "__h"], "left_anti")
+    several = compared.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first")).filter("__n > 1")
+    return several.select(*keys, "__first").unionByName(alone.select(*keys, "__first"))
+
+
 def unique_messages(deliveries: DataFrame, keys: list[str], id_col: str, received: str) -> DataFrame:
-    """Exactly one copy of each message, and every row without a complete identifier."""
-    return deliveries.join(surplus(deliveries, keys, id_col, received).select(id_col), id_col, "left_anti")
+    """Exactly one copy of each message, and every row without a complete identifier.
+
+    Of rows that agree in ``received`` and ``id_col`` too, one stays, the least by its other columns' hash.
+    """
+    complete = F.lit(True)
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    kept = deliveries.filter(complete).join(surplus(deliveries, keys, id_col, received).select(id_col), id_col, "left_anti")
+    # Only rows with one identifier and one id are left beside each other: repeats of a single delivery.
+    one = kept.groupBy(*[F.col(k).alias(f"__u{i}") for i, k in enumerate(keys)], F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*deliveries.columns), F.struct(F.col(received).isNull(), F.col(received), F.xxhash64(*deliveries.columns))).alias("__r"))
+    return one.select("__r.*").unionByName(deliveries.filter(~complete))
+
 
+FILTER_WORDS = 1 << 18  # blocks of a stored bucket's filter (2 MB), good for a million messages; beyond, more is compared exactly
 
-def ingest(batch: DataFrame, store_path: str, number: int, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+
+def ingest(batch: DataFrame, store_path: str, number: int, keys: list[str], id_col: str, received: str, bucket_days: int = BUCKET_DAYS, words: int = FILTER_WORDS) -> DataFrame:
     """Batch ``number`` against the storage of the batches below it: returns the rows that are new and stores them.
 
-    The filters of the stored buckets screen the batch; only possible repeats are looked up in the
-    storage, in the buckets their filters name. A batch that is run again replaces what it stored and
-    returns the same rows. Rows without a complete identifier are always new.
+    The stored filters screen the batch; only possible repeats are looked up, and only in the folders of the buckets
+    whose filters may hold them. The new messages and their share of the filters are written beside what is there, which
+    isn't touched. A batch that is run again replaces what it stored and returns the same rows. Rows without a complete
+    identifier are always new. ``words`` must be the same for all batches of a store.
     """
     spark = batch.sparkSession
     fresh = materialise(in_storage(batch, keys, id_col, received, bucket_days), "batch")
-    fs, p = filesystem(spark, store_path)
-    schema = fresh.select("__tb", *keys, "__n", "__first").withColumn("batch", F.lit(0)).schema
-    stored = spark.read.schema(schema).parquet(store_path).filter(F.col("batch") < number) if fs.exists(p) else fresh.limit(0)
-    sizes = stored.groupBy("__tb").count().agg(F.max("count")).first()[0] or 1
-    words = max(1, sizes // KEYS_PER_WORD)
-    probe = with_bits(fresh, keys, words).join(bloom_filters(stored, keys, words), "__word", "left")
-    buckets = F.transform(F.filter("__filters", lambda f: f["bits"].bitwiseAND(F.col("__mask")) == F.col("__mask")), lambda f: f["__tb"])
-    maybe = probe.select(*keys, F.explode(buckets).alias("__tb"))
-    known = stored.select("__tb", *keys).join(maybe, ["__tb", *keys], "left_semi").select(*keys).distinct()
-    new = fresh.join(known, keys, "left_anti").groupBy(*keys).agg(F.min("__first").alias("__first"), F.sum("__n").alias("__n"), F.min("__tb").alias("__tb"))
-    new.select("__tb", *keys, "__n", "__first").write.mode("overwrite").partitionBy("__tb").parquet(f"{store_path}/batch={number}")
-    firsts = spark.read.schema(new.schema).parquet(f"{store_path}/batch={number}").select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
+    hits = stored_hits(spark, fresh, store_path, number, words)
+    known = fresh.limit(0).select(*keys)
+    if hits is not None:
+        hits = materialise(hits, "hits")
+        buckets = [r[0] for r in hits.select("__tb").distinct().collect()]  # as many as there are time buckets
+        known = look_up(spark, fresh.schema, store_path, number, buckets, hits).select(*keys).distinct()
+    new = fresh.join(known, keys, "left_anti").groupBy("__h", *keys).agg(F.min("__first").alias("__first"), F.sum("__n").alias("__n"), F.min("__tb").alias("__tb"))
+    new = new.select("__tb", *keys, "__h", "__n", "__first")
+    new.write.mode("overwrite").partitionBy("__tb").parquet(f"{store_path}/messages/batch={number}")
+    mine = spark.read.schema(new.schema).parquet(f"{store_path}/messages/batch={number}")
+    bloom_filters(mine, words).write.mode("overwrite").partitionBy("__tb").parquet(f"{store_path}/filters/batch={number}")
+    firsts = mine.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__first.id").alias("__first_id"))
     kept = batch.join(firsts, [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(id_col) == F.col("__first_id")], "left_semi").dropDuplicates([*keys, id_col])
     without = batch.filter(" or ".join(f"`{k}` is null" for k in keys))
     return materialise(kept.unionByName(without), "ingested")
 
 
+def _below(spark, path: str, number: int, schema) -> DataFrame | None:
+    fs, p = filesystem(spark, path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path).filter(F.col("batch") < number) if fs.exists(p) else None
+
+
+def stored_hits(spark, fresh: DataFrame, store_path: str, number: int, words: int) -> DataFrame | None:
+    """``__h, __tb``: the stored buckets that may hold a message of the batch; None where nothing is stored. Reads filters alone."""
+    filters = _below(spark, f"{store_path}/filters", number, bloom_filters(fresh, words).schema)
+    if filters is None:
+        return None
+    whole = filters.groupBy("__tb", "__word").agg(F.bit_or("bits").alias("bits"))
+    return probe(fresh.select("__h", F.lit(None).cast("long").alias("own")).distinct(), whole, words).select("__h", "__tb")
+
+
+def look_up(spark, schema, store_path: str, number: int, buckets: list[int], hits: DataFrame) -> DataFrame:
+    """The stored messages of the named buckets that hits point to; the folders of other buckets aren't read."""
+    stored = _below(spark, f"{store_path}/messages", number, schema)
+    return stored.filter(F.col("__tb").isin(buckets)).join(hits, ["__tb", "__h"], "left_semi")
+
+
 def found(spark, sf_dir: str) -> DataFrame:
     """Surplus deliveries of ``autobahn`` (identifier) and ``edge_feed`` (source, source_id, observed_at)."""
     a = load(spark, sf_dir, "autobahn").select(

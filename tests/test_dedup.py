@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from tessera.operators.dedup import ingest, surplus, unique_messages
+from tessera.operators.dedup import in_storage, ingest, look_up, stored_hits, surplus, unique_messages
 from tessera.storage import scratch
 
 T0 = datetime(2024, 1, 1)
@@ -62,3 +62,29 @@ def test_batches_and_replay(spark):
     kept = [data[i] for i in ids]
     assert len({k for _, k, _, _ in kept if k is not None}) == len([1 for _, k, _, _ in kept if k is not None])
     assert {k for _, k, _, _ in kept} == {k for _, k, _, _ in data}
+
+
+def test_repeats_of_one_delivery(spark):
+    """The same delivery twice, with one id: exactly one copy stays."""
+    df = spark.createDataFrame([(1, "a", T0, ""), (1, "a", T0, ""), (2, "a", T0, ""), (3, "b", None, ""), (3, "b", None, "z"), (4, None, T0, ""), (4, None, T0, "")], DDL)
+    rows = unique_messages(df, ["k"], "delivery_id", "received_at").collect()
+    assert sorted((r["delivery_id"], r["k"]) for r in rows if r["k"]) == [(1, "a"), (3, "b")] and sum(r["k"] is None for r in rows) == 2
+
+
+def test_filters_screen_and_buckets_are_pruned(spark):
+    """A batch is compared with the storage of the buckets its filters hit, no others."""
+    store, keys = scratch(spark, "store"), ["k"]
+    old = spark.createDataFrame([(i, f"m{i}", T0 + timedelta(days=150 * (i % 6)), "") for i in range(3000)], DDL)
+    ingest(old, store, 0, keys, "delivery_id", "received_at")
+    again = spark.createDataFrame([(9000 + i, f"m{6 * i}", T0 + timedelta(days=2000), "") for i in range(20)] + [(9500 + i, f"new{i}", T0 + timedelta(days=2000), "") for i in range(500)], DDL)
+    fresh = in_storage(again, keys, "delivery_id", "received_at")
+    hits = stored_hits(spark, fresh, store, 1, 1 << 18).collect()
+    # All repeats hit the bucket they are in (every sixth message lies in the first); of the new ones next to none hits any.
+    assert 20 <= len(hits) <= 25
+    first = min(r["__tb"] for r in hits)
+    found = look_up(spark, fresh.schema, store, 1, [first], spark.createDataFrame(hits, "__h long, __tb long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = [p for p in plan.split("PartitionFilters: ")[1:] if "__tb" in p.split("]")[0] and str(first) in p.split("]")[0]]
+    assert found.count() == 20 and pruned, plan
+    kept = ingest(again, store, 1, keys, "delivery_id", "received_at")
+    assert {r["k"] for r in kept.collect()} == {f"new{i}" for i in range(500)}
