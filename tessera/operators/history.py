@@ -8,14 +8,17 @@ entities it touches, from their raw changes, and replaces those chains in one at
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.storage import filesystem, load, materialise, scratch
 
-HOT_ROWS = 200_000  # more observations than this, and than a thousandth of all, make an entity hot
-HOT_CUTS = 64
+HOT_ROWS = 200_000  # more observations than this make an entity hot: it is cut into parts of about as many
+CELLS = 65_536  # steps of a hot entity's time in which its observations are counted
+BUCKETS = 64  # parts of a store by the hash of the key
 
 
 def canonical_json(c: Column) -> Column:
@@ -48,8 +51,8 @@ def build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int = HOT
     next start or at its last observation's ``valid_to``, whichever comes first. Null attributes are
     values like others. Rows whose ``effect`` or whose last key is null must be filtered before.
 
-    Ordinary entities take one window over the entity. The at most 1,000 hot ones (more than ``hot_rows``
-    observations and a thousandth of all) are cut at quantiles of their effect times; each part is
+    Ordinary entities take one window over the entity. Hot ones (more than ``hot_rows`` observations, however
+    many there are in all) are cut into parts of about ``hot_rows`` by their effect times; each part is
     folded by itself and only its first and last runs meet in a second, small window.
     """
     # Within, keys and attributes have names of their own: theirs may be any.
@@ -61,17 +64,13 @@ def build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int = HOT
 
 def _build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int) -> DataFrame:
     seen = effective(obs, keys, attrs)
-    counts = obs.groupBy(*keys).count()
-    total = counts.agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
-    limit = max(hot_rows, (total["n"] or 0) // 1000)
-    if (total["most"] or 0) > limit:
-        hot = counts.filter(F.col("count") > limit).select(*keys)
-        cuts = [i / HOT_CUTS for i in range(1, HOT_CUTS)]
-        hot = obs.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(F.unix_micros("effect"), cuts, 10_000).alias("cuts"))
-        seen = seen.join(F.broadcast(hot), keys, "left").withColumn("seg", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.unix_micros("effect"))))).drop("cuts")
-        segmented = True
+    us = F.unix_micros("effect")
+    counts = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
+    segmented = (counts.agg(F.max("n")).first()[0] or 0) > hot_rows
+    if segmented:
+        seen = _in_parts(seen, materialise(counts.filter(F.col("n") > hot_rows), "hot"), keys, hot_rows)
     else:
-        seen, segmented = seen.withColumn("seg", F.lit(0)), False
+        seen = seen.withColumns({"seg": F.lit(0), "hot": F.lit(False)})
     same = lambda w: F.reduce(F.array(*[F.col(a).eqNullSafe(F.lag(a).over(w)) for a in attrs]), F.lit(True), lambda a, b: a & b)
     by = [*keys, "seg"] if segmented else keys
     w = Window.partitionBy(*by).orderBy("effect")
@@ -81,92 +80,121 @@ def _build(obs: DataFrame, keys: list[str], attrs: list[str], hot_rows: int) ->
     runs = _pairs(x, w, F.lead("effect").over(w))
     if segmented:
         runs = runs.withColumn("seg_last", F.col("nxt").isNull())
-        edge = F.col("seg_first") | F.col("seg_last")
-        hot_runs = runs.join(F.broadcast(hot.select(*keys)), keys, "left_semi").filter(edge)
+        edge = F.col("hot") & (F.col("seg_first") | F.col("seg_last"))
         w2 = Window.partitionBy(*keys).orderBy("effect")
         ended2 = F.coalesce(F.lag("vt").over(w2) <= F.col("effect"), F.lit(False))
-        y = hot_runs.withColumn("new", ~F.col("seg_first") | (F.row_number().over(w2) == 1) | ~same(w2) | ended2)
+        y = runs.filter(edge).withColumn("new", ~F.col("seg_first") | (F.row_number().over(w2) == 1) | ~same(w2) | ended2)
         y = _pairs(y.withColumnRenamed("nxt", "own_nxt"), w2, F.when(F.col("seg_last"), F.lead("effect").over(w2)).otherwise(F.col("own_nxt"))).drop("own_nxt")
-        rest = runs.join(F.broadcast(hot.select(*keys, F.lit(True).alias("is_hot"))), keys, "left").filter(F.col("is_hot").isNull() | ~edge).drop("is_hot")
+        rest = runs.filter(~edge)
         runs = rest.unionByName(y.select(*rest.columns))
     return runs.select(*keys, *attrs, F.col("effect").alias("start"), F.least("nxt", "vt").alias("end"))
 
 
+def _in_parts(seen: DataFrame, hot: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Adds ``hot`` and ``seg``, the part of its entity a row is in: parts have about ``hot_rows`` rows, so there are as many as an entity needs.
+
+    A hot entity's rows are counted by steps of its time; the running count over at most ``CELLS`` steps gives the parts.
+    """
+    x = seen.join(hot, keys, "left").withColumn("hot", F.col("n").isNotNull())
+    step = F.floor((F.unix_micros("effect") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / CELLS + 1)).cast("int")
+    x = x.withColumn("cell", step).drop("n", "lo", "hi")
+    n = x.filter("hot").groupBy(*keys, "cell").count()
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("count")
+    parts = materialise(n.select(*keys, "cell", F.floor(before / hot_rows).cast("int").alias("part")), "parts")
+    return x.join(parts, [*keys, "cell"], "left").withColumn("seg", F.coalesce("part", F.lit(0))).drop("cell", "part")
+
+
 class HistoryStore:
-    """Raw changes and version chains of one relation below a folder, in generations.
+    """Raw changes and version chains of one relation below a folder, in buckets by the hash of the key.
 
-    A generation holds the raw changes of one batch, the keys it touched and the rebuilt chains of
-    those keys. Readers see the generations named by the newest manifest; a manifest is written under
-    another name and renamed, so a batch is seen whole or not at all, and a lost driver leaves only
-    unnamed files.
+    Each batch adds its raw changes as a generation of its own. The chains of the buckets it touches are written
+    anew: those of touched entities rebuilt from their raw changes, the others as they were; other buckets aren't
+    read. The newest manifest names the generations of raw changes and, for each bucket, the one its chains are in. It
+    is written under another name and renamed without overwriting, so a batch is seen whole or not at all, and a lost
+    driver leaves only unnamed files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], attrs: list[str], hot_rows: int = HOT_ROWS):
-        self.spark, self.path, self.keys, self.attrs, self.hot_rows = spark, path, keys, attrs, hot_rows
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], attrs: list[str], hot_rows: int = HOT_ROWS, buckets: int = BUCKETS):
+        """``buckets`` counts when the store is made; later the stored number holds."""
+        self.spark, self.path, self.keys, self.attrs, self.hot_rows, self.buckets = spark, path, keys, attrs, hot_rows, buckets
 
     def _commits(self) -> list[str]:
         fs, folder = filesystem(self.spark, f"{self.path}/_manifests")
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")) if fs.exists(folder) else []
 
-    def _manifest(self) -> list[str]:
+    def _manifest(self) -> dict:
         names = self._commits()
-        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{names[-1]}", wholetext=True).first()[0]) if names else []
+        if not names:
+            return {"buckets": self.buckets, "raw": {}, "chains": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{names[-1]}", wholetext=True).first()[0])
 
-    def _commit(self, generations: list[str], after: int) -> None:
+    def _commit(self, manifest: dict, after: int) -> None:
         """The manifest after the first ``after`` ones; another writer's in its place is an error."""
-        jvm = self.spark.sparkContext._jvm
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         name = f"{self.path}/_manifests/{after + 1:08d}"
-        if filesystem(self.spark, f"{name}.json")[0].exists(jvm.org.apache.hadoop.fs.Path(f"{name}.json")):
-            raise RuntimeError("another writer committed this generation")
-        fs, tmp = filesystem(self.spark, f"{name}.tmp")
+        fs, tmp = filesystem(self.spark, f"{name}.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(generations), "utf-8"))
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
         out.close()
-        if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{name}.json")):
-            raise RuntimeError("another writer committed this generation")
-
-    def raw(self) -> DataFrame | None:
-        gens = self._manifest()
-        return self.spark.read.parquet(*[f"{self.path}/{g}/raw" for g in gens]) if gens else None
-
-    def current(self, gens: list[str] | None = None) -> DataFrame | None:
-        """Every chain in its newest generation."""
-        out = None
-        for g in self._manifest() if gens is None else gens:
-            chains = self.spark.read.parquet(f"{self.path}/{g}/chains")
-            if out is None:
-                out = chains
-            else:
-                touched = self.spark.read.parquet(f"{self.path}/{g}/touched")
-                out = out.join(touched, self.keys, "left_anti").unionByName(chains)
-        return out
+        # This rename, unlike the file system's own, refuses to replace what is there.
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), conf).rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{name}.json"), options)
+        except Exception as error:
+            raise RuntimeError("another writer committed this generation") from error
+
+    def _paths(self, of: dict[str, list[str]] | dict[str, str], kind: str, buckets: list[str] | None = None) -> list[str]:
+        every = sorted(of) if buckets is None else [b for b in buckets if b in of]
+        return [f"{self.path}/{g}/{kind}/__bucket={b}" for b in every for g in ([of[b]] if isinstance(of[b], str) else of[b])]
+
+    def _read(self, paths: list[str], schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _schema(self, manifest: dict, kind: str):
+        return StructType.fromJson(manifest["schema"][kind])
+
+    def raw(self, buckets: list[str] | None = None) -> DataFrame | None:
+        """Raw changes, of some buckets or all."""
+        m = self._manifest()
+        return self._read(self._paths(m["raw"], "raw", buckets), self._schema(m, "raw")) if m["raw"] else None
+
+    def current(self, manifest: dict | None = None, buckets: list[str] | None = None) -> DataFrame | None:
+        """Every version, of some buckets or all: each bucket's chains lie in one place, so reading them takes no join."""
+        m = self._manifest() if manifest is None else manifest
+        return self._read(self._paths(m["chains"], "chains", buckets), self._schema(m, "chains")) if m["chains"] else None
 
     def apply(self, batch: DataFrame) -> None:
         """Adds a batch of observations (keys, attrs, effect, observed_at, valid_to) and replaces the touched chains."""
-        commits, gens = len(self._commits()), self._manifest()
+        commits, m = len(self._commits()), self._manifest()
         gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
         base = f"{self.path}/{gen}"
-        batch.select(*self.keys, "effect", "observed_at", *self.attrs, "valid_to").write.parquet(f"{base}/raw")
-        fresh = self.spark.read.parquet(f"{base}/raw")
-        fresh.select(*self.keys).distinct().write.parquet(f"{base}/touched")
-        changes = fresh
-        if gens:
-            touched = self.spark.read.parquet(f"{base}/touched")
-            changes = self.raw().join(touched, self.keys, "left_semi").unionByName(fresh)
-        build(changes, self.keys, self.attrs, self.hot_rows).write.parquet(f"{base}/chains")
-        self._commit([*gens, gen], commits)
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(m["buckets"])).alias("__bucket")
+        raw = batch.select(*[F.col(f"`{c}`") for c in (*self.keys, "effect", "observed_at", *self.attrs, "valid_to")])
+        raw.select("*", bucket).write.partitionBy("__bucket").parquet(f"{base}/raw")
+        written = self.spark.read.schema(StructType([*raw.schema.fields, StructField("__bucket", LongType())])).parquet(f"{base}/raw")
+        fresh = written.drop("__bucket")
+        touched = sorted(str(r[0]) for r in written.select("__bucket").distinct().collect())  # at most as many as there are buckets
+        mine = materialise(fresh.select(*self.keys).distinct(), "touched") if m["raw"] else None
+        changes = fresh if mine is None else self.raw(touched).join(mine, self.keys, "left_semi").unionByName(fresh)
+        chains = build(changes, self.keys, self.attrs, self.hot_rows)
+        kept = self.current(m, touched) if m["chains"] else None
+        whole = chains if kept is None else chains.unionByName(kept.join(mine, self.keys, "left_anti"))
+        whole.select("*", bucket).write.partitionBy("__bucket").parquet(f"{base}/chains")
+        self._commit({
+            "buckets": m["buckets"], "schema": {"raw": json.loads(raw.schema.json()), "chains": json.loads(chains.schema.json())},
+            "raw": {b: [*m["raw"].get(b, []), *([gen] if b in touched else [])] for b in {*m["raw"], *touched}}, "chains": m["chains"] | {b: gen for b in touched},
+        }, commits)
 
     def compact(self) -> None:
-        """One generation in place of all: readers then take no anti-join. Older files stay for readers that are at it."""
-        commits, gens = len(self._commits()), self._manifest()
-        if len(gens) < 2:
+        """The raw changes of all generations in one. Older files stay for readers that are at them."""
+        commits, m = len(self._commits()), self._manifest()
+        if all(len(g) < 2 for g in m["raw"].values()):
             return
         gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
-        base = f"{self.path}/{gen}"
-        self.raw().write.parquet(f"{base}/raw")
-        self.current(gens).write.parquet(f"{base}/chains")
-        self.spark.read.parquet(f"{base}/chains").select(*self.keys).distinct().write.parquet(f"{base}/touched")
-        self._commit([gen], commits)
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(m["buckets"])).alias("__bucket")
+        self.raw().select("*", bucket).write.partitionBy("__bucket").parquet(f"{self.path}/{gen}/raw")
+        self._commit(m | {"raw": {b: [gen] for b in m["raw"]}}, commits)
 
 
 KEYS = ["source", "source_id"]

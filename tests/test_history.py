@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.history import HistoryStore, build, canonical_json
+from tessera.operators.history import HistoryStore, _in_parts, build, canonical_json, effective
 from tessera.storage import scratch
 
 T0 = datetime(2024, 1, 1)
@@ -61,19 +62,47 @@ def test_late_batches_rebuild_only_their_chains(spark):
     data = rows(900, 30, 5)
     r = random.Random(7)
     r.shuffle(data)
-    store = HistoryStore(spark, scratch(spark, "history"), ["new"], ["seg"], 100)
-    for part in (data[:500], data[500:520], data[520:]):
+    store = HistoryStore(spark, scratch(spark, "history"), ["new"], ["seg"], 100, 16)
+    for part in (data[:500], data[500:503], data[503:]):
         store.apply(spark.createDataFrame(part, DDL))
-    assert {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data)
-    gens = store._manifest()
-    touched = spark.read.parquet(f"{store.path}/{gens[1]}/touched").count()
-    assert touched == len({d[0] for d in data[500:520]})
+    rows_of = lambda df: {tuple(x) for x in df.select("new", "seg", "start", "end").collect()}
+    assert rows_of(store.current()) == expected(data)
     store.compact()
-    assert len(store._manifest()) == 1 and {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data)
+    assert all(len(g) == 1 for g in store._manifest()["raw"].values()) and rows_of(store.current()) == expected(data)
     store.apply(spark.createDataFrame(data[:30], DDL))
-    assert {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data)
-    # A batch that never committed isn't seen.
-    assert store.current(gens[:1]).count() == len(expected(data[:500]))
+    assert rows_of(store.current()) == expected(data)
+
+
+def test_a_batch_reads_and_writes_touched_buckets_only(spark):
+    data = [(f"k{i}", "a", T0 + timedelta(hours=h), T0 + timedelta(hours=h), None) for i in range(60) for h in range(3)]
+    store = HistoryStore(spark, scratch(spark, "history"), ["new"], ["seg"], 100, 16)
+    store.apply(spark.createDataFrame(data, DDL))
+    before = store._manifest()
+    late = [("k7", "b", T0 + timedelta(hours=1), T0 + timedelta(days=9), None)]
+    store.apply(spark.createDataFrame(late, DDL))
+    after = store._manifest()
+    moved = {b for b in after["chains"] if after["chains"][b] != before["chains"][b]}
+    assert len(before["chains"]) == 16 and len(moved) == 1 and {b for b in after["raw"] if len(after["raw"][b]) > 1} == moved
+    read = {f.split("__bucket=")[1].split("/")[0] for f in store.raw(sorted(moved)).inputFiles()}
+    assert read == moved
+    assert {tuple(x) for x in store.current().select("new", "seg", "start", "end").collect()} == expected(data + late)
+    # The manifest before still tells the state before, and one that never committed isn't seen.
+    assert store.current(before).count() == len(expected(data))
+
+
+def test_two_writers(spark):
+    store = HistoryStore(spark, scratch(spark, "history"), ["new"], ["seg"])
+    store.apply(spark.createDataFrame(rows(20, 3), DDL))
+    with pytest.raises(RuntimeError):
+        store._commit(store._manifest(), 0)
+
+
+def test_hot_entities_are_cut_by_their_own_size(spark):
+    data = [("hot" if i % 2 else f"k{i}", "a" if i % 3 else "b", T0 + timedelta(minutes=i), T0, None) for i in range(2000)]
+    seen = effective(spark.createDataFrame(data, DDL), ["new"], ["seg"]).withColumnRenamed("seg", "a")
+    hot = spark.createDataFrame([("hot", 1000, int((T0 - datetime(1970, 1, 1)).total_seconds()) * 10**6, int((T0 - datetime(1970, 1, 1)).total_seconds() + 2000 * 60) * 10**6)], "new string, n long, lo long, hi long")
+    parts = _in_parts(seen, hot, ["new"], 100).filter("hot").groupBy("seg").count().collect()
+    assert 10 <= len(parts) <= 11 and max(r["count"] for r in parts) <= 101
 
 
 def test_canonical_json(spark):
