@@ -18,7 +18,7 @@ from tessera.storage import filesystem, load, materialise, scratch
 
 HOT_ROWS = 200_000  # more observations than this make an entity hot: it is cut into parts of about as many
 CELLS = 65_536  # steps of a hot entity's time in which its observations are counted
-BUCKETS = 64  # parts of a store by the hash of the key
+BUCKETS = 32  # parts of a store by the hash of the key
 
 
 def canonical_json(c: Column) -> Column:
@@ -169,9 +169,10 @@ class HistoryStore:
         commits, m = len(self._commits()), self._manifest()
         gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
         base = f"{self.path}/{gen}"
+        # Rebalanced by bucket, a write makes few files; adaptive execution splits large buckets among tasks.
         bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(m["buckets"])).alias("__bucket")
         raw = batch.select(*[F.col(f"`{c}`") for c in (*self.keys, "effect", "observed_at", *self.attrs, "valid_to")])
-        raw.select("*", bucket).write.partitionBy("__bucket").parquet(f"{base}/raw")
+        raw.select("*", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{base}/raw")
         written = self.spark.read.schema(StructType([*raw.schema.fields, StructField("__bucket", LongType())])).parquet(f"{base}/raw")
         fresh = written.drop("__bucket")
         touched = sorted(str(r[0]) for r in written.select("__bucket").distinct().collect())  # at most as many as there are buckets
@@ -180,7 +181,7 @@ class HistoryStore:
         chains = build(changes, self.keys, self.attrs, self.hot_rows)
         kept = self.current(m, touched) if m["chains"] else None
         whole = chains if kept is None else chains.unionByName(kept.join(mine, self.keys, "left_anti"))
-        whole.select("*", bucket).write.partitionBy("__bucket").parquet(f"{base}/chains")
+        whole.select("*", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{base}/chains")
         self._commit({
             "buckets": m["buckets"], "schema": {"raw": json.loads(raw.schema.json()), "chains": json.loads(chains.schema.json())},
             "raw": {b: [*m["raw"].get(b, []), *([gen] if b in touched else [])] for b in {*m["raw"], *touched}}, "chains": m["chains"] | {b: gen for b in touched},
@@ -193,7 +194,7 @@ class HistoryStore:
             return
         gen = scratch(self.spark, "gen").rsplit("/", 1)[1]
         bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(m["buckets"])).alias("__bucket")
-        self.raw().select("*", bucket).write.partitionBy("__bucket").parquet(f"{self.path}/{gen}/raw")
+        self.raw().select("*", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{gen}/raw")
         self._commit(m | {"raw": {b: [gen] for b in m["raw"]}}, commits)
 
 
