@@ -4,18 +4,22 @@ Parsing stays in built-in expressions: each family of formats is one pattern who
 rewritten into ``y|mo|d|h|mi|s|fraction|zone`` and split once. Local times are then joined as-of
 to zone-offset intervals exploded by month: two matching intervals mean the local time occurs
 twice, none means it was skipped, one gives the offset. The interval table has one row per zone
-and month of 1900-2100 (2,412 rows per zone, a bound that no data can change), so it is broadcast.
+and month of 1800-2437 (7,656 rows per zone, and at most as many zones as the time zone database
+has: a bound that no data can change), so it is broadcast. Earlier times have their zone's first
+offset; later ones are moved back by 400 years, after which the calendar and the rules repeat.
 """
 
 from __future__ import annotations
 
+import functools
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, LAST_YEAR = 1800, 2437
+CYCLE_YEARS, CYCLE_US = 400, 146_097 * 86_400_000_000
 HOUR_US = 3_600_000_000
 
 # Month names and their abbreviations, German and English.
@@ -29,7 +33,7 @@ MONTHS = {
 # Zone abbreviations and their offsets in minutes.
 ABBREVIATIONS = {"z": 0, "utc": 0, "gmt": 0, "ut": 0, "cet": 60, "mez": 60, "cest": 120, "mesz": 120}
 
-_ZONE = r"\s*(Z|UTC|GMT|UT|CET|CEST|MEZ|MESZ|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]+/[A-Za-z_]+)?(?:\[[^\]]*\])?"
+_ZONE = r"\s*(Z|UTC|GMT|UT|CET|CEST|MEZ|MESZ|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)?(?:\[[^\]]*\])?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 # (pattern, rewriting) by family; anchored, case-insensitive.
 _FAMILIES = (
@@ -53,8 +57,8 @@ _TIMES = (
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind around it."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind around it; in time linear in the text, however much white space is within."""
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def _rewrite(text: Column, families: tuple) -> Column:
@@ -129,14 +133,16 @@ def local_parts(text: Column, time_text: Column | None = None) -> Column:
     return _let(parts, lambda p: built(p, F.lit(None).cast("long")))
 
 
+@functools.lru_cache(maxsize=None)
 def offset_intervals(zone: str) -> list[tuple[int, int, int]]:
-    """(local start, local end, offset) in seconds of every constant-offset span of a zone, 1900-2100."""
-    tz, day = ZoneInfo(zone), timedelta(days=1)
+    """(local start, local end, offset) in seconds of every constant-offset span of a zone; the first one has no start."""
+    tz = ZoneInfo(zone)
     at = lambda t: int(tz.utcoffset(t.astimezone(tz)).total_seconds())
     t, end = datetime(FIRST_YEAR - 1, 12, 1, tzinfo=UTC), datetime(LAST_YEAR + 1, 2, 1, tzinfo=UTC)
-    start, off, out = int(t.timestamp()), at(t), []
+    start, off, out = -(2**42), at(t), []
     while t < end:
-        nxt = t + day
+        # Rules change at will where clocks were set by law; outside, at most twice a year.
+        nxt = t + timedelta(days=1 if 1880 <= t.year <= 2040 else 10)
         if at(nxt) != off:
             lo, hi = int(t.timestamp()), int(nxt.timestamp())
             while hi - lo > 1:
@@ -154,35 +160,51 @@ def interval_table(spark: SparkSession, zones: tuple[str, ...]) -> DataFrame:
     month = lambda s: (lambda d: d.year * 12 + d.month - 1)(datetime(1970, 1, 1) + timedelta(seconds=s))
     for zone in zones:
         for ls, le, off in offset_intervals(zone):
-            for m in range(max(month(ls), FIRST_YEAR * 12), min(month(le - 1), LAST_YEAR * 12 + 11) + 1):
+            for m in range(FIRST_YEAR * 12 if ls < -(2**40) else max(month(ls), FIRST_YEAR * 12), min(month(le - 1), LAST_YEAR * 12 + 11) + 1):
                 rows.setdefault((zone, m), []).append((ls * 1_000_000, le * 1_000_000, off * 1_000_000))
     data = [(z, m, spans) for (z, m), spans in rows.items()]
     return spark.createDataFrame(data, "__tz_iv_zone string, __tz_iv_month int, __tz_spans array<struct<ls:bigint,le:bigint,off:bigint>>")
 
 
-def to_instants(df: DataFrame, text: Column, default_zone: str, time_text: Column | None = None, zones: tuple[str, ...] = ("Europe/Berlin", "UTC")) -> DataFrame:
+def stated_zones(df: DataFrame, *texts: Column) -> tuple[str, ...]:
+    """The regions of the time zone database that texts end with: a pass over all of them, of at most as many rows as there are regions."""
+    region = lambda c: F.regexp_extract(c, r"(?U)(?<![\w/])([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)\s*$", 1)
+    every = None
+    for c in texts:
+        x = df.filter(c.contains("/")).select(region(c).alias("z"))
+        every = x if every is None else every.union(x)
+    return tuple(r["z"] for r in every.filter(F.col("z").isin(sorted(available_timezones()))).distinct().collect())
+
+
+def to_instants(df: DataFrame, text: Column, default_zone: str, time_text: Column | None = None, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Adds ``utc_us`` (bigint) and ``local_kind`` to every row of ``df``; no row is lost or repeated.
 
     ``local_kind``: ``stated`` (epoch or stated offset), ``unique``, ``ambiguous`` (the earlier instant
     is taken), ``skipped`` (moved forward by the gap's hour), or null where the text states no valid date
-    and time; ``utc_us`` is then null. Nulls, empty and overlong texts, unknown zones, and years outside
-    1900-2100 without a stated offset give null. A column of ``df`` named like a result is replaced.
+    and time; ``utc_us`` is then null. Nulls, empty texts and unknown zones give null. ``zones`` are the regions that
+    texts may state; by default they are looked for in the texts. A column of ``df`` named like a result is replaced.
     """
+    if zones is None:
+        zones = stated_zones(df, text, *(() if time_text is None else (time_text,)))
     known = tuple(dict.fromkeys((*zones, default_zone)))
     spans = interval_table(df.sparkSession, known)
-    short = lambda c: F.when(F.length(c) <= 100, c)
     p = "__tz_parts"
-    x = df.withColumn(p, local_parts(short(text), None if time_text is None else short(time_text)))
-    local = F.col(f"{p}.local_us")
-    needs = local.isNotNull() & F.col(f"{p}.offset_us").isNull()
+    x = df.withColumn(p, local_parts(text, time_text))
+    stated = F.col(f"{p}.local_us")
+    needs = stated.isNotNull() & F.col(f"{p}.offset_us").isNull()
+    year = F.year(F.date_from_unix_date(F.floor(stated / 86_400_000_000).cast("int")))
+    x = x.withColumn("__tz_back", F.greatest(F.ceil((year - LAST_YEAR) / CYCLE_YEARS), F.lit(0)) * CYCLE_US)
+    x = x.withColumn("__tz_local", stated - F.col("__tz_back"))
+    local = F.col("__tz_local")
     wall = F.date_from_unix_date(F.floor(local / 86_400_000_000).cast("int"))
-    x = x.withColumn("__tz_zone", F.when(needs, F.coalesce(F.col(f"{p}.zone"), F.lit(default_zone)))).withColumn("__tz_month", F.when(needs, F.year(wall) * 12 + F.month(wall) - 1))
+    month = F.greatest(F.year(wall) * 12 + F.month(wall) - 1, F.lit(FIRST_YEAR * 12))
+    x = x.withColumn("__tz_zone", F.when(needs, F.coalesce(F.col(f"{p}.zone"), F.lit(default_zone)))).withColumn("__tz_month", F.when(needs, month))
     x = x.join(F.broadcast(spans), (F.col("__tz_zone") == F.col("__tz_iv_zone")) & (F.col("__tz_month") == F.col("__tz_iv_month")), "left")
     hits = F.filter("__tz_spans", lambda s: (local >= s["ls"]) & (local < s["le"]))
     # In a gap the offset before it moves the wall clock forward by the gap's length.
     before = F.element_at(F.filter("__tz_spans", lambda s: local >= s["le"]), -1)["off"]
     n = F.size(hits)
-    kind = F.when(F.col(f"{p}.instant_us").isNotNull() | (local.isNotNull() & F.col(f"{p}.offset_us").isNotNull()), "stated").when(F.col("__tz_spans").isNotNull(), F.when(n == 1, "unique").when(n == 2, "ambiguous").otherwise("skipped"))
-    utc = F.when(F.col(f"{p}.instant_us").isNotNull(), F.col(f"{p}.instant_us")).when(F.col(f"{p}.offset_us").isNotNull(), local - F.col(f"{p}.offset_us"))
-    utc = utc.when(n > 0, F.array_min(F.transform(hits, lambda s: local - s["off"]))).otherwise(local - before)
-    return x.withColumns({"utc_us": utc, "local_kind": kind}).drop(p, "__tz_zone", "__tz_month", "__tz_iv_zone", "__tz_iv_month", "__tz_spans")
+    kind = F.when(F.col(f"{p}.instant_us").isNotNull() | (stated.isNotNull() & F.col(f"{p}.offset_us").isNotNull()), "stated").when(F.col("__tz_spans").isNotNull(), F.when(n == 1, "unique").when(n == 2, "ambiguous").otherwise("skipped"))
+    utc = F.when(F.col(f"{p}.instant_us").isNotNull(), F.col(f"{p}.instant_us")).when(F.col(f"{p}.offset_us").isNotNull(), stated - F.col(f"{p}.offset_us"))
+    utc = utc.when(n > 0, F.array_min(F.transform(hits, lambda s: local - s["off"])) + F.col("__tz_back")).otherwise(local - before + F.col("__tz_back"))
+    return x.withColumns({"utc_us": utc, "local_kind": kind}).drop(p, "__tz_zone", "__tz_month", "__tz_iv_zone", "__tz_iv_month", "__tz_spans", "__tz_back", "__tz_local")

@@ -40,6 +40,17 @@ CASES = [
     ("0000-00-00T00:00:00", None, None),
     ("01.01.2025 25:00", None, None),
     ("2025-01-01T00:00:00+99:00", None, None),
+    (" " * 120 + "2024-02-28 10:00" + " " * 5000, us(2024, 2, 28, 9), "unique"),
+    ("2024-02-28 10:00" + " " * 50_000 + "x", None, None),
+    ("2024-02-28 10:00 America/New_York", us(2024, 2, 28, 15), "unique"),
+    ("2024-11-03 01:30 America/New_York", us(2024, 11, 3, 5, 30), "ambiguous"),
+    ("2024-02-28 10:00 America/Argentina/Buenos_Aires", us(2024, 2, 28, 13), "unique"),
+    ("2024-02-28 10:00 Atlantis/Port", None, None),
+    ("1700-05-05 12:00", us(1700, 5, 5, 11, 6, 32), "unique"),
+    ("1895-07-01 12:00", us(1895, 7, 1, 11), "unique"),
+    ("2500-07-01 12:00", us(2500, 7, 1, 10), "unique"),
+    ("2500-03-28 02:30", us(2500, 3, 28, 1, 30), "skipped"),
+    ("9999-12-31 23:00", us(9999, 12, 31, 22), "unique"),
     ("ab sofort", None, None),
     ("", None, None),
     (None, None, None),
