@@ -2,7 +2,8 @@
 
 A bounded sample of the positions shapes a quadtree; its leaves are ranges of Morton codes, so a
 position finds its leaf by binary search. A position is replicated to the at most four leaves that
-its search box touches, a region to the leaves its bounding box touches. Each leaf bulk-loads an
+its search box touches (all of them around a pole, and across the 180th meridian), a region to the leaves
+its bounding box touches, cut to what a leaf needs of it. A leaf that can't be divided further is probed in shares. Each leaf bulk-loads an
 R-tree (sort-tile-recursive) over its positions and probes it; candidates are refined exactly
 (great-circle distance, even-odd rule over all rings). A pair is reported only by the leaf that
 holds its first position, its reference point, so no pair comes out twice.
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from tessera.storage import load, materialise
 
 EARTH_M = 6_371_008.8
-SAMPLE_ROWS = 40_000  # positions that shape the tree, at most (about): sent to the driver
+POLAR = 89.9  # latitude from which on a search box goes around the pole
+SAMPLE_ROWS = 400_000  # positions that shape the tree, at most (about): sent to the driver
+SAMPLE_SHARE = 0.02  # of the positions, but 40,000 at least
 LEAF_ROWS = 20_000
+LEAF_SAMPLE = 16  # sampled positions a leaf stands for, at least
+TEST_CELLS = 4_000_000  # positions times edges compared at a time
 MAX_DEPTH = 16
 FAN_OUT = 16
 
@@ -57,6 +62,20 @@ class Quadtree:
             else:
                 starts.append(start)
         self.starts = np.array(starts, dtype=np.int64)
+        # Leaves too full at the greatest depth are probed by several tasks, each with a share of the positions.
+        held = np.diff(np.append(np.searchsorted(codes, self.starts), len(codes)))
+        self.shares = np.maximum(1, np.ceil(held / max(capacity, 1e-9))).astype(np.int64) if len(codes) else np.ones(len(self.starts), np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.shares)[:-1]])  # number of a leaf's first group
+
+    def bounds(self, leaf: int) -> tuple[float, float, float, float]:
+        """Latitudes and longitudes of a leaf, a little widened."""
+        start = int(self.starts[leaf])
+        end = int(self.starts[leaf + 1]) if leaf + 1 < len(self.starts) else 1 << (2 * self.depth)
+        side = int(round((end - start) ** 0.5))
+        cx = sum(((start >> (2 * b)) & 1) << b for b in range(self.depth))
+        cy = sum(((start >> (2 * b + 1)) & 1) << b for b in range(self.depth))
+        h, w = (self.lat1 - self.lat0) / (1 << self.depth), (self.lon1 - self.lon0) / (1 << self.depth)
+        return self.lat0 + cy * h - 1e-9, self.lon0 + cx * w - 1e-9, self.lat0 + (cy + side) * h + 1e-9, self.lon0 + (cx + side) * w + 1e-9
 
     def cells(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = 1 << self.depth
@@ -128,58 +147,98 @@ def great_circle_m(lat1, lon1, lat2, lon2):
     return 2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
-def inside_rings(lat: np.ndarray, lon: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    """Even-odd rule over all rings, each an array of (lon, lat); rings may run either way."""
+def edges_of(rings: list) -> np.ndarray:
+    """Edges (x0, y0, x1, y1, ring) of closed rings; rings of fewer than three points have none."""
+    out = []
+    for k, ring in enumerate(rings):
+        if ring is not None and len(ring) >= 3:
+            xy = np.array([c[:2] for c in ring], dtype=float)
+            out.append(np.column_stack([xy, np.roll(xy, -1, axis=0), np.full(len(xy), k)]))
+    return np.vstack(out) if out else np.empty((0, 5))
+
+
+def edges_for(edges: np.ndarray, bounds: tuple[float, float, float, float]) -> np.ndarray:
+    """What of a region's edges decides, by the even-odd rule along a ray to the east, about positions within bounds.
+
+    Edges west of, above and below the bounds never meet such a ray. Edges east of them meet it whatever the position's
+    longitude, so each run of them counts like one edge between its ends' latitudes.
+    """
+    lat0, lon0, lat1, lon1 = bounds
+    x0, y0, x1, y1, ring = edges.T
+    east = np.minimum(x0, x1) > lon1
+    here = ~east & (np.maximum(x0, x1) >= lon0)
+    if east.any():
+        new = east & np.append(True, ~east[:-1] | (ring[1:] != ring[:-1]))
+        last = east & np.append(~east[1:] | (ring[1:] != ring[:-1]), True)
+        a, b = y0[new], y1[last]
+        x = np.full(len(a), lon1 + 1.0)
+        runs = np.column_stack([x, a, x, b, ring[new]])
+        edges = np.vstack([edges[here], runs])
+    else:
+        edges = edges[here]
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    return edges[(high >= lat0) & (low <= lat1) & (high > low)]
+
+
+def inside_edges(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Even-odd rule over edges."""
     odd = np.zeros(len(lat), dtype=bool)
-    for ring in rings:
-        if len(ring) < 3:
-            continue
-        x0, y0 = ring[:, 0], ring[:, 1]
-        x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
-        run = y1 != y0
-        x0, y0, x1, y1 = x0[run], y0[run], x1[run], y1[run]
-        slope = (x1 - x0) / (y1 - y0)
-        for i in range(0, len(lat), 4096):
-            la, lo = lat[i : i + 4096, None], lon[i : i + 4096, None]
-            crosses = ((y0 > la) != (y1 > la)) & (lo < x0 + (la - y0) * slope)
-            odd[i : i + 4096] ^= crosses.sum(axis=1) % 2 == 1
+    run = edges[:, 1] != edges[:, 3]
+    x0, y0, x1, y1 = edges[run, :4].T
+    if not len(x0):
+        return odd
+    slope = (x1 - x0) / (y1 - y0)
+    step = max(1, TEST_CELLS // len(x0))
+    for i in range(0, len(lat), step):
+        la, lo = lat[i : i + step, None], lon[i : i + step, None]
+        crosses = ((y0 > la) != (y1 > la)) & (lo < x0 + (la - y0) * slope)
+        odd[i : i + step] = crosses.sum(axis=1) % 2 == 1
     return odd
 
 
+def inside_rings(lat: np.ndarray, lon: np.ndarray, rings: list) -> np.ndarray:
+    """Even-odd rule over all rings, each of (lon, lat); rings may run either way."""
+    return inside_edges(lat, lon, edges_of(rings))
+
+
 def _margins(lat: np.ndarray, radius_m: float) -> tuple[float, np.ndarray]:
+    """Half the search box of each position, in degrees; around a pole it goes around the globe."""
     dlat = np.degrees(radius_m / EARTH_M) * (1 + 1e-9) + 1e-9
-    return dlat, dlat / np.cos(np.radians(np.minimum(np.abs(lat) + dlat, 89.9)))
+    most = np.abs(lat) + dlat
+    return dlat, np.where(most >= POLAR, 360.0, dlat / np.cos(np.radians(np.minimum(most, POLAR))))
 
 
 OUT = "kind string, a_lat double, a_lon double, b_lat double, b_lon double, area string"
 
 
 def join_leaf(points: pd.DataFrame, areas: pd.DataFrame, radius_m: float) -> pd.DataFrame:
-    """Near pairs whose first position is at home in this leaf, and the home positions of each region."""
-    lat, lon, home = (points[c].to_numpy() for c in ("lat", "lon", "home"))
+    """Near pairs whose first position is at home in this leaf, and the home positions of each region.
+
+    ``x`` is the longitude to search by, beyond 180 degrees for copies from across the meridian.
+    """
+    lat, lon, x, home = (points[c].to_numpy() for c in ("lat", "lon", "x", "home"))
     parts = []
     if len(lat):
-        tree = RTree(lon, lat)
+        tree = RTree(x, lat)
         if radius_m > 0:
             dlat, dlon = _margins(lat, radius_m)
             mine = np.flatnonzero(home)
             for i in range(0, len(mine), 4096):
                 m = mine[i : i + 4096]
-                q, p = tree.query(lon[m] - dlon[m], lat[m] - dlat, lon[m] + dlon[m], lat[m] + dlat)
+                q, p = tree.query(x[m] - dlon[m], lat[m] - dlat, x[m] + dlon[m], lat[m] + dlat)
                 q = m[q]
                 later = (lat[q] < lat[p]) | ((lat[q] == lat[p]) & (lon[q] < lon[p]))
                 q, p = q[later], p[later]
                 near = great_circle_m(lat[q], lon[q], lat[p], lon[p]) <= radius_m
                 q, p = q[near], p[near]
                 parts.append(pd.DataFrame({"kind": "near", "a_lat": lat[q], "a_lon": lon[q], "b_lat": lat[p], "b_lon": lon[p], "area": None}))
-        for area, rings in zip(areas["area"], areas["rings"], strict=True):
-            rings = [np.array([list(c) for c in ring], dtype=float)[:, :2] for ring in rings if len(ring)]
-            if not rings:
-                continue
-            box = np.vstack(rings)
-            _, p = tree.query(box[:, 0].min(keepdims=True), box[:, 1].min(keepdims=True), box[:, 0].max(keepdims=True), box[:, 1].max(keepdims=True))
+        for area, flat in zip(areas["area"], areas["edges"], strict=True):
+            edges = np.array(flat, dtype=float).reshape(-1, 5)
+            low, high = edges[:, 1:4:2].min(), edges[:, 1:4:2].max()
+            # Nothing lies east of all edges, nor above or below them.
+            _, p = tree.query(np.array([-np.inf]), np.array([low]), np.array([edges[:, 0:3:2].max()]), np.array([high]))
             p = p[home[p]]
-            p = p[inside_rings(lat[p], lon[p], rings)]
+            p = p[inside_edges(lat[p], lon[p], edges)]
             if len(p):
                 parts.append(pd.DataFrame({"kind": "inside", "a_lat": lat[p], "a_lon": lon[p], "b_lat": np.nan, "b_lon": np.nan, "area": area}))
     empty = pd.DataFrame({"kind": pd.Series(dtype=str), **{c: pd.Series(dtype=float) for c in ("a_lat", "a_lon", "b_lat", "b_lon")}, "area": pd.Series(dtype=str)})
@@ -199,12 +258,12 @@ def spatial_pairs(positions: DataFrame, areas: DataFrame, radius_m: float, sampl
     if not n:
         return spark.createDataFrame([], OUT)
     box = (stats[1], stats[2], stats[3] + 1e-6, stats[4] + 1e-6)
-    share = min(1.0, sample_rows / n)
+    share = min(1.0, min(sample_rows, max(40_000, n * SAMPLE_SHARE)) / n)
     # Chosen by hash: the same sample however often a stage is run.
     sample = positions.filter(F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("lat", "lon").toPandas()
-    dlat, dlon = _margins(np.array([max(abs(box[0]), abs(box[2]))]), max(radius_m, 1e-3))
+    dlat, dlon = _margins(np.array([min(max(abs(box[0]), abs(box[2])), POLAR - 1)]), max(radius_m, 1e-3))
     depth = int(np.clip(np.floor(np.log2(min((box[2] - box[0]) / (2 * dlat), (box[3] - box[1]) / (2 * dlon[0])))), 0, MAX_DEPTH))
-    rows = float(np.clip(n / 48, 2_000, leaf_rows))
+    rows = float(max(np.clip(n / 48, 2_000, leaf_rows), LEAF_SAMPLE * n / max(len(sample), 1) if share < 1 else 0))
     tree = Quadtree(box, depth, sample["lat"].to_numpy(), sample["lon"].to_numpy(), rows * len(sample) / n)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,24 +276,45 @@ def spatial_pairs(positions: DataFrame, areas: DataFrame, radius_m: float, sampl
             for i in range(1, 5):
                 first[i] = (found[i] != found[:i]).all(axis=0)
             k, i = np.nonzero(first)
-            yield pd.DataFrame({"leaf": found[k, i], "lat": lat[i], "lon": lon[i], "home": k == 0})
+            leaf, at, x, home = [found[k, i]], [i], [lon[i]], [k == 0]
+            # Around a pole, and across the 180th meridian: each leaf its box touches there.
+            for j in np.flatnonzero(dx >= 360.0):
+                there = np.array([v for v in tree.leaves_of_box(lat[j] - dy, -180.0, lat[j] + dy, 180.0) if v not in found[:, j]], dtype=np.int64)
+                leaf, at, x, home = [*leaf, there], [*at, np.full(len(there), j)], [*x, np.full(len(there), lon[j])], [*home, np.zeros(len(there), bool)]
+            for turn, over in ((360.0, lon - dx < -180.0), (-360.0, lon + dx > 180.0)):
+                for j in np.flatnonzero(over & (dx < 360.0)):
+                    there = np.array(tree.leaves_of_box(lat[j] - dy, lon[j] + turn - dx[j], lat[j] + dy, lon[j] + turn + dx[j]), dtype=np.int64)
+                    leaf, at, x, home = [*leaf, there], [*at, np.full(len(there), j)], [*x, np.full(len(there), lon[j] + turn)], [*home, np.zeros(len(there), bool)]
+            leaf, at, x, home = (np.concatenate(v) for v in (leaf, at, x, home))
+            # Each share of a leaf has all its positions, and is home to those of a hash.
+            n_shares = tree.shares[leaf]
+            row = np.repeat(np.arange(len(leaf)), n_shares)
+            turn = np.arange(len(row)) - np.repeat(np.cumsum(n_shares) - n_shares, n_shares)
+            mine = (np.abs(lat[at] * 1e7).astype(np.int64) * 31 + np.abs(lon[at] * 1e7).astype(np.int64)) % n_shares
+            yield pd.DataFrame({"leaf": tree.first[leaf[row]] + turn, "lat": lat[at[row]], "lon": lon[at[row]], "x": x[row], "home": home[row] & (mine[row] == turn)})
 
     def assign_areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for area, rings in zip(b["area"], b["rings"], strict=True):
-                pts = [c for ring in rings for c in ring]
-                if pts:
-                    x, y = [c[0] for c in pts], [c[1] for c in pts]
-                    rows += [(leaf, area, rings) for leaf in tree.leaves_of_box(min(y), min(x), max(y), max(x))]
+                edges = edges_of(rings)
+                if not len(edges):
+                    continue
+                for leaf in tree.leaves_of_box(edges[:, 1].min(), edges[:, 0].min(), edges[:, 1].max(), edges[:, 0].max()):
+                    part = edges_for(edges, tree.bounds(leaf))
+                    if len(part):
+                        rows += [(tree.first[leaf] + k, area, part.ravel()) for k in range(tree.shares[leaf])]
+                    if len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=["leaf", "area", "edges"])
+                        rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["leaf", "area", "rings"])
+                yield pd.DataFrame(rows, columns=["leaf", "area", "edges"])
 
     def one(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         return join_leaf(points, regions, radius_m)
 
-    p = positions.select("lat", "lon").mapInPandas(assign, "leaf long, lat double, lon double, home boolean")
-    a = areas.select("area", "rings").filter("rings is not null").mapInPandas(assign_areas, "leaf long, area string, rings array<array<array<double>>>")
+    p = positions.select("lat", "lon").mapInPandas(assign, "leaf long, lat double, lon double, x double, home boolean")
+    a = areas.select("area", "rings").filter("rings is not null").mapInPandas(assign_areas, "leaf long, area string, edges array<double>")
     return p.groupBy("leaf").cogroup(a.groupBy("leaf")).applyInPandas(one, OUT)
 
 

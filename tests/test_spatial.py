@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators.spatial_join import Quadtree, RTree, great_circle_m, inside_rings, near_and_inside, spatial_pairs
+from tessera.operators.spatial_join import Quadtree, RTree, edges_for, edges_of, great_circle_m, inside_edges, inside_rings, near_and_inside, spatial_pairs
 
 AREA = "area string, rings array<array<array<double>>>"
 SQUARE = [[7.0, 51.0], [7.1, 51.0], [7.1, 51.1], [7.0, 51.1], [7.0, 51.0]]
@@ -53,6 +53,50 @@ def test_empty(spark):
     assert near_and_inside(el, spark.createDataFrame([("A", [SQUARE])], AREA), 20.0).count() == 0
 
 
+def test_date_line_and_pole(spark):
+    """Neighbours across the 180th meridian, and around a pole, among positions all over the globe."""
+    r = random.Random(3)
+    data = [("w", 10.0, -179.999995), ("e", 10.0, 179.999995), ("n1", 89.99995, 10.0), ("n2", 89.99995, -170.0), ("s1", -89.99999, 0.0), ("s2", -89.99999, 90.0), ("z", 10.0, 180.0)]
+    data += [(f"x{i}", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(500)]
+    got = {tuple(x)[1:] for x in near_and_inside(spark.createDataFrame(data, "id string, lat double, lon double"), spark.createDataFrame([], AREA), 20.0).collect()}
+    assert got == {("e", "w"), ("e", "z"), ("w", "z"), ("n1", "n2"), ("s1", "s2")}
+
+
+def test_a_dense_spot_is_probed_in_shares(spark):
+    """More distinct positions than a leaf may hold within one search box: no pair is lost or doubled."""
+    r = random.Random(5)
+    data = [(f"e{i}", 51 + r.random() * 5e-5, 7 + r.random() * 5e-5) for i in range(300)] + [("far1", 50.0, 6.0), ("far2", 52.0, 9.0)]
+    lat, lon = (np.array([d[k] for d in data]) for k in (1, 2))
+    tree = Quadtree((50, 6, 52.1, 9.1), 10, lat, lon, 20)
+    assert tree.shares.max() >= 15 and tree.shares.sum() < 60
+    p = spark.createDataFrame([d[1:] for d in data], "lat double, lon double")
+    square = [[6.5, 50.5], [7.5, 50.5], [7.5, 51.5], [6.5, 51.5]]
+    from tessera.operators import spatial_join as sj
+
+    got = sj.spatial_pairs(p, spark.createDataFrame([("A", [square])], AREA), 20.0).groupBy("kind").count().collect()
+    want = int((great_circle_m(lat[:, None], lon[:, None], lat, lon) <= 20).sum() - len(data)) // 2
+    assert {x["kind"]: x["count"] for x in got} == {"near": want, "inside": 300}
+
+
+def test_clipped_regions_decide_as_whole_ones():
+    """A polygon of 100,000 points, cut for each leaf: the same answers from a fraction of the edges."""
+    r = np.random.default_rng(2)
+    t = np.sort(r.random(100_000)) * 2 * np.pi
+    radius = 0.4 + 0.02 * np.sin(40 * t) + 0.001 * r.random(len(t))
+    ring = np.column_stack([7.5 + radius * np.cos(t), 51.5 + radius * np.sin(t)])
+    hole = [[7.4, 51.4], [7.6, 51.4], [7.6, 51.6], [7.4, 51.6]]
+    edges = edges_of([ring.tolist(), hole])
+    lat, lon = 51 + r.random(3000), 7 + r.random(3000)
+    tree = Quadtree((51, 7, 52, 8), 5, lat, lon, 20)
+    leaves, want, sent = tree.leaves(lat, lon), inside_edges(lat, lon, edges), 0
+    for leaf in range(len(tree.starts)):
+        mine = leaves == leaf
+        part = edges_for(edges, tree.bounds(leaf))
+        sent += len(part)
+        assert (inside_edges(lat[mine], lon[mine], part) == want[mine]).all()
+    assert want.any() and not want.all() and sent < 4 * len(edges)
+
+
 def test_quadtree_and_rtree():
     r = np.random.default_rng(1)
     lat, lon = 51 + r.random(5000), 7 + r.random(5000)
