@@ -78,8 +78,12 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
     spark = sizes.sparkSession
     if not limits:
         return spark.createDataFrame([], SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = sizes.count()
-    tasks = max(1, -(-n // items_per_task))
+    # As text, since a null would turn a batch's ids into floating-point numbers. Repeats of a row are counted, where most combine
+    # before any shuffle, and numbered by the thousand, so that they spread over the tasks and get the same places in every run.
+    n = sizes.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1000).cast("long"))).alias("at"))
+    written = materialise(blocks.select("doc_id", "tokens", F.explode(F.sequence("at", F.least(F.col("n") - 1, F.col("at") + 999))).alias("nth")), "sizes")
+    tasks = max(1, -(-written.count() // items_per_task))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = None
@@ -103,9 +107,9 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
             yield pd.DataFrame(rows, columns=columns)
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    order = F.xxhash64("doc_id", "tokens")
-    # As text, since a null would turn a batch's ids into floating-point numbers.
-    s = sizes.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens", F.lit("part")), F.lit(tasks)))
+    s = written.select("doc_id", "tokens", "nth").withColumn("order", F.xxhash64("doc_id", "tokens", "nth"))
+    s = s.withColumn("part", F.pmod(F.xxhash64("order", F.lit("part")), F.lit(tasks)))
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition may hold several parts, one after the other: each is packed by itself.
         def parts() -> Iterator[tuple[int, pd.DataFrame]]:
@@ -124,13 +128,13 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], open_bins: int = OPEN_
         if held:
             yield from run(iter(held))
 
-    return s.repartition(tasks, "part").sortWithinPartitions("part", order, "doc_id").mapInPandas(each, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return s.repartition(tasks, "part").sortWithinPartitions("part", "order", "doc_id", "nth").mapInPandas(each, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def document_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in the containers of ``pack_limits``."""
     limits = [(r["container"], r["capacity_tokens"]) for r in load(spark, sf_dir, "pack_limits").distinct().collect()]
-    return pack(materialise(count_tokens(load(spark, sf_dir, "documents")), "sizes"), sorted(limits, key=str))
+    return pack(count_tokens(load(spark, sf_dir, "documents")), sorted(limits, key=str))
 
 
 def fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.storage import load, materialise
@@ -35,33 +36,52 @@ NATURAL = 0.9
 MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
 # Marks that teasers end with.
 MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…|mehr|more)\]|\((?:mehr|more)\)|…|\.\.\.)\s*$")
-TORN = re.compile(r"(?:<[^<>]{0,60}|&#?\w{0,8};?|�+)\s*$")
-TAG = re.compile(r"\s*<[^<>]+>\s*$")
-ANY_TAG = re.compile(r"<[^<>]{1,200}>")
+# Tags begin with a letter, a slash or an exclamation mark right behind the bracket; a bracket before a blank is a sign.
+ANY_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+TORN_TAG = re.compile(r"<(?:/?[a-zA-Z][\w-]*(?:\s+(?:[^<>]*=[^<>]*|[\w-]*))?|/|!-{0,2}[^<>]*)?")
+ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);")
+ENTITIES = frozenset(n[:k] for n in name2codepoint for k in range(1, len(n) + 1))
 TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|\n|[^\w\s]")
 STOPS = frozenset(".!?")
 OPEN_END = frozenset(",:;-–/(„&+")
 START = "^"
 SEP = "\x1f"
+LONG = 64
 REACH = 1000  # characters at a text's end that are looked at first
 LINE = 14  # lines of at most this many tokens are contexts themselves
 ORDERS = (5, 3, 2, 1)  # tokens of the other contexts, longest first
 LINE_1, LINE_2, LINE_3 = (SEP.join([START] * n) + SEP for n in (2, 3, 4))  # what the three forms of a line begin with
 
 
+def torn_at(text: str) -> int:
+    """Where torn markup at a text's end begins: a tag or entity that isn't finished, or broken characters; -1 if there is none."""
+    if text.endswith("\ufffd"):
+        return len(text.rstrip("\ufffd"))
+    i = text.rfind("<")
+    if i >= 0 and TORN_TAG.fullmatch(text, i):
+        return i
+    i = text.rfind("&")
+    name = text[i + 1 :] if i >= 0 else "?"
+    # A single capital letter behind the sign is an abbreviation, as in R&D.
+    if not name or name in ENTITIES and not (len(name) == 1 and name.isupper()) or name[0] == "#" and name[1:].isalnum() or name == "#":
+        return i
+    return -1
+
+
 def clean_tail(text: str) -> tuple[str, bool, bool]:
-    """Text without closing tags, teaser marks and torn markup at its end; whether there was a mark, or torn markup."""
+    """Text without tags, teaser marks and torn markup at its end; whether there was a mark, or torn markup."""
     text, mark, torn = text.rstrip(), False, False
     while text:
-        if m := TAG.search(text[-200:]):
+        i = text.rfind("<") if text[-1] == ">" else text.rfind("&") if text[-1] == ";" else -1
+        if i >= 0 and (ANY_TAG if text[-1] == ">" else ENTITY).fullmatch(text, i):
             pass
-        elif m := MARK.search(text[-40:]):
-            mark = True
-        elif m := TORN.search(text[-80:]):
-            torn = torn or not m.group().rstrip().endswith(";")
+        elif m := MARK.search(text, max(0, len(text) - 40)):
+            mark, i = True, m.start()
+        elif (i := torn_at(text)) >= 0:
+            torn = True
         else:
             break
-        text = text[: len(text) - len(m.group())].rstrip()
+        text = text[:i].rstrip()
     return text, mark, torn
 
 
@@ -77,7 +97,7 @@ def tail_of(text: str) -> str:
         at = len(text) - reach
         # Neither a word, an entity nor a tag is taken apart.
         at = max(text.rfind(" ", 0, at + 1), text.rfind("\n", 0, at + 1), 0)
-        tag = ANY_TAG.match(text, i) if (i := text.rfind("<", max(0, at - 201), at)) >= 0 else None
+        tag = ANY_TAG.match(text, i) if (i := text.rfind("<", 0, at)) >= 0 else None
         out = plain(text[i if tag and tag.end() > at else at :])
         tokens = TOKEN.findall(out)
         if "\n" in tokens or len(tokens) > LINE + 2:
@@ -119,11 +139,23 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(_words, "word string, n long, docs long, last long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "last")])
 
 
-def trie(words: DataFrame, often: float = 3.0) -> DataFrame:
-    """Nodes of the vocabulary's trie: ``prefix``, ``below``, the number of known words it is a proper prefix of, and ``frequent``, how many of these are in ``often`` documents or more."""
-    known = words.filter("n > 0 and length(word) between 2 and 64")
-    prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"), "docs")
-    return prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("below"), F.count(F.when(F.col("docs") >= often, 1)).alias("frequent"))
+def trie(words: DataFrame, frequent: Column) -> DataFrame:
+    """Nodes of the vocabulary's trie: ``prefix``, ``below``, the number of known words it is a proper prefix of, and how many of these are ``frequent``.
+
+    Of words of more than ``LONG`` letters only the nodes as long as some text's last word are made: no other is ever asked for.
+    """
+    ends = [r[0] for r in words.filter("last > 0").select(F.length("word").alias("n")).distinct().collect()]  # as many as there are lengths
+    known = words.filter("n > 0 and length(word) >= 2").withColumn("often", frequent)
+    n = F.length("word")
+    asked = F.filter(F.array(*[F.lit(k) for k in sorted(ends)]).cast("array<int>"), lambda k: k < n)
+    depths = F.when(n <= LONG, F.sequence(F.lit(1), n - 1)).otherwise(asked)
+    prefixes = known.select(F.explode(F.transform(depths, lambda i: F.substring("word", F.lit(1), i))).alias("prefix"), "often")
+    return prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("below"), F.count(F.when(F.col("often"), 1)).alias("frequent"))
+
+
+def often(docs: Column, total: int) -> Column:
+    """Whether a share of ``COMMON_SHARE`` of the documents is reached, one standard deviation of the count aside."""
+    return docs - F.sqrt(docs) >= COMMON_SHARE * total
 
 
 def places(text: str, common: frozenset[str]) -> Iterator[tuple[list[str], list[str] | None, str, str]]:
@@ -310,11 +342,10 @@ def judge(documents: DataFrame) -> DataFrame:
     total = docs.count()
     # A document has few distinct words, so the words of COMMON_SHARE of the documents are few: at most
     # (mean distinct words of a document) / COMMON_SHARE.
-    often = max(3.0, COMMON_SHARE * total)
-    nodes = materialise(trie(words, often), "trie")
+    nodes = materialise(trie(words, often(F.col("docs"), total)), "trie")
     # Words that only end texts count too, unless they are prefixes of others and so may be cut.
-    named = words.filter((F.col("docs") < often) & (F.col("docs") + F.col("last") >= often)).join(nodes, F.col("word") == F.col("prefix"), "left_anti")
-    common = frozenset(r[0] for r in words.filter(F.col("docs") >= often).select("word").unionByName(named.select("word")).toLocalIterator())
+    named = words.filter(~often(F.col("docs"), total) & often(F.col("docs") + F.col("last"), total)).join(nodes, F.col("word") == F.col("prefix"), "left_anti")
+    common = frozenset(r[0] for r in words.filter(often(F.col("docs"), total)).select("word").unionByName(named.select("word")).toLocalIterator())
     t = tails(docs, common).join(words.select(F.col("word").alias("last"), F.col("n").alias("known")), "last", "left").join(nodes.withColumnRenamed("prefix", "last"), "last", "left")
     unknown = F.col("last").isNotNull() & (F.coalesce("known", F.lit(0)) == 0)
     t = t.withColumn("cut_word", unknown & (F.coalesce("below", F.lit(0)) > 0))

@@ -48,3 +48,11 @@ def test_same_bins_again_and_empty(spark):
     a, b = (sorted(map(tuple, pack(df.repartition(n), [("a", 512)], items_per_task=700).collect())) for n in (1, 7))
     assert a == b
     assert pack(df.limit(0), [("a", 512)]).count() == 0 and pack(df, []).count() == 0
+
+
+def test_repeats_of_one_row_spread(spark):
+    """A row that stands in the table many times fills the bins of several tasks, each of them whole."""
+    df = spark.createDataFrame([(7, 3)] * 4000, "doc_id long, tokens long")
+    rows = pack(df, [("a", 9)], items_per_task=500).collect()
+    assert len(rows) == 4000 and {r["tokens"] for r in rows} == {3}
+    assert len({r["bin_id"] >> 36 for r in rows}) >= 6 and len({r["bin_id"] for r in rows}) <= 4000 / 3 + 8

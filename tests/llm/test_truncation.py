@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.truncation import clean_tail, judge, keys_of, places, tally, trie, vocabulary
+from tessera.llm.truncation import clean_tail, judge, keys_of, places, plain, tail_of, tally, trie, vocabulary
 
 PLACES = [a + b for a in ("Amsel", "Biber", "Dachs", "Erlen", "Falken", "Hecht") for b in ("bach", "berg", "feld", "furt", "rode", "stein")]
 SENTENCES = [
@@ -92,7 +93,7 @@ def test_tally_counts_the_contexts_of_the_places():
 
 def test_trie(spark):
     w = vocabulary(spark.createDataFrame([("Abend Abendkasse am Abend",), ("Abendkasse am",)], "text string"))
-    t = {r["prefix"]: r["below"] for r in trie(w).collect()}
+    t = {r["prefix"]: r["below"] for r in trie(w, F.lit(False)).collect()}
     assert t["A"] == 2 and t["Abend"] == 1 and "Abendkasse" not in t
 
 
@@ -108,3 +109,33 @@ def test_tails_of_padded_ends(spark):
         for sentence, line, _, _ in places(plain(text), frozenset()):
             last = keys_of(list(sentence), line)
         assert got[i] == tuple(last), i
+
+
+def test_signs_that_are_no_markup():
+    assert clean_tail("mehr als R&D") == ("mehr als R&D", False, False)
+    assert clean_tail("von AT&T") == ("von AT&T", False, False)
+    assert clean_tail("Vergleich a < b und dann") == ("Vergleich a < b und dann", False, False)
+    assert plain("a < b und c > d") == "a < b und c > d"
+
+
+def test_markup_of_any_length():
+    link = '<a href="https://example.org/' + "x" * 500 + '">'
+    assert clean_tail(f"Der Weg ist frei.{link}</a>") == ("Der Weg ist frei.", False, False)
+    assert clean_tail("Der Weg ist" + link[:-2]) == ("Der Weg ist", False, True)
+    assert plain(f"Ein{link}Wort") == "Ein Wort"
+
+
+def test_ends_with_words_and_tags_longer_than_the_window():
+    """The end gives the contexts of the whole text, however long its last words and tags are."""
+    common = frozenset("der weg ist".split())
+    for text in ("Der Weg ist " * 3 + "y" * 1100, "Erste Zeile\nder weg " + "z" * 2500 + " ist", "der " + "q" * 900 + " weg " + "r" * 900 + " ist", "der <b class='" + "k" * 3000 + "'> weg ist"):
+        whole = [keys_of(list(s), line) for s, line, _, _ in places(plain(text), common)][-1]
+        assert [keys_of(list(s), line) for s, line, _, _ in places(tail_of(text), common)][-1] == whole
+
+
+def test_long_words(spark):
+    """A cut word of more letters than most words have is found too."""
+    long = "donaudampf" * 12
+    texts = [(i, "s", f"Hier steht {long} im Text.") for i in range(6)] + [(9, "s", f"Hier steht {long[:90]}")]
+    rows = {r["doc_id"]: r["truncated"] for r in judge(spark.createDataFrame(texts, "doc_id long, source string, text string")).collect()}
+    assert rows[9] and not any(rows[i] for i in range(6))
