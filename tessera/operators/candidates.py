@@ -15,10 +15,11 @@ GENERATORS = ("spatial_temporal", "area_bridge", "ego_network")
 STATUSES = ("new", "confirmed", "dismissed")
 
 
-def spatial_temporal(graph: Graph, anchor_types: tuple[str, ...] = ("ConstructionSite", "Event"), radius_m: float = 150.0, days: int = 30, anchors: int = 50, neighbours: int = 25) -> DataFrame:
-    """``anchor_id, other_id, dist_m``: nearest neighbours in space whose start lies near the anchor's time."""
+def spatial_temporal(graph: Graph, anchor_types: tuple[str, ...] = ("ConstructionSite", "Event"), radius_m: float = 150.0, days: int = 30, anchors: int | None = 50, neighbours: int = 25) -> DataFrame:
+    """``anchor_id, other_id, dist_m``: nearest neighbours in space whose start lies near the anchor's time; of all anchors if None is their number."""
     n = graph.nodes.filter(valid_at() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    a = n.filter(F.col("node_type").isin(*anchor_types)).orderBy(F.desc("observed_at"), "id").limit(anchors)
+    a = n.filter(F.col("node_type").isin(*anchor_types))
+    a = a if anchors is None else a.orderBy(F.desc("observed_at"), "id").limit(anchors)
     a = a.select(F.col("id").alias("anchor_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to"))
     o = n.select(F.col("id").alias("other_id"), "lat", "lon", F.col("valid_from").alias("o_from"))
     near = near_join(a, o, radius_m, ("a_lat", "a_lon"), ("lat", "lon")).filter("anchor_id <> other_id").filter(starts_near(F.col("o_from"), F.col("a_from"), F.col("a_to"), days))

@@ -29,11 +29,17 @@ def geo_candidates(nodes: DataFrame, most_m: float = GEO_M) -> DataFrame:
     tenth of the rows share doesn't form all its pairs.
     """
     step = most_m / 111_195.0 * 1.001
-    width = step / 0.5  # wide enough below 60 degrees of latitude
     n = nodes.filter("valid_to is null and label is not null and lat is not null and lon is not null").select("id", "source", "node_type", F.lower("label").alias("name"), "lat", "lon")
-    row, column = F.floor(F.col("lat") / step), F.floor(F.col("lon") / width)
-    a = n.withColumn("cell", F.explode(F.array(*[F.struct((row + dy).alias("r"), (column + dx).alias("c")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])))
-    b = n.withColumn("cell", F.struct(row.alias("r"), column.alias("c"))).withColumnsRenamed({c: f"b_{c}" for c in ("id", "source", "lat", "lon")})
+
+    def cell(dy: int = 0, dx: int = 0) -> Column:
+        row = F.floor(F.col("lat") / step) + dy
+        # All of a row of cells is as wide as its latitude next to a pole needs; columns go on across the date line.
+        most = F.greatest(F.abs(row * step), F.abs((row + 1) * step))
+        columns = F.greatest(F.floor(360 * F.cos(F.radians(F.least(most, F.lit(90.0)))) / step), F.lit(1))
+        return F.struct(row.alias("r"), F.pmod(F.floor((F.col("lon") + 180) / 360 * columns) + dx, columns).alias("c"))
+
+    a = n.withColumn("cell", F.explode(F.array_distinct(F.array(*[cell(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))))
+    b = n.withColumn("cell", cell()).withColumnsRenamed({c: f"b_{c}" for c in ("id", "source", "lat", "lon")})
     x = a.join(b, ["node_type", "name", "cell"]).filter((F.col("id") < F.col("b_id")) & (F.col("source") != F.col("b_source")))
     x = x.withColumn("dist_m", haversine(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("dist_m") <= most_m)
     return x.select(F.col("id").alias("node_a_id"), F.col("b_id").alias("node_b_id"), "dist_m", geo_confidence(F.col("dist_m"), most_m).alias("confidence"))

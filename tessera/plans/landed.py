@@ -110,8 +110,8 @@ def disruption_nodes(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("air_nodes", """WITH h AS (SELECT strftime(o_orderdate, '%d.%m.%Y') AS day, max(o_orderkey) AS k, max(o_orderdate::DATE) AS dt FROM orders GROUP BY 1), l AS (SELECT * FROM h ORDER BY dt DESC LIMIT 1)
-SELECT 'VDOM|' || day || '|24:00' AS source_id, 'Air quality VDOM ' || day || ' 24:00' AS label, epoch_us(dt::TIMESTAMP) // 1000000 + 86400 AS from_s, 51.52355 AS lat, 7.48356 AS lon, (k % 90) / 10.0::DOUBLE AS pm10, NULL::DOUBLE AS no2, (k % 80)::DOUBLE AS no, (k % 70)::DOUBLE AS so2, (k % 60)::DOUBLE AS o3 FROM l
-UNION ALL SELECT 'DMD2|' || day || '|24:00', 'Air quality DMD2 ' || day || ' 24:00', epoch_us(dt::TIMESTAMP) // 1000000 + 86400, 51.53689, 7.45741, NULL, (k % 50)::DOUBLE, NULL, NULL, NULL FROM l""")
+SELECT 'VDOM|' || day || '|24:00' AS source_id, 'Air quality VDOM ' || day || ' 24:00' AS label, epoch_us(dt::TIMESTAMP) // 1000000 + 86400 AS from_s, 51.52355::DOUBLE AS lat, 7.48356::DOUBLE AS lon, (k % 90) / 10.0::DOUBLE AS pm10, NULL::DOUBLE AS no2, (k % 80)::DOUBLE AS no, (k % 70)::DOUBLE AS so2, (k % 60)::DOUBLE AS o3 FROM l
+UNION ALL SELECT 'DMD2|' || day || '|24:00', 'Air quality DMD2 ' || day || ' 24:00', epoch_us(dt::TIMESTAMP) // 1000000 + 86400, 51.53689::DOUBLE, 7.45741::DOUBLE, NULL, (k % 50)::DOUBLE, NULL, NULL, NULL FROM l""")
 def air_nodes(s: SparkSession, d: str) -> DataFrame:
     k = C("k")
     day = load(s, d, "orders").groupBy(F.date_format("o_orderdate", "dd.MM.yyyy").alias("Datum")).agg(F.max("o_orderkey").alias("k"))

@@ -82,12 +82,13 @@ def locate(node_type: str, source: str | None = None) -> Callable:
     return step
 
 
-def link_texts(node_types: tuple[str, ...], limit: int = 5000) -> Callable:
-    """Step: inferred RELATES_TO edges from the newest text nodes to the areas and streets they name."""
+def link_texts(node_types: tuple[str, ...], limit: int | None = 5000) -> Callable:
+    """Step: inferred RELATES_TO edges from the newest text nodes, or all if there is no limit, to the areas and streets they name."""
 
     def step(t: Tables):
         g = t.graph()
-        texts = g.nodes.filter(F.col("node_type").isin(*node_types) & F.col("valid_to").isNull()).orderBy(F.desc("observed_at"), "id").limit(limit)
+        texts = g.nodes.filter(F.col("node_type").isin(*node_types) & F.col("valid_to").isNull())
+        texts = texts if limit is None else texts.orderBy(F.desc("observed_at"), "id").limit(limit)
         found = linking.text_links(texts, g.nodes.filter("node_type = 'GeoArea'"), g.nodes.filter("node_type = 'Road' and rings is null"))
         sid = F.concat_ws(":", "relation", "from_node_id", "to_node_id")
         e = found.select("from_node_id", "to_node_id", F.lit("RELATES_TO").alias("edge_type"), F.lit("text_linker").alias("source"), sid.alias("source_id"), F.sha2(sid, 256).alias("id"), F.to_json(F.struct("relation", "term")).alias("properties"), F.lit(True).alias("inferred"), "confidence")

@@ -189,7 +189,7 @@ def feature_collection(s: SparkSession, d: str) -> DataFrame:
     return g.select(ids.alias("c")).select("c.type", F.size("c.features").cast("bigint").alias("features"), F.array_join("c.features.properties.id", ",").alias("ids"))
 
 
-@query("area_features", f"""WITH {w.AREAS} SELECT id, len(rings) AS rings, list_sum(list_transform(rings, lambda r: len(r))) AS points, rings[1][1][1] AS lon FROM areas WHERE rings IS NOT NULL""")
+@query("area_features", f"""WITH {w.AREAS} SELECT id, len(rings) AS rings, list_sum(list_transform(rings, lambda r: len(r)))::BIGINT AS points, rings[1][1][1] AS lon FROM areas WHERE rings IS NOT NULL""")
 def area_features(s: SparkSession, d: str) -> DataFrame:
     """Areas as polygon features, read back from their JSON."""
     f = geo.feature(C("lon"), C("lat"), C("rings"), id=C("id"))

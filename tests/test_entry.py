@@ -41,8 +41,9 @@ def test_query_equals_its_sql(spark, data, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_without_sql_runs(spark, data, name):
-    df = catalogue.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    a, b = (sorted(map(repr, catalogue.QUERIES[name](spark, data).collect())) for _ in range(2))
+    assert a == b
+    assert a or name == "candidate_payload"  # none has two types of nodes in the smallest tables
 
 
 def test_contract(spark, data):
