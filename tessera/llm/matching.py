@@ -11,31 +11,34 @@ side has no usable position, also the street's values with the house number, and
 too, two values of the name with a kind that fits. Candidate pairs get similarity features, a logistic model
 fitted on weakly labelled pairs weighs them, and Platt scaling on other weakly labelled pairs turns the
 score into a probability.
+
+Records travel once, to the part of the map they lie in, and are blocked and compared there (``comparing``). Only the
+pairs of the other blocks are looked for by key first; each goes to its element, with the place's attributes.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.naming import NAME_BANDS, STREET_BANDS, Learnt, attributes, learn
-from tessera.storage import load, materialise
+from tessera.llm.comparing import FEATURES, LIKENESS, MAP, PAIRS_AT_ONCE, PORTAL, TELLS, blocks, equal_pairs, features, keyed, likeness
+from tessera.llm.naming import STREET_BANDS, Learnt, attributes, learn, minhash
+from tessera.storage import drop, load, materialise
 
 TRAIN_ROWS = 20_000  # weakly labelled pairs the model is fitted on, at most (about)
 CELL_LAT, CELL_LON = 0.01, 0.016  # about 1.1 km
 REACH_LAT = 0.0027  # about 300 m: a neighbouring cell nearer than this is searched too
 LON_CELLS = 22_500  # cells around the globe
 SEED_M = 250.0  # records of equal name this near teach which kinds go together
-ALL_BANDS = 3  # name bands of every record; the others are for elements without a street
+PART_ROWS = 10_000  # records of a part of the map, about
 MATCH = 0.5
-TELLS = 0.7  # log of how much more often (or less) than by chance two kinds must meet to say anything
-PORTAL, MAP = 0, 1
 
 
 def fold(c: Column) -> Column:
@@ -121,6 +124,7 @@ class Kinds:
     """Which kinds of the portal go with which of the map, by the log of how much more often than by chance they meet."""
 
     def __init__(self, seen: list[tuple[int, int, int]], ones: tuple[dict[int, int], dict[int, int]], total: int, known: Learnt):
+        self.dull, self.records = known.dull, sum(known.records)
         sizes = [1 + max(f.values(), default=0) for f in known.features]
         self.lift = np.zeros(sizes, np.float32)
         n = np.zeros(sizes)
@@ -177,7 +181,7 @@ def learn_kinds(portal: DataFrame, places: DataFrame, known: Learnt) -> Kinds:
     """
     spot = lambda x, p: x.filter("lat is not null and own and number is not null").select(F.xxhash64("rare", "number", _cells(F.col("lat"), F.col("lon"), False)[0]).alias("k"), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"), F.col("sig").alias(f"{p}sig"))
     near = spot(portal, "o").join(spot(places, "m"), "k").filter(_metres(F.col("olat"), F.col("olon"), F.col("mlat"), F.col("mlon")) < SEED_M)
-    both = near.groupBy("osig", "msig").count()
+    both = materialise(near.groupBy("osig", "msig").count(), "kinds")  # read four times
     parts = lambda c: F.filter(F.split(c, ","), lambda v: v != "")
     seen = both.select("count", parts(F.col("osig")).alias("a"), parts(F.col("msig")).alias("b"))
     # A row for each pair of features that meet, and one for each feature: as bounded as the features.
@@ -195,123 +199,167 @@ def _metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 111_195.0 * F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(F.least(dx, 360 - dx) * F.cos(F.radians(lat1)), 2))
 
 
-def _keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
-    """``h, key``: the blocks a record is in."""
-    portal = side == PORTAL
-
-    @F.pandas_udf("array<string>")
-    def classes(sig: pd.Series) -> pd.Series:
-        return sig.map({s: kinds.classes(s, side) for s in sig.unique()})
-
-    x = x.withColumn("classes", classes("sig"))
-    none = F.array().cast("array<long>")
-    name, street = [F.when(F.col("rare") != "", F.col(f"n{i}")) for i in range(NAME_BANDS)], [F.col(f"s{i}") for i in range(STREET_BANDS)]
-    lost, bare = F.col("lat").isNull(), F.col("street") == ""
-    in_cell = lambda tag, v: lambda cell: F.xxhash64(F.lit(tag), cell, v)
-    cells = F.when(~lost, _cells(F.col("lat"), F.col("lon"), portal)).otherwise(none)
-    in_cells = lambda who, v, tag: F.when(who & v.isNotNull(), F.transform("cells", in_cell(tag, v))).otherwise(none)
-    foreign = F.array_contains("classes", "-")
-    # Elements of a kind that none of the portal's goes with must have the very name; others a MinHash value of it, and those
-    # without a street, which have but the name to be found by, one of more bands.
-    near = [in_cells(F.lit(True) if portal else foreign, F.when(F.col("rare") != "", F.col("rare")), 9)]
-    near += [in_cells(F.lit(True) if portal else ~foreign & (F.lit(i < ALL_BANDS) | bare), v, i) for i, v in enumerate(name)]
-    # In a street, the former meet only places whose kind isn't known.
-    for i, v in enumerate(street):
-        near += [in_cells(F.lit(True) if portal else ~foreign, v, 10 + i), in_cells(foreign, v, 15 + i)]
-    # Name and street together, anywhere: also of records whose position is wrong.
-    both = F.array(F.xxhash64(F.lit(20), "rare", street[0]))
-    keys = [*near, F.when((F.col("rare") != "") & ~bare, both).otherwise(none)]
-    # 100: portal records without position against all elements; 200: elements without position against portal records with one.
-    spot = F.xxhash64(*street, "number")
-    at = lambda tag, who: F.when(who & ~bare & F.col("number").isNotNull(), F.array(F.xxhash64(F.lit(tag), spot))).otherwise(none)
-    keys += [at(100, lost if portal else F.lit(True)), at(200, ~lost if portal else lost)]
-    every = x.withColumn("cells", cells).select("h", F.explode(F.concat(*keys)).alias("key"))
-
-    # Where a street is missing too, names alone, of kinds that fit. 300: portal records without position against elements without
-    # street; 400: portal records without either against elements with a street; 500: portal records with position against elements
-    # without either; 600: portal records with position but no street against elements with a street but no position.
-    sides = ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare))
-    tags = F.filter(F.array(*[F.when(o if portal else m, F.lit(tag)) for tag, o, m in sides]), lambda t: t.isNotNull())
-
-    x = x.filter("rare <> ''").withColumn("tags", tags).filter(F.size("tags") > 0)
-    named = x.select("h", F.xxhash64("n0", "n1").alias("k"), "classes", F.explode("tags").alias("tag"))
-    named = named.select("h", "k", "tag", F.explode("classes").alias("c")).select("h", F.xxhash64("k", "tag", "c").alias("key"))
-    return every.unionByName(named)
+VERSION = ("id", "core", "rare", "own", "sig", "street", "number", "lat", "lon")
+TEXTS = ("core", "rare", "sig", "street", "number", "id")  # in one text, since short ones cost more room apart; only ids may hold the separator
+SEPARATOR = "\x1f"
+KEYS = "key long, v long, cell long, lat double, lon double"
+# What a row in a part of the map is: a place of the portal there, an element, a place with the element it may be (ANEW: one whose
+# record has several versions), or a version of such a record with the attributes that its latest one has.
+NEAR, ELEMENT, AIMED, ANEW, VERSIONS = range(5)
+
+
+def _far_keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
+    """``KEYS``: the blocks of a record (v: its version) that don't lie in a cell.
+
+    1: name and street, which also finds records whose position is wrong. 100: portal records without position against all
+    elements; 200: elements without position against portal records with one. Where a street is missing too, names alone,
+    of kinds that fit. 300: portal records without position against elements without street; 400: portal records without
+    either against elements with a street; 500: portal records with position against elements without either; 600: portal
+    records with position but no street against elements with a street but no position.
+    """
+    portal, dull = side == PORTAL, kinds.dull
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            rare, street, numbers = column("rare"), column("street"), column("number")
+            said = pd.util.hash_array(np.asarray(rare.to_pylist(), dtype=object), categorize=False)
+            number = pd.util.hash_array(np.asarray(numbers.fill_null("").to_pylist(), dtype=object), categorize=False)
+            n0, n1 = (v.fill_null(0).to_numpy(zero_copy_only=False) for v in minhash(rare, 2))
+            s = [v.fill_null(0).to_numpy(zero_copy_only=False) for v in minhash(street, STREET_BANDS, dull)]
+            named, bare = (np.array([t != "" for t in rare.to_pylist()], bool), np.array([t == "" for t in street.to_pylist()], bool)) if b.num_rows else (np.empty(0, bool),) * 2
+            lost = np.isnan(column("lat").to_numpy(zero_copy_only=False))
+            housed = ~bare & ~np.asarray(numbers.is_null())
+            keys, rows = [], []
+
+            def add(tag: int, who: np.ndarray, *values: np.ndarray) -> None:
+                at = np.flatnonzero(who)
+                keys.append(keyed(tag, *[v[at] for v in values]))  # noqa: B023
+                rows.append(at)  # noqa: B023
+
+            add(1, named & ~bare, said, s[0])
+            add(100, housed & lost if portal else housed, *s, number)
+            add(200, housed & ~lost if portal else housed & lost, *s, number)
+            sigs = column("sig").to_pylist()
+            for tag, o, m in ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare)):
+                at = np.flatnonzero(named & (o if portal else m))
+                for i in at:
+                    if sigs[i] not in known:
+                        known[sigs[i]] = [-1 if c == "?" else -2 if c == "-" else int(c) for c in kinds.classes(sigs[i], side)]
+                each = [known[sigs[i]] for i in at]
+                row = np.repeat(at, [len(c) for c in each])
+                keys.append(keyed(tag, n0[row], n1[row], np.array([c for cs in each for c in cs], dtype=np.int64)))
+                rows.append(row)
+            at = pa.array(np.concatenate(rows))
+            # A position is asked for by the first block alone.
+            first = pa.array(np.arange(len(at)) >= len(rows[0]))
+            here = lambda c: pc.if_else(first, pa.scalar(None, pa.float64()), column(c).take(at))  # noqa: E731, B023
+            cols = [pa.array(np.concatenate(keys).view(np.int64)), column("v").take(at), column("cell").take(at), here("lat"), here("lon")]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in KEYS.split(", ")])
+
+    return x.select("v", "cell", "rare", "sig", "street", "number", F.coalesce("lat", F.lit(float("nan"))).alias("lat"), F.coalesce("lon", F.lit(float("nan"))).alias("lon")).mapInArrow(of, KEYS)
+
+
+def _versions(x: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``v, last`` of the records that have several versions: the latest one, of equally late ones that with the least hash."""
+    w = Window.partitionBy("h")
+    x = x.select("h", "at", "v", *columns).withColumns({"last": F.first("v").over(w.orderBy(F.desc("at"), "v")), "several": F.min("v").over(w) != F.max("v").over(w)})
+    return materialise(x.filter("several").select("v", "last", *columns).distinct(), name)
+
+
+def _compared(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
+    """``o_id, m_id``, the likeness of their attributes and a weak ``label`` of each pair that shares a block.
+
+    Each row goes to the part of the map its cell is in, those without position to any. Of repeated records every row enters
+    the blocks and the latest is compared: its attributes are sent after the others; their pairs (``anew``) may come out repeatedly.
+    """
+    usable = F.col("lat").isNotNull()
+    portal, places = (x.withColumns({"v": F.xxhash64(*VERSION), "cell": F.when(usable, _cells(F.col("lat"), F.col("lon"), False)[0])}) for x in (portal, places))
+    parts = max(1, -(-kinds.records // PART_ROWS))
+
+    def rows(x: DataFrame, what: Column, cell: str, at: str) -> DataFrame:
+        """``cell``: where the row goes, or where that is null, ``at`` tells; kept is ``at``."""
+        where = cell if at == "v" else at
+        part = F.pmod(F.when(F.col(cell).isNull(), F.col(at)).otherwise(F.xxhash64(F.col(cell))), F.lit(parts)).cast("int").alias("part")
+        text = F.concat_ws(SEPARATOR, *[F.coalesce(c, F.lit("")) for c in TEXTS])
+        return x.select(part, (what * 2 + F.col("own").cast("int")).cast("byte").alias("what"), "v", F.col(where).alias("at"), "lat", "lon", text.alias("text"))
+
+    reached = lambda x, lat="lat", lon="lon": x.filter(F.col(lat).isNotNull()).withColumn("near", F.explode(_cells(F.col(lat), F.col(lon), True)))
+    findable = (F.col("rare") != "") | (F.col("street") != "")
+    o, m = _far_keys(portal, kinds, PORTAL), _far_keys(places, kinds, MAP)
+    far = o.select("key", "v", "lat", "lon").join(m.select("key", F.col("v").alias("aim"), F.col("cell").alias("m_cell")), "key")
+    # Those of equal name in a cell within reach are found there.
+    far = far.filter(F.col("m_cell").isNull() | F.col("lat").isNull() | F.isnan("lat") | ~F.array_contains(_cells(F.col("lat"), F.col("lon"), True), F.col("m_cell"))).select("v", "aim", "m_cell")
+    o_versions, m_versions = _versions(portal, "portal-versions", "lat", "lon"), _versions(places, "places-versions", "cell")
+    far = far.join(o_versions.select("v", "last"), "v", "left").select(F.coalesce("last", "v").alias("v"), "aim", "m_cell", F.col("last").isNotNull().alias("anew"))
+    own = ["own", *TEXTS, "lat", "lon"]
+    late = lambda versions, x: versions.join(x.select(F.col("v").alias("last"), *own), "last")
+    every = rows(reached(portal.filter(findable)), F.lit(NEAR), "near", "v")
+    for x in (
+        rows(places.filter(findable), F.lit(ELEMENT), "cell", "v"),
+        rows(far.join(portal.select("v", *own), "v"), F.when(F.col("anew"), ANEW).otherwise(AIMED), "m_cell", "aim"),
+        rows(reached(late(o_versions.withColumnsRenamed({"lat": "o_lat", "lon": "o_lon"}), portal), "o_lat", "o_lon"), F.lit(VERSIONS), "near", "v"),
+        rows(late(m_versions, places), F.lit(VERSIONS), "cell", "v"),
+    ):
+        every = every.unionByName(x)
+
+    names = ["o_id", "m_id", *[c.split()[0] for c in LIKENESS.split(", ")], "label", "sort", "anew"]
+    schema = f"o_id string, m_id string, {LIKENESS}, label tinyint, sort tinyint, anew boolean"
+    fits: dict = {}
+
+    def compare(t: pa.Table) -> pa.Table:
+        what, v = t.column("what").to_numpy(), t.column("v").to_numpy()
+        own, what = what % 2 == 1, what // 2
+        texts = pc.split_pattern(t.column("text").combine_chunks(), SEPARATOR, max_splits=len(TEXTS) - 1).flatten()
+        texts = {c: texts.take(pa.array(np.arange(i, len(texts), len(TEXTS)))) for i, c in enumerate(TEXTS)}
+        number = pc.if_else(pc.equal(texts["number"], ""), pa.scalar(None, pa.string()), texts["number"])
+        t = pa.table({**texts, "number": number, "own": own, "cell": t.column("at"), "lat": t.column("lat"), "lon": t.column("lon")})
+        once = lambda i, *by: i[np.unique(keyed(0, *[c[i] for c in by]), return_index=True)[1]]
+        near, elements, aimed, versions = (np.flatnonzero(np.isin(what, w)) for w in (NEAR, ELEMENT, (AIMED, ANEW), VERSIONS))
+        elements = once(elements, v)
+        placed = elements[t.column("lat").is_valid().to_numpy()[elements]]
+        at = t.column("cell").fill_null(0).to_numpy()
+        near, aimed = once(near, v, at), once(aimed, v, at)
+        o, m = blocks(t.take(pa.array(near)), t.take(pa.array(placed)), kinds)
+        i, j = equal_pairs(at[aimed], v[elements])
+        o, m = np.concatenate([near[o], aimed[i]]), np.concatenate([placed[m], elements[j]])
+        # Compared are the latest attributes.
+        latest, anew = np.arange(len(v)), what == ANEW
+        old, new = equal_pairs(v, v[versions])
+        latest[old], anew[old] = versions[new], True
+        anew[aimed] = what[aimed] == ANEW
+        again, o, m = anew[o] | anew[m], latest[o], latest[m]
+        out = []
+        for s in range(0, len(o), PAIRS_AT_ONCE):
+            a, b = o[s : s + PAIRS_AT_ONCE], m[s : s + PAIRS_AT_ONCE]
+            x = likeness(t, a, b, kinds, fits)
+            f, label = features(x)
+            # Three sorts: positive, negative though the name or the address agrees, and the many other negative ones.
+            agrees = f[:, [FEATURES.index("name_high"), FEATURES.index("addr")]].any(axis=1)
+            sort = np.where(label == 1, 0, np.where(agrees, 1, 2)).astype(np.int8)
+            null = lambda c: pa.array(c, from_pandas=True) if c.dtype == np.float32 else pa.array(c)
+            out.append(pa.Table.from_arrays([t.column("id").take(pa.array(a)), t.column("id").take(pa.array(b)), *[null(c) for c in (x[n] for n in names[2:-3])], pa.array(label), pa.array(sort), pa.array(again[s : s + PAIRS_AT_ONCE])], names=names))
+        kind = {"string": pa.string(), "float": pa.float32(), "tinyint": pa.int8(), "boolean": pa.bool_()}
+        return pa.concat_tables(out) if out else pa.schema([(c.split()[0], kind[c.split()[1]]) for c in schema.split(", ")]).empty_table()
+
+    x = materialise(every.groupBy("part").applyInArrow(compare, schema), "pairs", compression="zstd")
+    once = x.drop("anew")
+    if not o_versions.isEmpty() or not m_versions.isEmpty():
+        once = x.filter("not anew").unionByName(x.filter("anew").dropDuplicates(["o_id", "m_id"])).drop("anew")
+    return once
 
 
 def candidates(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
     """Distinct pairs (``oh``, ``mh``: hashes of the ids) that share a block."""
-    a, b = _keys(portal, kinds, PORTAL).withColumnRenamed("h", "oh"), _keys(places, kinds, MAP).withColumnRenamed("h", "mh")
-    return a.join(b, "key").select("oh", "mh").distinct()
+    return _compared(portal, places, kinds).select(F.xxhash64("o_id").alias("oh"), F.xxhash64("m_id").alias("mh"))
 
 
-FEATURES = ("bias", "name", "name_high", "name_low", "name_none", "stem_same", "stem_other", "kind", "kind_low", "kind_same", "kind_other", "street", "street_low", "street_none", "number_same", "number_other", "near", "close", "far", "pos_none", "name_near", "name_addr", "addr", "addr_near", "street_spot")
 # Two made pairs, one that agrees in all and one that differs in all, so that a model can be fitted to any tables.
 AGREE = {"bias": 1, "name": 1, "name_high": 1, "stem_same": 1, "kind": 2, "kind_same": 1, "street": 1, "number_same": 1, "near": 1, "close": 1, "name_near": 1, "name_addr": 1, "addr": 1, "addr_near": 1, "street_spot": 1}
 DIFFER = {"bias": 1, "name": 0.2, "name_low": 1, "stem_other": 1, "kind": -1, "kind_low": -1, "kind_other": 1, "street": 0.2, "street_low": 1, "number_other": 1, "far": 1}
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def _street_similarity(a: Column, b: Column) -> Column:
-    """One that is the other's beginning is its abbreviation."""
-    short = (F.least(F.length(a), F.length(b)) >= 5) & (F.abs(F.length(a) - F.length(b)) <= 6) & (a.startswith(b) | b.startswith(a))
-    return F.when(short, F.greatest(similarity(a, b), F.lit(0.95))).otherwise(similarity(a, b))
-
-
-def features(pairs: DataFrame, kinds: Kinds) -> DataFrame:
-    """Similarities of candidate pairs (columns ``o_*`` and ``m_*``), as ``f`` with one entry for each of ``FEATURES``; and a weak label."""
-
-    @F.pandas_udf("struct<high float, low float>")
-    def fit(o: pd.Series, m: pd.Series) -> pd.DataFrame:
-        codes, distinct = pd.factorize(o + "|" + m)
-        out = [kinds.fit(*d.split("|")) for d in distinct]
-        return pd.DataFrame({"high": [v[0] for v in out], "low": [v[1] for v in out]}, dtype="float32").iloc[codes].reset_index(drop=True)
-
-    o, m = (lambda c: F.col(f"o_{c}")), (lambda c: F.col(f"m_{c}"))
-    named = o("own") & m("own")
-    last = lambda c: F.substring_index(c, " ", -1)
-    x = pairs.withColumn("fit", fit("o_sig", "m_sig")).withColumns({
-        "s_name": F.when(named, similarity(o("core"), m("core"))),
-        "s_stem": F.when(named, F.greatest(similarity(o("rare"), m("rare")), similarity(last(o("rare")), last(m("rare"))))),
-        "s_street": F.when((o("street") != "") & (m("street") != ""), _street_similarity(o("street"), m("street"))),
-        "same_number": o("number") == m("number"),
-        "dist": _metres(o("lat"), o("lon"), m("lat"), m("lon")),
-        "high": F.when(~F.isnan("fit.high"), F.col("fit.high").cast("double")), "low": F.when(~F.isnan("fit.low"), F.col("fit.low").cast("double")),
-    })
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    name, street, near = F.coalesce("s_name", F.lit(0.5)), F.coalesce("s_street", F.lit(0.5)), F.coalesce(F.exp(-F.col("dist") / 150), F.lit(0.2))
-    addr = sure((F.col("s_street") >= 0.8) & F.col("same_number"))
-    other = sure(F.col("low") < -TELLS)
-    same = sure(F.col("high") >= TELLS) & ~other
-    values = {
-        "bias": F.lit(1.0), "name": name, "name_high": flag(F.col("s_name") >= 0.85), "name_low": flag(F.col("s_name") < 0.6), "name_none": flag(F.col("s_name").isNull()),
-        "stem_same": flag(F.col("s_stem") >= 0.8), "stem_other": flag(F.col("s_stem") < 0.6), "kind": F.coalesce(F.least("high", F.lit(3.0)), F.lit(0.0)), "kind_low": F.coalesce(F.greatest("low", F.lit(-3.0)), F.lit(0.0)), "kind_same": flag(same), "kind_other": flag(other),
-        "street": street, "street_low": flag(F.col("s_street") < 0.7), "street_none": flag(F.col("s_street").isNull()), "number_same": flag(F.col("same_number")), "number_other": flag(~F.col("same_number")),
-        "near": near, "close": flag(F.col("dist") < 250), "far": flag(F.col("dist") > 400), "pos_none": flag(F.col("dist").isNull()), "name_near": flag((F.col("s_name") >= 0.75) & (F.col("dist") < 250)), "name_addr": flag((F.col("s_name") >= 0.75) & (F.col("s_street") >= 0.8)),
-        "addr": flag(addr), "addr_near": flag(addr & (F.col("dist") < 250)), "street_spot": flag((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)) & (F.col("dist") < 60)),
-    }
-    good_name, bad_name = sure((F.col("s_name") >= 0.85) & (F.col("s_stem") >= 0.8)), sure((F.col("s_name") < 0.55) | (F.col("s_stem") < 0.5))
-    good_street = sure((F.col("s_street") >= 0.85) & F.coalesce("same_number", F.lit(True)))
-    number_other, close, far = sure(~F.col("same_number")), sure(F.col("dist") < 250), sure(F.col("dist") > 400)
-    # Weak labels: several attributes that agree, or one that rules the pair out.
-    label = (
-        F.when(other | (far & ~(good_name & addr)), 0)
-        .when(bad_name & (~addr | sure((F.col("s_name") < 0.5) & (F.col("s_stem") < 0.5))), 0)
-        .when(F.col("dist").isNull() & F.col("s_street").isNull() & ~good_name, 0)
-        .when(number_other & ~good_name & F.col("s_name").isNotNull(), 0)
-        .when(F.col("s_name").isNull() & (number_other | sure(F.col("s_street") < 0.6)), 0)
-        .when(~good_name & ~good_street & ~addr & sure((F.col("dist") > 150) & (F.col("s_stem") < 0.7)), 0)
-        .when(good_name & (close | addr | good_street), 1)
-        .when(F.col("s_name").isNull() & addr & (same | F.col("high").isNull()), 1)
-        .when(F.col("s_name").isNull() & good_street & same & sure(F.col("dist") < 60), 1)
-    )
-    return x.withColumns({"f": F.array(*[values[n] for n in FEATURES]), "label": label})
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Coefficients of a ridge-regularised logistic model of weighted rows, by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -325,29 +373,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def _pair_records(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
-    """Candidates with the attributes of both sides, each in the latest of its rows."""
-    columns = ("id", "core", "rare", "own", "sig", "street", "number", "lat", "lon")
-    o = portal.select(F.col("h").alias("oh"), F.col("at").alias("o_at"), *[F.col(c).alias(f"o_{c}") for c in columns])
-    m = places.select(F.col("h").alias("mh"), F.col("at").alias("m_at"), *[F.col(c).alias(f"m_{c}") for c in columns])
-    # The side with the shorter rows is joined first; a repeated row meets its likes in the join, so no shuffle is spent on finding it.
-    x = latest(candidates(portal, places, kinds).join(o, "oh"), ["oh", "mh"], "o_at", [f"o_{c}" for c in columns])
-    return latest(x.join(m, "mh"), ["mh", "oh"], "m_at", [f"m_{c}" for c in columns])
-
-
-def latest(x: DataFrame, keys: list[str], at: str, attributes: list[str]) -> DataFrame:
-    """The latest row of each pair; of equally late ones the one with the least hash."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.xxhash64(*attributes))
-    return x.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", at)
-
-
 def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds]:
     """Comparable attributes of the rows of both tables, and the kinds that go together."""
-    a, b = portal_records(ods), map_records(osm)
+    a, b = (materialise(x, name, compression="zstd") for x, name in ((portal_records(ods), "portal-read"), (map_records(osm), "places-read")))  # read three times
     columns = ("name", "cats", "street")
     known = learn(a.select(F.lit(PORTAL).alias("side"), *columns).unionByName(b.select(F.lit(MAP).alias("side"), *columns)))
     box = region(a.select("lat", "lon").unionByName(b.select("lat", "lon")))
-    portal, places = (materialise(own_names(placed(attributes(x, side, known), box)), name) for x, side, name in ((a, PORTAL, "portal"), (b, MAP, "places")))
+    portal, places = (materialise(own_names(placed(attributes(x, side, known), box)), name, compression="zstd").withColumn("h", F.xxhash64("id")) for x, side, name in ((a, PORTAL, "portal"), (b, MAP, "places")))
+    for x in (a, b):
+        drop(x)
     return portal, places, learn_kinds(portal, places, known)
 
 
@@ -359,19 +393,17 @@ def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS) -> DataF
     by hash, and on two made ones, so that tables with labels of one sort only have a model too; every candidate is scored.
     """
     portal, places, kinds = prepare(ods, osm)
-    scored = materialise(features(_pair_records(portal, places, kinds), kinds).select("oh", "mh", "o_id", "m_id", F.transform("f", lambda v: v.cast("float")).alias("f"), "label"), "pairs")
-    labelled = scored.filter("label is not null")
-    # Three sorts by turns: positive, negative though the name or the address agrees, and the many other negative ones.
-    agrees = (F.col("f")[FEATURES.index("name_high")] + F.col("f")[FEATURES.index("addr")]) > 0
-    labelled = labelled.withColumn("sort", F.when(F.col("label") == 1, 0).when(agrees, 1).otherwise(2))
+    scored = _compared(portal, places, kinds)
+    labelled = scored.filter("label >= 0")
     counts = defaultdict(int, {r["sort"]: r["count"] for r in labelled.groupBy("sort").count().collect()})
     share = [min(1.0, train_rows / 3 / max(counts[k], 1)) for k in range(3)]
-    unit = F.pmod(F.xxhash64("oh", "mh"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(unit < F.element_at(F.array(*map(F.lit, share)), F.col("sort") + 1)).select("f", "label", "sort", "oh").toPandas()
+    unit = F.pmod(F.xxhash64(F.xxhash64("o_id"), F.xxhash64("m_id")), F.lit(1 << 30)) / float(1 << 30)
+    alike = [c.split()[0] for c in LIKENESS.split(", ")]
+    sample = labelled.filter(unit < F.element_at(F.array(*map(F.lit, share)), F.col("sort") + 1)).select(*alike, "label", "sort", F.xxhash64("o_id").alias("oh")).toPandas()
     x, y = made_pairs()
     held, weight = np.zeros(len(y), dtype=bool), np.ones(len(y))
     if len(sample):
-        x, y = np.concatenate([x, np.stack(sample["f"].to_numpy()).astype(float)]), np.concatenate([y, sample["label"].to_numpy().astype(float)])
+        x, y = np.concatenate([x, features({c: sample[c].to_numpy() for c in alike})[0]]), np.concatenate([y, sample["label"].to_numpy().astype(float)])
         held = np.concatenate([held, sample["oh"].to_numpy() % 3 == 0])
         weight = np.concatenate([weight, 1 / np.array(share)[sample["sort"].to_numpy()]])
     w = fit_logistic(x[~held], y[~held], np.ones(len(y))[~held])
@@ -379,9 +411,13 @@ def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS) -> DataF
     calibrate = held if len(set(y[held])) == 2 else ~held
     s = x[calibrate] @ w
     a, b = fit_logistic(np.stack([s, np.ones(len(s))], axis=1), y[calibrate], weight[calibrate], ridge=1e-2)
-    score = functools.reduce(operator.add, [F.col("f")[i].cast("double") * float(v) for i, v in enumerate(w)])
-    confidence = 1 / (1 + F.exp(-(score * float(a) + float(b))))
-    return scored.select(F.col("o_id").alias("ods_source_id"), F.col("m_id").alias("osm_source_id"), confidence.alias("confidence"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            values = features({c: r.column(r.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in alike})[0] @ w
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(1 / (1 + np.exp(-(values * a + b))))], names=["ods_source_id", "osm_source_id", "confidence"])
+
+    return scored.select("o_id", "m_id", *alike).mapInArrow(score, "ods_source_id string, osm_source_id string, confidence double")
 
 
 def made_pairs() -> tuple[np.ndarray, np.ndarray]:
@@ -395,4 +431,4 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("ods_source_id", "osm_source_id").distinct()
+    return pairs(spark, sf_dir).select("ods_source_id", "osm_source_id")

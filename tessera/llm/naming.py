@@ -275,17 +275,16 @@ class Speller:
         return token
 
 
-ATTRIBUTES = "h long, at long, id string, core string, rare string, sig string, street string, number string, lat double, lon double, " + ", ".join([f"n{i} int" for i in range(NAME_BANDS)] + [f"s{i} int" for i in range(STREET_BANDS)])
+ATTRIBUTES = "at long, id string, core string, rare string, sig string, street string, number string, lat double, lon double"
 
 
 def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
-    """``ATTRIBUTES`` of ``rows`` (``id, at, name, cats, street, number, lat, lon``), ``h`` being the hash of the id and ``at`` made distinct.
+    """``ATTRIBUTES`` of ``rows`` (``id, at, name, cats, street, number, lat, lon``).
 
     ``rare``: the words that tell places apart; ``core``: these and the common ones that both tables use
-    in names; ``sig``: numbers of the kind words and common categories; ``n*`` and ``s*``: MinHash values
-    of ``rare`` and of the street.
+    in names; ``sig``: numbers of the kind words and common categories.
     """
-    kinds, features, dull = known.kinds(side), known.features[side], known.dull
+    kinds, features = known.kinds(side), known.features[side]
     # Words that say the kind in either table are none of a name.
     stops, habits = known.common[0] | known.common[1], known.habits[side] | known.habits[1 - side]
     every = known.kinds(0) | known.kinds(1)
@@ -322,10 +321,7 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
             r = np.concatenate([row, cr])
             both = np.unique((r[f >= 0] << 20) | f[f >= 0])
             sig = _grouped(both >> 20, pa.array((both & ((1 << 20) - 1)).astype(str), pa.string()) if len(both) else pa.array([], pa.string()), rows_n, ",")
-            street = b.column("street")
-            cols = [b.column("h"), b.column("at"), b.column("id"), core, rare, sig, street, b.column("number"), b.column("lat"), b.column("lon"), *minhash(rare, NAME_BANDS), *minhash(street, STREET_BANDS, dull)]
+            cols = [b.column("at"), b.column("id"), core, rare, sig, b.column("street"), b.column("number"), b.column("lat"), b.column("lon")]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
 
-    every_cat = F.array(*[F.lit(f[2:]) for f in features if f.startswith("c:")]).cast("array<string>")
-    x = rows.select(F.xxhash64("id").alias("h"), "id", "at", "name", F.array_intersect("cats", every_cat).alias("cats"), "street", "number", "lat", "lon")
-    return x.mapInArrow(of, ATTRIBUTES)
+    return rows.select("id", "at", "name", "cats", "street", "number", "lat", "lon").mapInArrow(of, ATTRIBUTES)

@@ -146,3 +146,47 @@ def test_candidates_without_position_and_street(spark):
     ids = m.candidates(o, p, kinds).join(o.select(F.col("h").alias("oh"), F.col("id").alias("o")), "oh").join(p.select(F.col("h").alias("mh"), F.col("id").alias("m")), "mh").filter("o like 'p%' and m like 'way/9%'")
     got = {(r["o"], r["m"]) for r in ids.collect()}
     assert {(f"p{i}", f"way/9{i}") for i in range(5)} <= got and ("p0", "way/99") not in got
+
+
+def test_edits_in_bulk():
+    """Distances of many pairs at once are those of one by one; long and empty texts too."""
+    import random
+
+    from tessera.llm.comparing import Texts
+
+    r = random.Random(3)
+    texts = ["", "a", "x" * 70, "x" * 69 + "yz"] + ["".join(r.choice("abcü😀 ") for _ in range(r.randrange(1, 15))) for _ in range(60)]
+    t = Texts(pa.array(texts))
+
+    def one(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    import numpy as np
+
+    n = len(t.texts)
+    a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    assert t.edits(a, b).tolist() == [one(t.texts[i], t.texts[j]) for i, j in zip(a, b)]
+
+
+def test_versions_in_other_cells(spark):
+    """A record whose earlier row lies elsewhere: both rows find candidates, the latest one is compared, each pair comes out once.
+
+    Attributes are kept with the pairs as far as they are alike, not as a row of features with both hashes.
+    """
+    ods, osm, _ = world()
+    row = osm[5]  # of the place it is the first of
+    place = next(o for o in ods if o[0] == f"o{row[2]:04d}")
+    moved = [(*row[:3], 51.9, 7.9, None, dict(row[6]), row[7], row[8], row[9], datetime(2024, 1, 1), "x"), (*row[:3], row[3], row[4], None, dict(row[6]), "Festplatz Zum Kranichsumpf", row[8], row[9], datetime(2023, 1, 1), "x")]
+    moved[1][6]["name"] = "Festplatz Zum Kranichsumpf"
+    o, p, kinds = m.prepare(spark.createDataFrame(ods, ODS), spark.createDataFrame(osm + moved, OSM))
+    x = m._compared(o, p, kinds)
+    assert {"f", "oh", "mh"}.isdisjoint(x.columns)
+    got = [r for r in x.filter(F.col("m_id") == row[0]).collect() if r["o_id"] == place[0]]
+    assert len(got) == 1 and got[0]["s_name"] > 0.6 and (place[3] is None or got[0]["dist"] < 100)
+    assert x.count() == x.select("o_id", "m_id").distinct().count()
