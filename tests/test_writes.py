@@ -118,3 +118,18 @@ def test_links(spark):
     e = conform(linking.as_edges(got, "PART_OF", "link", F.lit(T[0])), EDGES)
     assert linking.part_of_by_name(c, a, e, F.col("label")).count() == 0
     assert {r["id"] for r in linking.orphans(c, a, F.lower("label"), F.lower("label")).collect()} == {"3"}
+
+
+def test_names_that_share_frequent_words(spark):
+    """Thousands of labels with the same words: their pairs are compared as matrices, not joined row by row, and none is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    n = 600
+    w = r.integers(-(2**63), 2**63, (n, 2))
+    w[n // 2 :] = w[: n // 2]  # of the other source, alike
+    names, size = np.repeat(["a", "b"], n // 2), np.full(n, 20, np.int32)
+    t = pa.table({"key": np.full(n, 7), "h": np.arange(n), "source": names.tolist(), "size": size, "w0": w[:, 0], "w1": w[:, 1]})
+    got = resolution._alike(0.8)(t)
+    assert {(x["ha"], x["hb"]) for x in got.to_pylist()} == {(i, i + n // 2) for i in range(n // 2)}
