@@ -6,13 +6,13 @@ and edit distances are worked out for many pairs at once.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tessera.llm.naming import NAME_BANDS, STREET_BANDS, _mix, minhash
+from tessera.llm.naming import NAME_BANDS, STREET_BANDS, _mix, letters, minhash
 
 ALL_BANDS = 3  # name bands of every record; the others are for elements without a street
 TELLS = 0.7  # log of how much more often (or less) than by chance two kinds must meet to say anything
@@ -47,20 +47,25 @@ class Texts:
 
     def __init__(self, column: pa.Array):
         d = column.combine_chunks().dictionary_encode() if isinstance(column, pa.ChunkedArray) else column.dictionary_encode()
-        self.codes, self.texts = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
-        self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.codes, self.distinct = d.indices.to_numpy(zero_copy_only=False), d.dictionary
+        found, self.size = letters(self.distinct)
         width = min(int(self.size.max(initial=0)), SHORT)
-        letters = np.frombuffer("".join(t[:width] for t in self.texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-        there = np.zeros(int(letters.max(initial=0)) + 2, np.uint32)
-        there[letters] = 1
+        if self.size.max(initial=0) > width:
+            found = found[np.arange(len(found)) - np.repeat(np.cumsum(self.size) - self.size, self.size) < width]
+        there = np.zeros(int(found.max(initial=0)) + 2, np.uint32)
+        there[found] = 1
         number = np.cumsum(there)
-        self.rows = np.zeros((len(self.texts), width), np.uint16 if number[-1] < 1 << 16 else np.uint32)
-        self.rows[np.arange(width)[None, :] < np.minimum(self.size, width)[:, None]] = number[letters]
+        self.rows = np.zeros((len(self.distinct), width), np.uint16 if number[-1] < 1 << 16 else np.uint32)
+        self.rows[np.arange(width)[None, :] < np.minimum(self.size, width)[:, None]] = number[found]
+
+    @cached_property
+    def texts(self) -> list[str]:
+        return self.distinct.to_pylist()
 
     def edits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Levenshtein distances of pairs of texts, by their numbers; each distinct pair is compared once."""
-        pairs, back = np.unique(np.minimum(a, b).astype(np.int64) * len(self.texts) + np.maximum(a, b), return_inverse=True)
-        a, b = pairs // max(len(self.texts), 1), pairs % max(len(self.texts), 1)
+        pairs, back = np.unique(np.minimum(a, b).astype(np.int64) * len(self.size) + np.maximum(a, b), return_inverse=True)
+        a, b = pairs // max(len(self.size), 1), pairs % max(len(self.size), 1)
         swap = self.size[a] > self.size[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         out = np.where(self.size[a] == 0, self.size[b], 0)
@@ -120,7 +125,7 @@ def blocks(portal: pa.Table, places: pa.Table, kinds) -> tuple[np.ndarray, np.nd
     cell, rare, street = column("cell").to_numpy(zero_copy_only=False), column("rare").dictionary_encode(), column("street").dictionary_encode()
     values = lambda d, bands, dull: [v.fill_null(0).to_numpy(zero_copy_only=False)[d.indices.to_numpy(zero_copy_only=False)] for v in minhash(d.dictionary, bands, dull)]
     name_values, street_values = values(rare, NAME_BANDS, None), values(street, STREET_BANDS, kinds.dull)
-    empty = lambda d: np.array([t == "" for t in d.dictionary.to_pylist()], dtype=bool)[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.empty(0, bool)
+    empty = lambda d: pc.equal(d.dictionary, "").take(d.indices).to_numpy(zero_copy_only=False)
     named, bare = ~empty(rare), empty(street)
     sigs = column("sig").dictionary_encode()
     texts, sig = sigs.dictionary.to_pylist(), sigs.indices.to_numpy(zero_copy_only=False)
@@ -153,6 +158,11 @@ def blocks(portal: pa.Table, places: pa.Table, kinds) -> tuple[np.ndarray, np.nd
 
 def likeness(rows: pa.Table, o: np.ndarray, m: np.ndarray, kinds, known: dict) -> dict[str, np.ndarray]:
     """Similarities of places ``o`` with elements ``m`` of ``rows``; ``known`` keeps how kinds fit."""
+    # Only rows that are in a pair are looked at.
+    there = np.zeros(rows.num_rows, bool)
+    there[o] = there[m] = True
+    number = np.cumsum(there) - 1
+    rows, o, m = rows.select(["own", "core", "rare", "street", "number", "lat", "lon", "sig"]).take(pa.array(np.flatnonzero(there))), number[o], number[m]
 
     def texts(column: pa.ChunkedArray) -> tuple[Texts, np.ndarray, np.ndarray]:
         t = Texts(column.fill_null(""))
@@ -174,10 +184,13 @@ def likeness(rows: pa.Table, o: np.ndarray, m: np.ndarray, kinds, known: dict) -
     alike = street.similarity(a, b)
     # One that is the other's beginning is its abbreviation.
     shorter, longer = np.minimum(street.size[a], street.size[b]), np.maximum(street.size[a], street.size[b])
-    for i in np.flatnonzero((shorter >= 5) & (longer - shorter <= 6) & (alike < 0.95)):
-        x, y = street.texts[a[i]], street.texts[b[i]]
-        if x.startswith(y) or y.startswith(x):
-            alike[i] = 0.95
+    short = np.flatnonzero((shorter >= 5) & (longer - shorter <= 6) & (alike < 0.95))
+    short = short[(street.rows[a[short], :5] == street.rows[b[short], :5]).all(axis=1)]
+    begins = ((street.rows[a[short]] == street.rows[b[short]]) | (np.arange(street.rows.shape[1]) >= shorter[short, None])).all(axis=1)
+    for i in np.flatnonzero(begins & (shorter[short] > street.rows.shape[1])):
+        x, y = (street.distinct[int(t[short[i]])].as_py() for t in (a, b))
+        begins[i] = x.startswith(y) or y.startswith(x)
+    alike[short[begins]] = 0.95
     out["s_street"][stated] = alike
     number = rows.column("number").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     a, b = number[o], number[m]
@@ -186,7 +199,7 @@ def likeness(rows: pa.Table, o: np.ndarray, m: np.ndarray, kinds, known: dict) -
     dx = np.abs(lon[o] - lon[m])
     out["dist"] = 111_195.0 * np.sqrt((lat[o] - lat[m]) ** 2 + (np.minimum(dx, 360 - dx) * np.cos(np.radians(lat[o]))) ** 2)
     sig, a, b = texts(rows.column("sig"))
-    pairs, back = np.unique(a.astype(np.int64) * len(sig.texts) + b, return_inverse=True)
+    pairs, back = np.unique(a.astype(np.int64) * max(len(sig.texts), 1) + b, return_inverse=True)
     fits = []
     for p in pairs:
         key = sig.texts[p // len(sig.texts)], sig.texts[p % len(sig.texts)]

@@ -43,10 +43,12 @@ MATCH = 0.5
 
 def fold(c: Column) -> Column:
     """Lower case, umlauts spelt out, everything else but letters and digits as single blanks."""
-    x = F.lower(F.coalesce(c, F.lit("")))
+    x = low = F.lower(F.coalesce(c, F.lit("")))
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
+    # Texts of plain letters have nothing to spell out, and a plainer class of letters is faster.
+    plain = F.octet_length(low) == F.char_length(low)
+    return F.trim(F.when(plain, F.regexp_replace(low, "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
 
 
 def _number(c: Column) -> Column:
@@ -59,11 +61,11 @@ def _finite(c: Column, most: float) -> Column:
 
 def _record(x: DataFrame) -> DataFrame:
     """House numbers that stand in the street go to their own column; the street without blanks."""
-    st = F.col("st")
-    street = F.replace(F.regexp_replace(st, r"\s+\d+\s?[a-z]?$", ""), F.lit(" "), F.lit(""))
-    inside = F.nullif(F.replace(F.regexp_extract(st, r"\s(\d+\s?[a-z]?)$", 1), F.lit(" "), F.lit("")), F.lit(""))
+    st, ends = F.col("st"), F.col("ends")
+    street = F.replace(F.when(ends == "", st).otherwise(F.left(st, F.length(st) - F.length(ends))), F.lit(" "), F.lit(""))
+    inside = F.nullif(F.replace(ends, F.lit(" "), F.lit("")), F.lit(""))
     both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    return x.select("id", "at", "name", "cats", street.alias("street"), F.coalesce(_number(F.col("no")), inside).alias("number"), F.when(both, F.col("lat")).alias("lat"), F.when(both, F.col("lon")).alias("lon"))
+    return x.withColumn("ends", F.regexp_extract("st", r"\s\d+\s?[a-z]?$", 0)).select("id", "at", "name", "cats", street.alias("street"), F.coalesce(_number(F.col("no")), inside).alias("number"), F.when(both, F.col("lat")).alias("lat"), F.when(both, F.col("lon")).alias("lon"))
 
 
 def portal_records(ods: DataFrame) -> DataFrame:
@@ -109,7 +111,10 @@ def placed(x: DataFrame, box: tuple[float, float, float, float] | None) -> DataF
 def own_names(x: DataFrame) -> DataFrame:
     """Adds ``own``: a name that is but the street's, with or without a number, says nothing about the place."""
     joined = F.replace(F.regexp_replace("core", r" \d+ ?[a-z]?$", ""), F.lit(" "), F.lit(""))
-    return x.withColumn("own", (F.col("rare") != "") & ~((F.col("street") != "") & (F.levenshtein(joined, F.col("street")) <= F.length("street") / 6)))
+    # The names that differ in length by more than that needn't be compared.
+    most = F.length("street") / 6
+    alike = (F.abs(F.length("joined") - F.length("street")) <= most) & (F.levenshtein("joined", F.col("street")) <= most)
+    return x.withColumn("joined", joined).withColumn("own", (F.col("rare") != "") & ~((F.col("street") != "") & alike)).drop("joined")
 
 
 def _cells(lat: Column, lon: Column, reach: bool) -> Column:
@@ -125,6 +130,8 @@ class Kinds:
 
     def __init__(self, seen: list[tuple[int, int, int]], ones: tuple[dict[int, int], dict[int, int]], total: int, known: Learnt):
         self.dull, self.records = known.dull, sum(known.records)
+        self._rows: list[list[float]] | None = None
+        self._known: tuple[dict, dict] = {}, {}
         sizes = [1 + max(f.values(), default=0) for f in known.features]
         self.lift = np.zeros(sizes, np.float32)
         n = np.zeros(sizes)
@@ -153,17 +160,29 @@ class Kinds:
 
     def fit(self, o: str, m: str) -> tuple[float | None, float | None]:
         """The best agreement of any two kinds, and the best that the least fitting kind has; None where either says nothing."""
-        a, b = self.parts(o, PORTAL), self.parts(m, MAP)
+        if self._rows is None:  # plain numbers are faster for as few as a pair has
+            self._rows = self.lift.tolist()
+        (a, a_words), (b, b_words) = self._said(o, PORTAL), self._said(m, MAP)
         if not a or not b:
             return None, None
-        x = self.lift[np.ix_(a, b)]
-        low = min(x.max(axis=1).min(), x.max(axis=0).min(), 0.0)
+        high, low = self._ends(a, b)
         # Words are more exact than categories: where both names have some, these must fit each other.
-        a, b = [i for i in a if i in self.words[PORTAL]], [i for i in b if i in self.words[MAP]]
-        if a and b:
-            x_words = self.lift[np.ix_(a, b)]
-            low = min(low, x_words.max(axis=1).min(), x_words.max(axis=0).min())
-        return float(x.max()), float(low)
+        if a_words and b_words:
+            low = min(low, self._ends(a_words, b_words)[1])
+        return high, min(low, 0.0)
+
+    def _said(self, sig: str, side: int) -> tuple[list[int], list[int]]:
+        """The kinds of a signature that say something, and those of them that are words."""
+        if (out := self._known[side].get(sig)) is None:
+            said = self.parts(sig, side)
+            out = self._known[side][sig] = said, [i for i in said if i in self.words[side]]
+        return out
+
+    def _ends(self, a: list[int], b: list[int]) -> tuple[float, float]:
+        """The best agreement of any two, and the best of the one that fits least."""
+        x = [[row[j] for j in b] for row in (self._rows[i] for i in a)]
+        best = [max(r) for r in x]
+        return max(best), min(*best, *map(max, zip(*x, strict=True)))
 
     def classes(self, sig: str, side: int) -> list[str]:
         """Marks of which two records share one if their kinds fit: ``?`` is a kind that isn't known, ``-`` one that none of the portal's goes with."""
@@ -220,15 +239,19 @@ def _far_keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
     portal, dull = side == PORTAL, kinds.dull
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, np.ndarray] = {}
+
+        def hashed(texts: pa.Array) -> np.ndarray:
+            d = texts.dictionary_encode()
+            return pd.util.hash_array(np.asarray(d.dictionary.to_pylist(), dtype=object), categorize=False)[d.indices.to_numpy(zero_copy_only=False)]
+
         for b in batches:
             column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
             rare, street, numbers = column("rare"), column("street"), column("number")
-            said = pd.util.hash_array(np.asarray(rare.to_pylist(), dtype=object), categorize=False)
-            number = pd.util.hash_array(np.asarray(numbers.fill_null("").to_pylist(), dtype=object), categorize=False)
+            said, number = hashed(rare), hashed(numbers.fill_null(""))
             n0, n1 = (v.fill_null(0).to_numpy(zero_copy_only=False) for v in minhash(rare, 2))
             s = [v.fill_null(0).to_numpy(zero_copy_only=False) for v in minhash(street, STREET_BANDS, dull)]
-            named, bare = (np.array([t != "" for t in rare.to_pylist()], bool), np.array([t == "" for t in street.to_pylist()], bool)) if b.num_rows else (np.empty(0, bool),) * 2
+            named, bare = (f(c, "").to_numpy(zero_copy_only=False) for f, c in ((pc.not_equal, rare), (pc.equal, street)))
             lost = np.isnan(column("lat").to_numpy(zero_copy_only=False))
             housed = ~bare & ~np.asarray(numbers.is_null())
             keys, rows = [], []
@@ -241,15 +264,21 @@ def _far_keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
             add(1, named & ~bare, said, s[0])
             add(100, housed & lost if portal else housed, *s, number)
             add(200, housed & ~lost if portal else housed & lost, *s, number)
-            sigs = column("sig").to_pylist()
+            sigs = column("sig").dictionary_encode()
+            sigs, sig = sigs.dictionary.to_pylist(), sigs.indices.to_numpy(zero_copy_only=False)
             for tag, o, m in ((300, lost, bare), (400, lost & bare, ~bare), (500, ~lost, lost & bare), (600, ~lost & bare, lost & ~bare)):
                 at = np.flatnonzero(named & (o if portal else m))
-                for i in at:
-                    if sigs[i] not in known:
-                        known[sigs[i]] = [-1 if c == "?" else -2 if c == "-" else int(c) for c in kinds.classes(sigs[i], side)]
-                each = [known[sigs[i]] for i in at]
-                row = np.repeat(at, [len(c) for c in each])
-                keys.append(keyed(tag, n0[row], n1[row], np.array([c for cs in each for c in cs], dtype=np.int64)))
+                which, back = np.unique(sig[at], return_inverse=True)
+                for t in (sigs[i] for i in which):
+                    if t not in known:
+                        known[t] = np.array([-1 if c == "?" else -2 if c == "-" else int(c) for c in kinds.classes(t, side)], dtype=np.int64)
+                # The classes of each row: those of its signature, which stand one after the other.
+                each = [known[sigs[i]] for i in which]
+                n = np.array([len(c) for c in each], dtype=np.int64)
+                first, n = (np.cumsum(n) - n)[back], n[back]
+                row = np.repeat(at, n)
+                place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                keys.append(keyed(tag, n0[row], n1[row], np.concatenate([*each, np.empty(0, np.int64)])[place]))
                 rows.append(row)
             at = pa.array(np.concatenate(rows))
             # A position is asked for by the first block alone.
@@ -263,9 +292,13 @@ def _far_keys(x: DataFrame, kinds: Kinds, side: int) -> DataFrame:
 
 def _versions(x: DataFrame, name: str, *columns: str) -> DataFrame:
     """``v, last`` of the records that have several versions: the latest one, of equally late ones that with the least hash."""
-    w = Window.partitionBy("h")
-    x = x.select("h", "at", "v", *columns).withColumns({"last": F.first("v").over(w.orderBy(F.desc("at"), "v")), "several": F.min("v").over(w) != F.max("v").over(w)})
-    return materialise(x.filter("several").select("v", "last", *columns).distinct(), name)
+    # An aggregate finds them without sorting all records; where there are none, nothing else is read.
+    several = materialise(x.groupBy("h").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a != b").select("h"), f"{name}-of")
+    if several.isEmpty():
+        return x.select("v", F.col("v").alias("last"), *columns).limit(0)
+    w = Window.partitionBy("h").orderBy(F.desc("at"), "v")
+    x = x.select("h", "at", "v", *columns).join(several, "h").withColumn("last", F.first("v").over(w))
+    return materialise(x.select("v", "last", *columns).distinct(), name)
 
 
 def _compared(portal: DataFrame, places: DataFrame, kinds: Kinds) -> DataFrame:
@@ -375,7 +408,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds]:
     """Comparable attributes of the rows of both tables, and the kinds that go together."""
-    a, b = (materialise(x, name, compression="zstd") for x, name in ((portal_records(ods), "portal-read"), (map_records(osm), "places-read")))  # read three times
+    a, b = (materialise(x, name) for x, name in ((portal_records(ods), "portal-read"), (map_records(osm), "places-read")))  # read three times
     columns = ("name", "cats", "street")
     known = learn(a.select(F.lit(PORTAL).alias("side"), *columns).unionByName(b.select(F.lit(MAP).alias("side"), *columns)))
     box = region(a.select("lat", "lon").unionByName(b.select("lat", "lon")))
@@ -385,8 +418,8 @@ def prepare(ods: DataFrame, osm: DataFrame) -> tuple[DataFrame, DataFrame, Kinds
     return portal, places, learn_kinds(portal, places, known)
 
 
-def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``ods_source_id, osm_source_id, confidence`` of every candidate pair; a record may be in several.
+def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS, least: float = 0.0) -> DataFrame:
+    """``ods_source_id, osm_source_id, confidence`` of every candidate pair of at least ``least``; a record may be in several.
 
     Every record with a source_id takes part, the latest row of each; null and empty attributes count as not stated.
     Empty tables give no pairs. The model is fitted on at most about ``train_rows`` weakly labelled pairs chosen
@@ -415,7 +448,9 @@ def match(ods: DataFrame, osm: DataFrame, train_rows: int = TRAIN_ROWS) -> DataF
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             values = features({c: r.column(r.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in alike})[0] @ w
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(1 / (1 + np.exp(-(values * a + b))))], names=["ods_source_id", "osm_source_id", "confidence"])
+            confidence = 1 / (1 + np.exp(-(values * a + b)))
+            scores = pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(confidence)], names=["ods_source_id", "osm_source_id", "confidence"])
+            yield scores.filter(pa.array(confidence >= least))
 
     return scored.select("o_id", "m_id", *alike).mapInArrow(score, "ods_source_id string, osm_source_id string, confidence double")
 
@@ -426,8 +461,7 @@ def made_pairs() -> tuple[np.ndarray, np.ndarray]:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs with their confidence."""
-    p = match(load(spark, sf_dir, "ods_pois"), load(spark, sf_dir, "overpass"))
-    return p.filter(F.col("confidence") >= MATCH).withColumn("confidence", F.round("confidence", 4))
+    return match(load(spark, sf_dir, "ods_pois"), load(spark, sf_dir, "overpass"), least=MATCH).withColumn("confidence", F.round("confidence", 4))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,34 +42,58 @@ HASHES = [(_mix(np.arange(BUCKETS) + (band + 1) * BUCKETS) % np.uint64((1 << 31)
 TOP = np.int64((1 << 31) - 1)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values in order; sorting is faster than the hashing of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts one after the other, and how many each text has."""
+    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_buffer()
+    if len(text) == size.sum():
+        return np.frombuffer(text, dtype=np.uint8), size
+    return np.frombuffer(str(text, "utf-8").encode("utf-32-le"), dtype=np.uint32), size
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every three letters in a row of texts, each text with a blank on either side."""
-    padded = [f" {t} " for t in texts.to_pylist()]
-    size = np.array([len(t) for t in padded], dtype=np.int64)
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    inner, size = letters(texts)
+    codes = np.full(len(inner) + 2 * len(size), ord(" "), np.uint64)
     if len(codes) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(padded)), size)
+    row = np.repeat(np.arange(len(size)), size + 2)
+    codes[np.arange(len(inner)) + 2 * np.repeat(np.arange(len(size)), size) + 1] = inner
     with np.errstate(over="ignore"):
         mixed = _mix(codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:])
     whole = row[:-2] == row[2:]
     return row[:-2][whole], (mixed[whole] >> np.uint64(48)).astype(np.int64)
 
 
+def _least(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The least value of each row, which come in the order of rows; ``TOP`` where a row has none."""
+    out = np.full(rows, TOP)
+    if len(row):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        out[row[first]] = np.minimum.reduceat(values, first)
+    return out
+
+
 def minhash(texts: pa.Array, bands: int, dull: np.ndarray | None = None) -> list[pa.Array]:
     """``bands`` MinHash values of each text's letter groups, null for an empty text; ``dull`` groups count only where there are no others."""
-    row, code = grams(texts)
+    d = texts.dictionary_encode()
+    row, code = grams(d.dictionary)
+    if dull is not None:
+        keen = ~dull[code]
+        only = np.ones(len(d.dictionary), bool)
+        only[row[keen]] = False
+        keen |= only[row]
+        row, code = row[keen], code[keen]
     out = []
     for h in HASHES[:bands]:
-        least = np.full(len(texts), TOP)
-        if dull is not None:
-            keen = ~dull[code]
-            np.minimum.at(least, row[keen], h[code[keen]])
-            rest = least[row] == TOP
-            np.minimum.at(least, row[rest], h[code[rest]])
-        else:
-            np.minimum.at(least, row, h[code])
-        out.append(pa.array(least, mask=least == TOP).cast(pa.int32()))
+        least = _least(row, h[code], len(d.dictionary))
+        out.append(pa.array(least, mask=least == TOP).cast(pa.int32()).take(d.indices))
     return out
 
 
@@ -95,45 +119,67 @@ def _listed(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _numbered(values: pa.Array, of: dict[str, int]) -> np.ndarray:
-    """The number of each value, -1 for others; looked up once for each distinct one."""
-    if not len(values):
-        return np.empty(0, np.int64)
-    d = values.dictionary_encode()
-    return np.array([of.get(v, -1) for v in d.dictionary.to_pylist()], dtype=np.int64)[d.indices.to_numpy(zero_copy_only=False)]
+    """The number of each value, -1 for others."""
+    at = pc.index_in(values, value_set=pa.array(list(of), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.array([*of.values(), -1], dtype=np.int64)[at]
 
 
 COUNTS = "what string, side int, key string, other string, n long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    seen: dict[tuple[str, int], list[pa.StructArray]] = {}
     groups = np.zeros(BUCKETS, np.int64)
-    streets = 0
-
-    def out() -> pa.RecordBatch:
-        keys = list(seen)
-        b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([""] * len(keys), pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "side", "key", "other", "n"])
+    records: Counter = Counter()
+    streets = held = 0
+
+    def batch(what: str, side: int, key: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        same = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(key))
+        return pa.RecordBatch.from_arrays([same(what, pa.string()), same(side, pa.int32()), key, same("", pa.string()), n], names=["what", "side", "key", "other", "n"])
+
+    def merge() -> int:
+        """Counts of the same value as one; how many there are."""
+        for k, counts in seen.items():
+            t = pa.Table.from_arrays([pa.chunked_array([c.field(i) for c in counts], t) for i, t in ((0, pa.string()), (1, pa.int64()))], names=["values", "counts"])
+            t = t.group_by("values", use_threads=False).aggregate([("counts", "sum")]).combine_chunks()
+            seen[k] = [pa.StructArray.from_arrays([c.combine_chunks() for c in (t.column("values"), t.column("counts_sum"))], ["values", "counts"])]
+        return sum(len(c) for counts in seen.values() for c in counts)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (what, side), counts in seen.items():
+            yield from (batch(what, side, c.field(0), c.field(1)) for c in counts)
         seen.clear()
-        return b
 
     for b in batches:
         side = b.column("side").to_numpy(zero_copy_only=False)
         for s in np.unique(side):
             mine = b.filter(pa.array(side == s))
-            seen["records", int(s), ""] += mine.num_rows
+            records[int(s)] += mine.num_rows
             for what, values in (("word", split(mine.column("name"))[1]), ("category", _listed(mine.column("cats"))[1])):
-                for v in pc.value_counts(values).to_pylist():
-                    seen[what, int(s), v["values"]] += v["counts"]
-        row, code = grams(b.column("street"))
+                if len(values):
+                    counts = pc.value_counts(values)
+                    seen.setdefault((what, int(s)), []).append(counts)
+                    held += len(counts)
+        # Each street counts once for a letter group, as often as it occurs.
+        d = b.column("street").dictionary_encode()
+        row, code = grams(d.dictionary)
         if len(row):
-            np.add.at(groups, np.unique(row * BUCKETS + code) % BUCKETS, 1)
-            streets += len(np.unique(row))
-        if len(seen) > FLUSH:
-            yield out()
-    seen["streets", 0, ""] += streets
-    for code in np.flatnonzero(groups):
-        seen["gram", 0, str(code)] += int(groups[code])
-    yield out()
+            times = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
+            both = _distinct(row * BUCKETS + code)
+            np.add.at(groups, both % BUCKETS, times[both // BUCKETS])
+            streets += int(times[_distinct(row)].sum())
+        if held > FLUSH:
+            held = merge()
+            if held > FLUSH / 2:
+                yield from out()
+                held = 0
+    merge()
+    yield from out()
+    for s, n in records.items():
+        yield batch("records", s, pa.array([""]), pa.array([n], pa.int64()))
+    yield batch("streets", 0, pa.array([""]), pa.array([streets], pa.int64()))
+    there = np.flatnonzero(groups)
+    yield batch("gram", 0, pa.array(there).cast(pa.string()), pa.array(groups[there]))
 
 
 @dataclass
@@ -319,8 +365,8 @@ def attributes(rows: DataFrame, side: int, known: Learnt) -> DataFrame:
             # The features of each row, sorted and distinct.
             f = np.concatenate([_numbered(words, {f[2:]: i for f, i in features.items() if f[0] == "w"}), _numbered(cats, {f[2:]: i for f, i in features.items() if f[0] == "c"})])
             r = np.concatenate([row, cr])
-            both = np.unique((r[f >= 0] << 20) | f[f >= 0])
-            sig = _grouped(both >> 20, pa.array((both & ((1 << 20) - 1)).astype(str), pa.string()) if len(both) else pa.array([], pa.string()), rows_n, ",")
+            both = _distinct((r[f >= 0] << 20) | f[f >= 0])
+            sig = _grouped(both >> 20, pa.array(both & ((1 << 20) - 1), pa.int64()).cast(pa.string()), rows_n, ",")
             cols = [b.column("at"), b.column("id"), core, rare, sig, b.column("street"), b.column("number"), b.column("lat"), b.column("lon")]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
 

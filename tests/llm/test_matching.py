@@ -190,3 +190,56 @@ def test_versions_in_other_cells(spark):
     got = [r for r in x.filter(F.col("m_id") == row[0]).collect() if r["o_id"] == place[0]]
     assert len(got) == 1 and got[0]["s_name"] > 0.6 and (place[3] is None or got[0]["dist"] < 100)
     assert x.count() == x.select("o_id", "m_id").distinct().count()
+
+
+def test_work_once_for_equal_texts(monkeypatch):
+    """Letter groups are made once for each distinct text, in MinHash values and in what is learnt of streets."""
+    from tessera.llm import naming
+
+    made, grams = [], naming.grams
+    monkeypatch.setattr(naming, "grams", lambda texts: made.append(len(texts)) or grams(texts))
+    texts = pa.array(["amselbachweg", "", "ulmenhang"] * 1000)
+    values = minhash(texts, 2)
+    b = pa.RecordBatch.from_arrays([pa.array([0, 1, 1] * 1000, pa.int32()), pa.array(["am bach", "", "am"] * 1000), pa.array([["x=y"], [], ["x=y", "z="]] * 1000, pa.list_(pa.string())), texts], names=["side", "name", "cats", "street"])
+    n = {(w, s, k): v for r in naming._counted(iter([b, b])) for w, s, k, v in zip(*(r.column(c).to_pylist() for c in ("what", "side", "key", "n")))}
+    assert max(made) == 3
+    assert values[0].to_pylist() == minhash(texts[:3], 2)[0].to_pylist() * 1000
+    assert {k: v for k, v in n.items() if k[0] != "gram"} == {("records", 0, ""): 2000, ("records", 1, ""): 4000, ("word", 0, "am"): 2000, ("word", 0, "bach"): 2000, ("word", 1, "am"): 2000, ("category", 0, "x=y"): 2000, ("category", 1, "x=y"): 2000, ("category", 1, "z="): 2000, ("streets", 0, ""): 4000}
+    assert {v for k, v in n.items() if k[0] == "gram"} == {2000}
+
+
+def test_counts_beyond_the_bound(monkeypatch):
+    """Counts that are sent on in between add up to the same."""
+    from collections import Counter
+
+    from tessera.llm import naming
+
+    monkeypatch.setattr(naming, "FLUSH", 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i % 2] * 40, pa.int32()), pa.array([f"w{i * j % 97} am" for j in range(40)]), pa.array([[]] * 40, pa.list_(pa.string())), pa.array([""] * 40)], names=["side", "name", "cats", "street"]) for i in range(20)]
+    got = Counter()
+    for r in naming._counted(iter(batches)):
+        for w, s, k, n in zip(*(r.column(c).to_pylist() for c in ("what", "side", "key", "n"))):
+            got[w, s, k] += n
+    want = Counter(("word", i % 2, w) for i in range(20) for j in range(40) for w in (f"w{i * j % 97}", "am"))
+    assert {k: n for k, n in got.items() if k[0] == "word"} == want and got["records", 0, ""] == 400
+
+
+def test_records_without_versions_are_not_read_again(spark):
+    """Where no record has several versions, there's nothing to sort or to join."""
+    ods, osm, _ = world(64)
+    _, p, _ = m.prepare(spark.createDataFrame(ods, ODS), spark.createDataFrame(osm, OSM))
+    x = m._versions(p.withColumns({"v": F.xxhash64(*m.VERSION), "cell": F.lit(1).cast("long")}), "v", "cell")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert x.columns == ["v", "last", "cell"] and x.count() == 0 and "LocalRelation" in plan and "parquet" not in plan
+
+
+def test_least_confidence(spark):
+    ods, osm, _ = world(64)
+    o, p = spark.createDataFrame(ods, ODS), spark.createDataFrame(osm, OSM)
+    rows = {tuple(r) for r in m.match(o, p).collect()}
+    assert {tuple(r) for r in m.match(o, p, least=m.MATCH).collect()} == {r for r in rows if r[2] >= m.MATCH}
+
+
+def test_fold_of_plain_and_other_letters(spark):
+    x = spark.createDataFrame([("ÄÖÜß-Straße 3",), (" St. Mary's  (Alt) ",), ("Île №5",), ("",), (None,), ("Ⅷ. ²Ω",), ("A\tB\n1",)], "c string")
+    assert [r[0] for r in x.select(m.fold(F.col("c"))).collect()] == ["aeoeuess strasse 3", "st mary s alt", "île 5", "", "", "ⅷ ²ω", "a b 1"]
